@@ -55,13 +55,20 @@ def slices(texts: pa.Array, most_bytes: int = 1 << 21):
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of every word of a large_string array, and the words of each text: offsets into the hashes (one more than texts).
+    """A 64-bit hash of every word of a large_string array, and the words of each text: offsets into the hashes (one more than texts)."""
+    hashes, at, _ = word_spans(texts)
+    return hashes, at
+
+
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``words``, with the lower-case bytes of all texts and each word's first byte and the byte past its last.
 
     The hash is a sum of byte values times powers of the place in the word, taken for all words at once from running sums."""
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     first, last = int(ends[0]), int(ends[-1])
     if first == last:
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), (np.zeros(0, np.uint8), none, none)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[first:last]
     ends = ends - first
     inside = _IS_WORD[data]
@@ -77,7 +84,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers("p", _P, len(data))[: len(data)], out=sums[1:])
     got = (sums[stop] - sums[begin]) * _powers("q", _P_INV, len(data))[begin]
-    return mix(got), np.searchsorted(begin, ends)
+    return mix(got), np.searchsorted(begin, ends), (_LOW[data], begin, stop)
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

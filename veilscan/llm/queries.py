@@ -1,15 +1,24 @@
 """Registered queries of the training-data operators, and their SQL where there is any."""
 
+from .op1_language_id import op1_language_id
 from .op2_token_counts import op2_token_counts
+from .op3_decontamination import SQL as OP3
+from .op3_decontamination import op3_decontamination
+from .op4_toxicity import op4_toxicity
 from .op5_packing import op5_packing
+from .op10_near_duplicates import op10_near_duplicates
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_token_counts": op2_token_counts,
+        "op3_decontamination": op3_decontamination,
+        "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
+        "op10_near_duplicates": op10_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": OP3}
