@@ -1,5 +1,59 @@
-"""A corpus pipeline of five stages."""
-STAGES = []
+"""A corpus pipeline: language, toxicity, near-duplicates, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame; it is written as Parquet and read again as the next one's
+documents. The first four keep the columns of documents and drop rows; the last gives the pieces of packed sequences.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilscan.llm import op1_language_id, op3_decontamination, op4_toxicity, op5_packing, op10_near_duplicates
+from veilscan.llm.common import table, written
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in which no language can be told (null, or without a letter) go."""
+    named = op1_language_id.with_language(docs, table(spark, sf_dir, "documents"), into="__language")
+    return named.filter(F.col("__language.lang_pred") != op1_language_id.UNKNOWN).drop("__language")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that are likelier toxic than not go."""
+    scored = op4_toxicity.with_toxicity(docs, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), into="__toxicity")
+    return scored.filter(F.col("__toxicity") < 0.5).drop("__toxicity")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays: that of the smallest doc_id."""
+    return op10_near_duplicates.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return op3_decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences."""
+    return op5_packing.pack(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: The stages learn models and count ids of a tokenizer, which SQL can't express.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs)
+    return docs

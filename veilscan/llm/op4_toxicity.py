@@ -18,10 +18,12 @@ from pyspark.sql.functions import arrow_udf
 from .common import bucket, mix, slices, table, word_spans
 
 #: The most labelled documents that are learned from: those with the smallest hash of doc_id.
-SAMPLE = 6000
+SAMPLE = 4000
 ROWS, SIZE = 1 << 17, 4
 SHORTEST, LONGEST = 3, 5
-STEPS, RATE, DECAY = 160, 0.05, 1e-6
+STEPS, RATE, DECAY = 200, 0.01, 3e-4
+#: An n-gram has a vector if its correlation with the label is at least so large, and beyond so many deviations of chance, and so many documents have it.
+RELATED, CHANCE, LEAST = 0.16, 4.5, 8
 SEED = 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -74,48 +76,61 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
     if len(set(labels)) < 2:  # nothing to tell apart
         return np.zeros(ROWS, np.float32), 20.0 * float(y.mean() - 0.5) if len(y) else -20.0
     rows, who, word, at = vocabulary(pa.array(texts, pa.large_string()))
-    n, v = len(texts), int(who.max()) + 1
-    doc = np.repeat(np.arange(n), np.diff(at))
-    pair, count = np.unique(doc * v + word, return_counts=True)
-    doc, word = pair // v, pair % v
-    weight = count / np.diff(at)[doc]
-    used, row = np.unique(rows, return_inverse=True)
-    share = (1.0 / np.bincount(who, minlength=v))[who]
-    back = np.argsort(word, kind="stable")
-    up = np.argsort(row, kind="stable")
-    starts = lambda x, m: np.searchsorted(x, np.arange(m))
-    d_at, w_at, b_at, r_at = starts(doc, n), starts(who, v), starts(word[back], v), starts(row[up], len(used))
-    full = np.diff(np.append(d_at, len(doc))) > 0
-    w32, s32 = weight.astype(np.float32)[:, None], share.astype(np.float32)[:, None]
-    e = rng.normal(0, 0.3, (len(used), SIZE)).astype(np.float32)
+    n, v = len(texts), int(who.max(initial=-1)) + 1
+    sizes = np.diff(at)
+    pair, count = np.unique(np.repeat(np.arange(n), sizes) * max(v, 1) + word, return_counts=True)
+    doc, word = pair // max(v, 1), pair % max(v, 1)
+    # An n-gram has a vector if its weight in documents goes with the label (RELATED) beyond chance (CHANCE): the
+    # others, of which there are many more than documents, would only learn the sample by heart.
+    shares = np.bincount(who, minlength=v)
+    begin = np.cumsum(shares) - shares
+    bounds = np.searchsorted(doc, np.arange(n + 1))
+
+    def bag(d: int, place: np.ndarray, width: int) -> np.ndarray:
+        """What each n-gram's vector weighs in a document's mean."""
+        lo, hi = bounds[d], bounds[d + 1]
+        w = word[lo:hi]
+        k = shares[w]
+        at_ = np.repeat(begin[w] - np.cumsum(k) + k, k) + np.arange(k.sum())
+        to, weight = place[rows[at_]], np.repeat(count[lo:hi] / np.maximum(k, 1), k)
+        return np.bincount(to[to >= 0], weight[to >= 0], width) / max(sizes[d], 1)
+
+    local, row = np.unique(rows, return_inverse=True)
+    place = np.full(ROWS, -1)
+    place[local] = np.arange(len(local))
+    one, two, with_y, there = (np.zeros(len(local)) for _ in range(4))
+    for d in range(n):
+        x = bag(d, place, len(local))
+        one += x
+        two += x * x
+        with_y += x * (y[d] - y.mean())
+        there += x > 0
+    spread = np.sqrt(np.maximum(two / n - (one / n) ** 2, 1e-16))
+    chance = np.abs(with_y) / (spread * y.std() * np.sqrt(n))
+    chosen = (chance >= max(CHANCE, RELATED * np.sqrt(n))) & (there >= LEAST)
+    used, scale = local[chosen], spread[chosen]
+    place[:] = -1
+    place[used] = np.arange(len(used))
+    bags = np.stack([bag(d, place, len(used)) for d in range(n)]).astype(np.float32) / scale.astype(np.float32)
+    e = rng.normal(0, 0.01, (len(used), SIZE)).astype(np.float32)
     out = rng.normal(0, 1.0, (SIZE, 2)).astype(np.float32)
     bias = np.log(np.array([1 - y.mean(), y.mean()], np.float32))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (e, out, bias)]
-
-    def reduce(x, starts_, some=None):
-        got = np.add.reduceat(x, np.minimum(starts_, len(x) - 1), axis=0)
-        if some is not None:
-            got[~some] = 0
-        return got
-
     for step in range(1, steps + 1):
-        words_ = reduce(e[row] * s32, w_at)
-        docs = reduce(words_[word] * w32, d_at, full)
+        docs = bags @ e
         z = docs @ out + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = p
-        g[:, 1] -= y
-        g[:, 0] -= 1 - y
-        g /= n
-        g_docs = (g @ out.T).astype(np.float32)
-        g_words = reduce((g_docs[doc] * w32)[back], b_at)
-        g_rows = reduce((g_words[who] * s32)[up], r_at) + DECAY * e
+        p[:, 1] -= y
+        p[:, 0] -= 1 - y
+        g = (p / n).astype(np.float32)
+        g_rows = bags.T @ (g @ out.T) + DECAY * e
         for i, (param, grad) in enumerate(((e, g_rows), (out, docs.T @ g), (bias, g.sum(0)))):
             m, s = state[i]
             m += 0.1 * (grad - m)
             s += 0.01 * (grad * grad - s)
             param -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
+    e /= scale[:, None]
     model = np.zeros(ROWS, np.float32)
     model[used] = e @ (out[:, 1] - out[:, 0])
     return model, float(bias[1] - bias[0])

@@ -6,6 +6,12 @@ from .op3_decontamination import SQL as OP3
 from .op3_decontamination import op3_decontamination
 from .op4_toxicity import op4_toxicity
 from .op5_packing import op5_packing
+from .op6_image_copies import op6_image_copies
+from .op7_license_scan import op7_license_scan
+from .op8_warc import SQL as OP8
+from .op8_warc import op8_warc
+from .op9_chat_format import SQL as OP9
+from .op9_chat_format import op9_chat_format
 from .op10_near_duplicates import op10_near_duplicates
 
 
@@ -16,9 +22,13 @@ def queries() -> dict:
         "op3_decontamination": op3_decontamination,
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
+        "op6_image_copies": op6_image_copies,
+        "op7_license_scan": op7_license_scan,
+        "op8_warc": op8_warc,
+        "op9_chat_format": op9_chat_format,
         "op10_near_duplicates": op10_near_duplicates,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3}
+    return {"op3_decontamination": OP3, "op8_warc": OP8, "op9_chat_format": OP9}
