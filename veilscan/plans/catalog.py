@@ -2,14 +2,17 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii, web
+from .registry import QUERIES, SQL
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return pii.pii_exposure_by_source(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
