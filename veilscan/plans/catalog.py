@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, web
+from . import identity, pii, web  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 
