@@ -21,7 +21,9 @@ def strongest(sightings: DataFrame, keys: list[str], tier: str = "tier", positio
 def evaluated(sightings: DataFrame, scans: DataFrame) -> DataFrame:
     """Each finding (identity, source, entity) in each scan of its source from its first sighting on, with ``seen``.
 
-    ``scans`` are the (identity, source, scan) that ran; findings meet their scans by key."""
+    ``scans`` are the (identity, source, scan) that ran; findings meet their scans by key. A sighting in a scan that
+    didn't run its source doesn't count."""
+    sightings = sightings.join(scans.select("identity", "source", "scan").distinct(), ["identity", "source", "scan"], "left_semi")
     first = sightings.groupBy("identity", "source", "entity").agg(F.min("scan").alias("first_scan"))
     grid = first.join(scans.select("identity", "source", "scan").distinct(), ["identity", "source"]).filter("scan >= first_scan").drop("first_scan")
     hits = sightings.select("identity", "source", "entity", "scan").distinct().withColumn("seen", F.lit(True))
