@@ -22,7 +22,7 @@ from .common import table, written
 CHUNK = 1 << 16
 #: Payloads shorter than this are always written whole.
 LEAST_BYTES = 0
-CHUNKS = "archive string, record long, chunk long, data binary, payload_bytes long, payload_crc32 long"
+CHUNKS = "archive string, record long, chunk long, data binary, payload_bytes long, payload_crc32 long, last boolean"
 _PAGE = "urn:page:"
 
 
@@ -85,7 +85,7 @@ def to_chunks(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
                     at += len(data)
                     seen, crc = seen + len(data), zlib.crc32(data, crc)
                     last = at >= len(body)
-                    out.append((archive, number, k, (head if k == 0 else b"") + data + (b"\r\n\r\n" if last else b""), seen, crc))
+                    out.append((archive, number, k, (head if k == 0 else b"") + data + (b"\r\n\r\n" if last else b""), seen, crc, last))
                     held += len(out[-1][3])
                     k += 1
                     if held > 4 << 20:
@@ -101,8 +101,8 @@ def to_chunks(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["archive", "record", "chunk", "data", "payload_bytes", "payload_crc32"])
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["archive", "record", "chunk", "data", "payload_bytes", "payload_crc32", "last"])
 
 
 class Reader:
@@ -149,7 +149,8 @@ class Reader:
 def from_chunks(chunks: DataFrame) -> DataFrame:
     """A row for each record: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Chunks of a record meet in a task in order of their number and go through a digest one at a time."""
+    Chunks of a record meet in a task in order of their number and go through a digest one at a time. Records of a
+    single chunk are read where they lie; only the chunks of longer ones are shuffled."""
 
     def read(batches):
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
@@ -177,8 +178,11 @@ def from_chunks(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names)
 
     n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = chunks.select("record", "chunk", "data", "payload_bytes", "payload_crc32").repartition(n, "record").sortWithinPartitions("record", "chunk")
-    return ordered.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    rows = chunks.select("record", "chunk", "data", "payload_bytes", "payload_crc32", "last")
+    alone = F.col("last") & (F.col("chunk") == 0)
+    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    ordered = rows.filter(~alone).drop("last").repartition(n, "record").sortWithinPartitions("record", "chunk")
+    return rows.filter(alone).drop("last").mapInArrow(read, kind).unionByName(ordered.mapInArrow(read, kind))
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
