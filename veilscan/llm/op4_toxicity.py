@@ -18,7 +18,7 @@ from pyspark.sql.functions import arrow_udf
 from .common import bucket, mix, slices, table, word_spans
 
 #: The most labelled documents that are learned from: those with the smallest hash of doc_id.
-SAMPLE = 4000
+SAMPLE = 2500
 ROWS, SIZE = 1 << 17, 4
 SHORTEST, LONGEST = 3, 5
 STEPS, RATE, DECAY = 200, 0.01, 3e-4
@@ -75,11 +75,15 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
     y = np.array(labels, float)
     if len(set(labels)) < 2:  # nothing to tell apart
         return np.zeros(ROWS, np.float32), 20.0 * float(y.mean() - 0.5) if len(y) else -20.0
-    rows, who, word, at = vocabulary(pa.array(texts, pa.large_string()))
-    n, v = len(texts), int(who.max(initial=-1)) + 1
-    sizes = np.diff(at)
+    n, v, parts = len(texts), 0, []
+    for part in slices(pa.array(texts, pa.large_string()), 1 << 20):  # a word of two slices is two words here: only memory differs
+        rows, who, word, at = vocabulary(part)
+        parts.append((rows.astype(np.int32), (who + v).astype(np.int32), (word + v).astype(np.int32), np.diff(at)))
+        v += int(who.max(initial=-1)) + 1
+    rows, who, word, sizes = (np.concatenate(x) for x in zip(*parts))
     pair, count = np.unique(np.repeat(np.arange(n), sizes) * max(v, 1) + word, return_counts=True)
     doc, word = pair // max(v, 1), pair % max(v, 1)
+    del parts, pair
     # An n-gram has a vector if its weight in documents goes with the label (RELATED) beyond chance (CHANCE): the
     # others, of which there are many more than documents, would only learn the sample by heart.
     shares = np.bincount(who, minlength=v)
@@ -95,7 +99,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, seed: int = S
         to, weight = place[rows[at_]], np.repeat(count[lo:hi] / np.maximum(k, 1), k)
         return np.bincount(to[to >= 0], weight[to >= 0], width) / max(sizes[d], 1)
 
-    local, row = np.unique(rows, return_inverse=True)
+    local = np.flatnonzero(np.bincount(rows, minlength=ROWS))
     place = np.full(ROWS, -1)
     place[local] = np.arange(len(local))
     one, two, with_y, there = (np.zeros(len(local)) for _ in range(4))
