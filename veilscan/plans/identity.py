@@ -56,27 +56,37 @@ def common_name_flag(spark, sf_dir):
 def identities(spark, sf_dir):
     """Customers as monitored identities: an address of the form that documents hold, a phone, a name, their nation as location."""
     c = customers(spark, sf_dir).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    mail = F.expr("concat('JO.', c_custkey % 100, '@mail', c_custkey % 10, '.example.com ')")
+    mail = F.expr("concat('JO.', c_custkey % 100, '@mail', cast(c_custkey / 100 as long) % 10, '.example.com ')")
     return c.select(F.col("c_custkey").alias("identity_id"), mail.alias("email"), F.expr("concat('+1 (', 200 + c_custkey % 700, ') 555-', lpad(c_custkey % 10000, 4, '0'))").alias("phone"), (F.col("c_custkey") % 2 == 0).alias("is_phone_verified"), F.lit(None).cast("string").alias("username"), "name", F.col("c_mktsegment").alias("organization"), F.col("n_name").alias("location"))
 
 
-_ID = "SELECT c_custkey AS identity_id, 'jo.' || (c_custkey % 100) || '@mail' || (c_custkey % 10) || '.example.com' AS mail FROM customer"
+_ID = f"SELECT min(doc_id) AS identity_id, lower(raw) AS mail FROM ({_MAILS}) GROUP BY 2"
 
 
-@query(f"WITH i AS ({_ID}), m AS (SELECT DISTINCT doc_id, lower(raw) AS mail FROM ({_MAILS})) SELECT identity_id, doc_id FROM i JOIN m USING (mail)")
+def owners(found_):
+    """An identity for each address, named by the first document that has it; the address in capitals, as people write it."""
+    null = [F.lit(None).cast(t).alias(n) for n, t in (("phone", "string"), ("is_phone_verified", "boolean"), ("username", "string"), ("name", "string"), ("organization", "string"), ("location", "string"))]
+    return found_.groupBy("normalized").agg(F.min("doc_id").alias("identity_id")).select("identity_id", F.concat(F.upper("normalized"), F.lit(" ")).alias("email"), *null)
+
+
+@query(f"WITH i AS ({_ID}), m AS (SELECT DISTINCT doc_id, lower(raw) AS mail FROM ({_MAILS})) SELECT DISTINCT identity_id, doc_id FROM i JOIN m USING (mail)")
 def match_email(spark, sf_dir):
-    s = E.signals(identities(spark, sf_dir), found(spark, sf_dir, D.emails))
+    f = found(spark, sf_dir, D.emails)
+    s = E.signals(owners(f), f)
     return s.filter("email").select("identity_id", "doc_id")
 
 
 _PHONE_SQL = r"SELECT DISTINCT doc_id, regexp_replace(raw, '[^0-9]', '', 'g') AS d FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])(\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4})(?:$|[^0-9])', 1)) AS raw FROM documents)"
 
 
-@query(f"""WITH p AS ({_PHONE_SQL}), i AS (SELECT c_custkey AS identity_id, c_custkey % 2 = 0 AS verified, '1' || (200 + c_custkey % 700) || '555' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS d FROM customer)
-SELECT identity_id, doc_id, verified AS phone, NOT verified AS attested FROM i JOIN p USING (d) WHERE regexp_matches(d, '^1[2-9][0-9]{{2}}[2-9][0-9]{{6}}$')""")
+@query(f"""WITH p AS (SELECT * FROM ({_PHONE_SQL}) WHERE regexp_matches(d, '^1[2-9][0-9]{{2}}[2-9][0-9]{{6}}$')), i AS (SELECT min(doc_id) AS identity_id, d FROM p GROUP BY d)
+SELECT DISTINCT identity_id, doc_id, identity_id % 2 = 0 AS phone, identity_id % 2 = 1 AS attested FROM i JOIN p USING (d)""")
 def match_phone(spark, sf_dir):
-    s = E.signals(identities(spark, sf_dir), found(spark, sf_dir, D.phones))
-    return s.filter("phone or attested").select("identity_id", "doc_id", "phone", "attested")
+    """An identity for each number; every second is verified."""
+    f = found(spark, sf_dir, D.phones).filter("normalized like '+1%'")
+    i = owners(f).withColumn("phone", F.trim("email")).withColumn("email", F.lit(None).cast("string")).withColumn("is_phone_verified", F.col("identity_id") % 2 == 0)
+    s = E.signals(i, f)
+    return s.filter("phone or attested").select("identity_id", "doc_id", "phone", "attested").distinct()
 
 
 @query("""SELECT c_custkey AS identity_id, n_nationkey AS doc_id, TRUE AS location FROM customer JOIN nation ON c_nationkey = n_nationkey""")
@@ -99,7 +109,8 @@ def match_username(spark, sf_dir):
 SELECT DISTINCT identity_id, doc_id, 'PUBLIC_EMAIL' AS exposure_type, CAST(0.9 AS DOUBLE) AS confidence, 'CONFIRMED' AS match_label, 'MEDIUM' AS severity, 50 AS rank, 'TARGETED_PHISHING' AS threats, 'REQUEST_REMOVAL,REVIEW_VISIBILITY' AS actions FROM i JOIN m USING (mail)""")
 def correlate_flagship(spark, sf_dir):
     """Addresses in documents, resolved to identities and judged."""
-    o = E.outcomes(E.signals(identities(spark, sf_dir), found(spark, sf_dir, D.emails)))
+    f = found(spark, sf_dir, D.emails)
+    o = E.outcomes(E.signals(owners(f), f).distinct())
     return o.select("identity_id", "doc_id", "exposure_type", "confidence", "match_label", "severity", "rank", F.array_join("threats", ",").alias("threats"), F.array_join("actions", ",").alias("actions"))
 
 
