@@ -7,9 +7,10 @@ probability of their weighted Jaccard similarity. Ranks are only searched up to
 however many elements it has; a document with an empty coordinate is searched further.
 
 Documents of equal shingle sets are one class at once and only their representative goes on. Representatives meet in
-bands. Buckets of few members give all pairs; in larger ones each member meets three hubs, and what the components
-found so far still leave apart inside a bucket is paired in a last round, so no bucket is cut short. Pairs pass a bound
-on their signatures, then an exact count of common shingles; components of the links are the classes.
+bands: in each bucket every member is paired with one, that of the smallest key, and pairs are checked by their exact
+common shingles. What the components of these links leave apart inside a bucket is compared in full, in blocks: tasks
+multiply the incidence matrices of two blocks of members and send out links alone. So no bucket is cut short and no
+pairs of a group are written out. Components of all links are the classes.
 """
 
 import numpy as np
@@ -21,9 +22,11 @@ from pyspark.sql.functions import arrow_udf
 from .common import mix, shingles, slices, table, words, written
 
 WIDTH, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 5
-#: Buckets of at most so many members give all their pairs at once.
-SMALL = 12
+BANDS, ROWS = 40, 7
+#: Bytes of text whose darts are thrown at a time.
+BYTES = 1 << 19
+#: Members of a bucket that are compared with as many others at a time.
+BLOCK = 192
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -75,64 +78,86 @@ def darts(elements: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, k:
 
 
 def signature(width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, counted: bool = False):
-    """A column function: a text's key (equal for equal shingle sets), band hashes, and a byte of each coordinate; null where it has no word."""
+    """A column function: a text's key (equal for equal shingle sets) and band hashes; null where it has no word."""
     k = bands * rows
 
-    @arrow_udf("struct<key:binary,bands:array<bigint>,code:binary>")
+    @arrow_udf("struct<key:binary,bands:array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
-        keys, banded, codes = [], [], []
-        for part in slices(texts):
+        keys, banded = [], []
+        for part in slices(texts, BYTES):
             hashes, at = words(part)
             n = len(part)
             e, d, w = weighted(*shingles(hashes, at, width), counted)
-            sums = [np.zeros(n + 1, np.uint64) for _ in range(2)]
-            for s, salt in zip(sums, (1, 2)):
-                run = np.append(np.zeros(1, np.uint64), np.cumsum(mix(e * np.uint64(2 * salt + 1) + w.astype(np.uint64))))
-                ends = np.searchsorted(d, np.arange(n + 1))
-                s[:n] = run[ends[1:]] - run[ends[:-1]]
             got = darts(e, d, w, n, k)
             folded = np.zeros((n, bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
             for r in range(rows):
                 folded = mix(folded * _STEP + got[:, r::rows])
             some = np.diff(at) > 0
-            pairs = np.stack([sums[0][:n], sums[1][:n]], 1)
-            code = mix(got).astype(np.uint8)
+            pairs = set_keys(e, d, w, n)
             keys += [pairs[i].tobytes() if some[i] else None for i in range(n)]
-            codes += [code[i].tobytes() if some[i] else None for i in range(n)]
             banded += [x if s else None for x, s in zip(folded.view(np.int64), some)]
-        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(banded, pa.list_(pa.int64())), pa.array(codes, pa.binary())], ["key", "bands", "code"])
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], ["key", "bands"])
 
     return sign
 
 
+def set_keys(elements: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """(n, 2) sums over each document's weighted elements: equal for equal sets, whatever their order."""
+    ends = np.searchsorted(doc, np.arange(n + 1))
+    out = np.zeros((n, 2), np.uint64)
+    for i in (0, 1):
+        run = np.append(np.zeros(1, np.uint64), np.cumsum(mix(elements * np.uint64(2 * i + 3) + weight.astype(np.uint64))))
+        out[:, i] = run[ends[1:]] - run[ends[:-1]]
+    return out
+
+
 def shingle_set(width: int = WIDTH):
-    """A column function: the distinct shingle hashes of a text, sorted, and its key as ``signature`` has it for plain sets."""
+    """A column function of a text and a key: the distinct shingle hashes, or null if the text's key is another."""
 
     @arrow_udf("array<bigint>")
-    def sets(texts: pa.Array) -> pa.Array:
-        values, sizes = [], []
-        for part in slices(texts):
-            e, d, _ = weighted(*shingles(*words(part), width), False)
-            values.append(e.view(np.int64))
-            sizes.append(np.bincount(d, minlength=len(part)))
-        sizes = np.concatenate(sizes) if sizes else np.zeros(0, int)
-        flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
+    def sets(texts: pa.Array, keys: pa.Array) -> pa.Array:
+        out, lo = [], 0
+        for part in slices(texts, BYTES):
+            e, d, w = weighted(*shingles(*words(part), width), False)
+            own = set_keys(e, d, w, len(part))
+            ends = np.searchsorted(d, np.arange(len(part) + 1))
+            out += [e[ends[i] : ends[i + 1]].view(np.int64) if own[i].tobytes() == keys[lo + i].as_py() else None for i in range(len(part))]
+            lo += len(part)
+        return pa.array(out, pa.list_(pa.int64()))
 
     return sets
 
 
-def agreement():
-    """A column function: the coordinates in which two codes agree."""
-
-    @arrow_udf("int")
-    def agree(a: pa.Array, b: pa.Array) -> pa.Array:
-        if not len(a):
-            return pa.array([], pa.int32())
-        x, y = (np.frombuffer(b"".join(z.to_pylist()), np.uint8).reshape(len(z), -1) for z in (a, b))
-        return pa.array((x == y).sum(1).astype(np.int32))
-
-    return agree
+def block_links(similarity: float):
+    """A column function of two blocks of members (key, label, set): pairs of keys of different labels whose sets are similar enough."""
+    kind = "array<struct<a:binary,b:binary>>"
+
+    def unpacked(members: pa.StructArray) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        sets = members.field("set")
+        ends = sets.offsets.to_numpy()
+        return members.field("key").to_pylist(), np.array(members.field("label").to_pylist(), object), np.diff(ends), sets.values.to_numpy()[ends[0] : ends[-1]]
+
+    @arrow_udf(kind)
+    def links(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for i in range(len(left)):
+            (ka, la, na, sa), (kb, lb, nb, sb) = (unpacked(x[i].values) for x in (left, right))
+            # only elements on both sides can be common
+            common = np.intersect1d(sa, sb)
+            rows = []
+            for s, n in ((sa, na), (sb, nb)):
+                at = np.searchsorted(common, s)
+                at[at == len(common)] = 0
+                hit = common[at] == s if len(common) else np.zeros(len(s), bool)
+                m = np.zeros((len(n), len(common)), np.float32)
+                m[np.repeat(np.arange(len(n)), n)[hit], at[hit]] = 1
+                rows.append(m)
+            shared = rows[0] @ rows[1].T
+            close = (shared >= similarity * (na[:, None] + nb[None, :] - shared) - 1e-6) & (la[:, None] != lb[None, :])
+            out.append([{"a": min(ka[x], kb[y]), "b": max(ka[x], kb[y])} for x, y in zip(*np.nonzero(close))])
+        return pa.array(out, pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))
+
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -155,40 +180,32 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     Linked are rows whose sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``; classes
     are the components. A text of fewer words is one shingle. A text without a word (null, empty) is a class of its own
     row. Repeated rows are of one class. Other columns are not read; an empty table gives no rows."""
-    k = bands * rows
     signed = docs.select(docs[doc_id].alias("doc_id"), signature(width, bands, rows)(docs[text]).alias("s"))
-    signed = written(signed.select("doc_id", "s.key", "s.bands", "s.code"))
-    sets = signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
-    sets = written(sets)
-    # one row of a key has its bands; equal keys have equal ones
-    reps = signed.filter("key is not null").join(sets.select("key", "first_id"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "bands", "code").dropDuplicates(["key"])
-    reps = written(reps)
+    signed = written(signed.select("doc_id", "s.key", "s.bands"))
+    sets = written(signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    # a row of the representative has the bands of its key
+    reps = signed.join(sets.select("key", "first_id"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "bands").dropDuplicates(["key"])
     members = reps.select("key", F.explode("bands").alias("bucket"))
-    hub = lambda seed: F.xxhash64("key", "bucket", F.lit(seed))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(hub(1)).alias("h1"), F.min(hub(2)).alias("h2"), F.min(hub(3)).alias("h3")).filter("size > 1")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("hub")).filter("size > 1")
     members = written(members.join(buckets, "bucket"))
 
-    few = members.filter(F.col("size") <= SMALL).select("bucket", "key")
-    pairs = few.select("bucket", F.col("key").alias("a")).join(few.select("bucket", F.col("key").alias("b")), "bucket").filter("a < b").select("a", "b")
-    many = members.filter(F.col("size") > SMALL)
-    for i in (1, 2, 3):
-        centre = many.filter(hub(i) == F.col(f"h{i}")).select("bucket", F.col("key").alias("c"))
-        star = many.select("bucket", "key").join(centre, "bucket").filter("key <> c")
-        pairs = pairs.unionByName(star.select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b")))
-
-    links = written(_verified(pairs.distinct(), reps, sets, docs, doc_id, text, width, similarity, k))
+    pairs = written(members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
+    whole = _sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), sets, docs, doc_id, text, width)
+    both = pairs.join(whole.withColumnsRenamed({"key": "a", "set": "x"}), "a").join(whole.withColumnsRenamed({"key": "b", "set": "y"}), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    links = written(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - F.lit(1e-6)).select("a", "b"))
     labels = components(links)
-    # large buckets that the components found so far leave apart: everyone outside a bucket's main component meets all the others
-    placed = written(many.select("bucket", "key", "h1").join(labels, "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("label")))
+
+    # buckets that the components leave apart: everyone outside a bucket's main component meets all the others, in blocks
+    placed = members.select("bucket", "size", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    apart = placed.join(main, "bucket")
-    outside = apart.filter("label <> main").select("bucket", F.col("key").alias("c"), F.col("label").alias("other"))
-    rest = apart.select("bucket", "key", "label").join(outside, "bucket").filter("label <> other").select(F.least("key", "c").alias("a"), F.greatest("key", "c").alias("b"))
-    if rest.limit(1).count():
-        more = written(_verified(rest.distinct(), reps, sets, docs, doc_id, text, width, similarity, k))
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+    apart = placed.join(main, "bucket").join(whole, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)))
+    block = lambda df, name: df.groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "label", "set")).alias(name)).select("bucket", name)
+    compared = block(apart.filter("label <> main"), "left").join(block(apart, "right"), "bucket").select(F.explode(block_links(similarity)("left", "right")).alias("p"))
+    more = written(compared.select("p.a", "p.b").distinct())
+    if more.limit(1).count():
+        labels = components(links.unionByName(more))
 
     grouped = sets.join(labels, "key", "left").select("key", "first_id", "n", F.coalesce("label", "key").alias("label"))
     classes = grouped.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
@@ -196,23 +213,12 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return signed.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"))
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, similarity: float, k: int) -> DataFrame:
-    """The pairs (a, b) of keys whose shingle sets are similar enough.
-
-    Agreement of k coordinates is binomial; pairs further below the similarity than six deviations are not looked at."""
-    bound = int(k * similarity - 6 * (k * similarity * (1 - similarity)) ** 0.5)
-    codes = reps.select("key", "code")
-    coded = pairs.join(codes.withColumnsRenamed({"key": "a", "code": "x"}), "a").join(codes.withColumnsRenamed({"key": "b", "code": "y"}), "b")
-    likely = written(coded.filter(agreement()("x", "y") >= bound).select("a", "b"))
-    wanted = likely.select(F.col("a").alias("key")).union(likely.select("b")).distinct().join(sets.select("key", "first_id"), "key")
-    named = wanted.select("key", F.col("first_id").alias("id"))
+def _sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """The shingle sets of keys, from the texts of their representatives."""
+    named = keys.join(sets.select("key", "first_id"), "key").select("key", F.col("first_id").alias("id"))
     texts = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).join(named, "id")
-    whole = texts.select("key", shingle_set(width)("text").alias("set"), F.col("text"))
-    # a repeated doc_id may carry another text: its set has another key
-    whole = written(whole.withColumn("own", signature(width, 1, 1)("text")["key"]).filter("own = key").select("key", "set").dropDuplicates(["key"]))
-    both = likely.join(whole.withColumnsRenamed({"key": "a", "set": "x"}), "a").join(whole.withColumnsRenamed({"key": "b", "set": "y"}), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common)).select("a", "b")
+    # a repeated doc_id may carry another text, of another key
+    return written(texts.select("key", shingle_set(width)("text", "key").alias("set")).filter("set is not null").dropDuplicates(["key"]))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **named) -> DataFrame:
