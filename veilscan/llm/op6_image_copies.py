@@ -18,15 +18,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import slices, table, words, written
+from .common import broadcast_if_small, mix, slices, table, words, written
 
-SIDE, CELLS = 80, 20
-SCALES = (1.0, 0.75, 0.5)
+SIDE, CELLS = 64, 26
+SCALES = (1.0, 0.7)
 CORNERS = 24  # of each scale: the strongest are the image's description
 PATCH, TURNS = 7, 32
-TABLES, KEY_BITS = 4, 24
+TABLES, KEY_BITS = 4, 32
+#: Bits of a number of a key in a table's bitmap.
+SLOT_BITS = 24
 #: Bits of 128 that may differ; pixels over which votes for a shift are one; votes that make a match.
-DIFFER, SLACK, VOTES = 20, 6, 6
+DIFFER, SLACK, VOTES = 12, 6, 5
 QUERY_EVERY = 100
 _DESCRIPTOR = "x float, y float, level int, d0 long, d1 long"
 
@@ -46,22 +48,40 @@ def _grown(n: int, m: int) -> np.ndarray:
     return out
 
 
+def drawn(pages: pa.Array):
+    """Images of pages, a bounded run at a time: (n, SIDE, SIDE) bytes.
+
+    A cell's brightness comes from the smallest hash among its words; a cell without words has one that one of the
+    page's smallest hashes gives. Null and empty pages are plain grey."""
+    stretch, none = _grown(CELLS, SIDE), np.iinfo(np.uint64).max
+    for part in slices(pages, 1 << 19):
+        hashes, at = words(part)
+        n = len(part)
+        cell = np.full((n, CELLS * CELLS), none, np.uint64)
+        doc = np.repeat(np.arange(n), np.diff(at))
+        np.minimum.at(cell.ravel(), doc * CELLS * CELLS + (hashes % np.uint64(CELLS * CELLS)).astype(np.int64), hashes)
+        low = np.sort(np.partition(cell, 16, axis=1)[:, :16], axis=1)
+        least = low[:, 0]
+        low = np.where(low == none, least[:, None], low)
+        filler = mix(low[:, np.arange(CELLS * CELLS) % 16] + np.arange(1, CELLS * CELLS + 1, dtype=np.uint64))
+        value = (np.where(cell == none, filler, cell) >> np.uint64(13)) & np.uint64(255)
+        value[least == none] = 128
+        grid = value.astype(np.float32).reshape(n, CELLS, CELLS)
+        yield np.clip(stretch @ grid @ stretch.T, 0, 255).astype(np.uint8)
+
+
+def stored(images: pa.Array):
+    """Images that a column holds as bytes, row by row, a bounded run at a time."""
+    for lo in range(0, len(images), 256):
+        yield np.stack([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, SIDE) for x in images.slice(lo, 256)])
+
+
 def page_image():
-    """A column function: the image of a page, SIDE x SIDE bytes, row by row. Null and empty pages are plain grey."""
+    """A column function: the image of a page, SIDE x SIDE bytes, row by row."""
 
     @arrow_udf("binary")
     def draw(pages: pa.Array) -> pa.Array:
-        out, stretch = [], _grown(CELLS, SIDE)
-        for part in slices(pages):
-            hashes, at = words(part)
-            n = len(part)
-            cell = np.full(n * CELLS * CELLS, np.iinfo(np.uint64).max, np.uint64)
-            doc = np.repeat(np.arange(n), np.diff(at))
-            np.minimum.at(cell, doc * CELLS * CELLS + (hashes % np.uint64(CELLS * CELLS)).astype(np.int64), hashes)
-            grid = np.where(cell == np.iinfo(np.uint64).max, 128, (cell >> np.uint64(13)) & np.uint64(255)).astype(np.float32).reshape(n, CELLS, CELLS)
-            images = np.clip(stretch @ grid @ stretch.T, 0, 255).astype(np.uint8)
-            out += [x.tobytes() for x in images]
-        return pa.array(out, pa.binary())
+        return pa.array([x.tobytes() for images in drawn(pages) for x in images], pa.binary())
 
     return draw
 
@@ -139,54 +159,64 @@ def keys(d0: np.ndarray, d1: np.ndarray) -> list[np.ndarray]:
     return [(d >> s) & mask for d in (d0, d1) for s in (0, KEY_BITS)]
 
 
-def descriptors(images: DataFrame, side: int = SIDE, edit: bool = False, bitmap=None) -> DataFrame:
-    """A row for each corner and table: id, x, y, level, d0, d1, t, key; of (id, image) rows, by bounded runs of images.
+def slots(key: np.ndarray) -> np.ndarray:
+    """A key's place in the bitmap of its table."""
+    return (mix(key.astype(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    With a broadcast ``bitmap`` (a bit for each key of each table), only rows whose key is in it."""
+
+def descriptors(images: DataFrame, source=stored, edit: bool = False, bitmap=None) -> DataFrame:
+    """A row for each corner and table: id, x, y, level, d0, d1, t, key, slot; of (id, image) rows, by bounded runs of images.
+
+    ``source`` makes images of the column. With a broadcast ``bitmap`` (a bit for each slot of each table), only rows whose key's slot is in it."""
 
     def run(batches):
-        names = ["id", "x", "y", "level", "d0", "d1", "t", "key"]
+        names = ["id", "x", "y", "level", "d0", "d1", "t", "key", "slot"]
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo in range(0, len(ids), 256):
-                some = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, side) for x in batch.column(1).slice(lo, 256)]
-                some = np.stack([edited(x) for x in some] if edit else some)
-                image, x, y, level, d0, d1 = describe(some)
+            ids, lo = batch.column(0), 0
+            for some in source(batch.column(1)):
+                own = ids.slice(lo, len(some)).to_numpy(zero_copy_only=False)
+                lo += len(some)
+                image, x, y, level, d0, d1 = describe(np.stack([edited(i) for i in some]) if edit else some)
                 for t, key in enumerate(keys(d0, d1)):
-                    keep = slice(None) if bitmap is None else (bitmap.value[t, key >> 3] >> (key & 7).astype(np.uint8)) & 1 > 0
-                    cols = [pa.array(ids[lo:][image[keep]], pa.int64(), from_pandas=True)]
+                    slot = slots(key)
+                    keep = slice(None) if bitmap is None else (bitmap.value[t, slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
+                    cols = [pa.array(own[image[keep]], pa.int64(), from_pandas=True)]
                     cols += [pa.array(np.asarray(c[keep], np.float32)) for c in (x, y)]
-                    cols += [pa.array(level[keep].astype(np.int32)), pa.array(d0[keep]), pa.array(d1[keep]), pa.array(np.full(len(cols[0]), t, np.int32)), pa.array(key[keep].astype(np.int64))]
+                    cols += [pa.array(level[keep].astype(np.int32)), pa.array(d0[keep]), pa.array(d1[keep]), pa.array(np.full(len(cols[0]), t, np.int32)), pa.array(key[keep].astype(np.int64)), pa.array(slot[keep])]
                     yield pa.RecordBatch.from_arrays(cols, names)
 
-    return images.select("id", "image").mapInArrow(run, f"id long, {_DESCRIPTOR}, t int, key long")
+    return images.select("id", "image").mapInArrow(run, f"id long, {_DESCRIPTOR}, t int, key long, slot long")
 
 
 def bitmap_of(rows: DataFrame) -> np.ndarray:
-    """A bit for each key of each table that occurs: at most 2**18 words a table reach the driver."""
-    bit = F.expr("shiftleft(1L, cast(key % 64 as int))")
-    got = rows.groupBy("t", F.expr("key div 64").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros((TABLES, 1 << (KEY_BITS - 6)), np.int64)
+    """A bit for each slot of each table that occurs: at most 2**18 words a table reach the driver."""
+    bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
+    got = rows.groupBy("t", F.expr("slot div 64").alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros((TABLES, 1 << (SLOT_BITS - 6)), np.int64)
     out[got["t"].to_numpy(), got["word"].to_numpy()] = got["bits"].to_numpy()
     return out.view(np.uint8)
 
 
-def copies(images: DataFrame, queries: DataFrame, side: int = SIDE, edit_queries: bool = False) -> DataFrame:
+def copies(images: DataFrame, queries: DataFrame, source=stored, edit_queries: bool = False) -> DataFrame:
     """(query_id, id, votes, scale, dx, dy) of images that a query matches: the best consensus, an image pixel being scale * query pixel + shift."""
-    asked = written(descriptors(queries, side, edit_queries))
+    asked = written(descriptors(queries, source, edit_queries))
     shared = images.sparkSession.sparkContext.broadcast(bitmap_of(asked))
-    found = descriptors(images, side, bitmap=shared)
+    found = descriptors(images, source, bitmap=shared).drop("slot")
     q = asked.select(F.col("id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("level").alias("ql"), F.col("d0").alias("q0"), F.col("d1").alias("q1"), "t", "key")
     both = found.join(q, ["t", "key"]).filter(F.bit_count(F.col("d0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("q1"))) <= DIFFER)
     scales = F.array(*[F.lit(s) for s in SCALES])
     # a corner at level l of a query shows at level m of an image that is scale times as large
     both = both.withColumn("scale", F.get(scales, F.col("ql")) / F.get(scales, F.col("level")))
     both = both.withColumn("dx", F.col("x") - F.col("scale") * F.col("qx")).withColumn("dy", F.col("y") - F.col("scale") * F.col("qy"))
+    both = written(both.select("query_id", "id", "qx", "qy", "ql", "scale", "dx", "dy"))
+    # most pairs of images share a corner or two by chance: only those with votes enough at any place are looked at
+    place = F.struct("qx", "qy", "ql")
+    enough = both.groupBy("query_id", "id", "scale").agg(F.count_distinct(place).alias("n")).filter(F.col("n") >= VOTES).drop("n")
+    both = both.join(enough, ["query_id", "id", "scale"], "left_semi")
     # two grids, half a cell apart, in each direction: votes that are close share a cell of one of them
     half = F.explode(F.array(F.lit(0.0), F.lit(SLACK / 2)))
     both = both.withColumn("ox", half).withColumn("oy", half)
     cell = [F.floor((F.col(d) + F.col(o)) / SLACK).alias(n) for d, o, n in (("dx", "ox", "cx"), ("dy", "oy", "cy"))]
-    place = F.struct("qx", "qy", "ql")
     votes = both.groupBy("query_id", "id", "scale", "ox", "oy", *cell).agg(F.count_distinct(place).alias("votes"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
     best = F.max(F.struct("votes", F.round("scale", 3).alias("scale"), F.round("dx", 1).alias("dx"), F.round("dy", 1).alias("dy")))
     return votes.filter(F.col("votes") >= VOTES).groupBy("query_id", "id").agg(best.alias("b")).select("query_id", "id", "b.votes", "b.scale", "b.dx", "b.dy")
@@ -202,11 +232,11 @@ def page_copies(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     rows = pages.select(pages[page_id].alias("page_id"), F.coalesce(pages[html], F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     asks = F.coalesce(F.col("page_id") % every == 0, F.lit(False))
     several = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max(asks).alias("asked"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    named = rows.join(several, "digest", "left").withColumn("class_id", F.coalesce("first_id", "page_id")).withColumn("ask", F.coalesce("asked", asks))
+    named = rows.join(broadcast_if_small(written(several)), "digest", "left").withColumn("class_id", F.coalesce("first_id", "page_id")).withColumn("ask", F.coalesce("asked", asks))
     reps = named.filter("page_id = class_id")
-    images = reps.select(F.col("page_id").alias("id"), page_image()("html").alias("image"))
-    queries = reps.filter("ask").select(F.col("page_id").alias("id"), page_image()("html").alias("image"))
-    match = copies(images, queries, edit_queries=True)
+    images = reps.select(F.col("page_id").alias("id"), F.col("html").alias("image"))
+    queries = reps.filter("ask").select(F.col("page_id").alias("id"), F.col("html").alias("image"))
+    match = copies(images, queries, drawn, edit_queries=True)
     none = F.lit(None)
     members = named.select(F.lit("member").alias("kind"), F.lit(None).cast("long").alias("query_id"), "page_id", "class_id", none.cast("long").alias("votes"), none.cast("double").alias("scale"), none.cast("double").alias("dx"), none.cast("double").alias("dy"))
     found = match.select(F.lit("match").alias("kind"), "query_id", F.col("id").alias("page_id"), F.col("id").alias("class_id"), "votes", "scale", "dx", "dy")

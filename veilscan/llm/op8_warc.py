@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import broadcast_if_small, table, written
 
 CHUNK = 1 << 16
 #: Payloads shorter than this are always written whole.
@@ -34,7 +34,7 @@ def named(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: int)
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     long = F.octet_length("html") >= least_bytes
     groups = rows.filter(long).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1 and response_id is not null").drop("n")
-    both = rows.join(groups, "digest", "left")
+    both = rows.join(broadcast_if_small(written(groups)), "digest", "left")
     own = F.col("page_id").eqNullSafe(F.col("response_id")) | ~long
     return both.select("page_id", "url", "html", "digest", F.when(own, F.lit(None)).otherwise(F.col("response_id")).alias("response_id"))
 
