@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import identity, monitoring, pii, web  # noqa: F401  (they register)
+from . import discovery, identity, monitoring, pii, web  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 
