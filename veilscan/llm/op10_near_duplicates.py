@@ -179,7 +179,8 @@ def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
 
     Linked are rows whose sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``; classes
     are the components. A text of fewer words is one shingle. A text without a word (null, empty) is a class of its own
-    row. Repeated rows are of one class. Other columns are not read; an empty table gives no rows."""
+    row. Repeated rows are of one class. Rows without doc_id link by equal sets alone. Other columns are not read; an
+    empty table gives no rows."""
     signed = docs.select(docs[doc_id].alias("doc_id"), signature(width, bands, rows)(docs[text]).alias("s"))
     signed = written(signed.select("doc_id", "s.key", "s.bands"))
     sets = written(signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
