@@ -43,9 +43,10 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _POWERS[name]
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 21):
+def slices(texts: pa.Array, most_bytes: int = 1 << 20):
     """Runs of rows of at most ``most_bytes`` of text (a longer text is a run of its own), as large_string arrays without nulls."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_string())
+    texts = texts.fill_null("") if texts.null_count else texts
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     lo = 0
     while lo < len(texts):

@@ -76,7 +76,7 @@ def bundles(texts: pa.Array, vectors: np.ndarray, gram: int = GRAM):
         place[used] = np.arange(len(used))
         out = np.zeros((n, vectors.shape[1]), np.float32)
         grams = bound(used, vectors, gram).astype(np.float32)
-        step = max(1, (1 << 22) // max(len(used), 1))  # rows of counts held at a time
+        step = max(1, (1 << 21) // max(len(used), 1))  # rows of counts held at a time
         at = np.searchsorted(doc, np.arange(0, n + step, step))
         for i, lo in enumerate(range(0, n, step)):
             d, c = doc[at[i] : at[i + 1]] - lo, place[codes[at[i] : at[i + 1]]]

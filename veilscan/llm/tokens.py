@@ -8,7 +8,9 @@ tokenizer itself, as do texts that hold a string of a special token.
 """
 
 import base64
+import json
 import re
+from functools import cached_property
 
 import numpy as np
 import public_tokenizers
@@ -18,7 +20,7 @@ from .common import slices
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Parts that a worker remembers: bounds its memory, not its results. Longer parts aren't remembered.
-REMEMBERED, LONGEST = 500_000, 32
+REMEMBERED, LONGEST = 250_000, 32
 #: Letters whose classes have never changed between Unicode versions.
 PLAIN = re.compile(r"[\t\n\r -~¡-ɏ]*").fullmatch
 EDGE = re.compile(r" [\t\n\r]|[\t\n\r] ").search
@@ -31,21 +33,31 @@ class Pieces:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
+        with open(path) as f:
+            self.special = [x["content"] for x in json.load(f)["added_tokens"]]
         ranks_path = path.rsplit(".", 1)[0] + ".tiktoken"
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.joint = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.width = np.zeros(max(ranks.values()) + 1, np.int64)
         self.width[list(ranks.values())] = [len(x) for x in ranks]
-        self.special = [x for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = [str(x.content) for x in self.special]
         self.known: dict[str, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        """The tokenizer itself, which takes much memory: loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _exact(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of whole texts: plain ones by the joint encoder, others by the tokenizer."""
+        plain = [bool(PLAIN(x)) and not any(s in x for s in self.special) for x in texts]
+        rest = [x for x, p in zip(texts, plain) if not p]
+        other = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        return [np.asarray(self.joint.encode_to_numpy(x) if p else next(other).ids, "<u4").tobytes() for x, p in zip(texts, plain)]
 
     def _fresh(self, bare: list[str]) -> dict[str, bytes]:
         """Ids of " " + each part."""
@@ -116,5 +128,5 @@ def pieces(vocabulary: str) -> Pieces:
 def encoded(texts: pa.Array, vocabulary: str):
     """Bytes of the ids of each text, a bounded run of texts at a time."""
     ready = pieces(vocabulary)
-    for part in slices(texts):
+    for part in slices(texts, 1 << 21):  # larger runs share more parts
         yield ready.encode(part.to_pylist())
