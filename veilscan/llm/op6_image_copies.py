@@ -28,7 +28,7 @@ TABLES, KEY_BITS = 4, 32
 #: Bits of a number of a key in a table's bitmap.
 SLOT_BITS = 24
 #: Bits of 128 that may differ; pixels over which votes for a shift are one; votes that make a match.
-DIFFER, SLACK, VOTES = 12, 6, 5
+DIFFER, SLACK, VOTES = 12, 6, 7
 QUERY_EVERY = 100
 _DESCRIPTOR = "x float, y float, level int, d0 long, d1 long"
 
