@@ -1,5 +1,6 @@
 """Helpers that the training-data operators share: scratch tables, words, shingles, hashes."""
 
+import ctypes
 import tempfile
 import uuid
 
@@ -25,6 +26,7 @@ _BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256,
 _BYTE = _BYTE[_LOW]
 _POWERS: dict[str, np.ndarray] = {}
 _OWN: dict[str, str] = {}
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,6 +55,14 @@ def slices(texts: pa.Array, most_bytes: int = 1 << 20):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most_bytes, "right")) - 1)
         yield texts.slice(lo, hi - lo)
         lo = hi
+    release()
+
+
+def release() -> None:
+    """Hands memory that the last run of texts has left free back to the system: workers live on and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
 
 
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -134,5 +144,12 @@ def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Rows of an Arrow batch where the session doesn't say: texts are long, and batches stand in memory on both sides.
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
