@@ -100,6 +100,48 @@ def test_scaled_copies_are_found(spark):
     assert op6_image_copies.copies(images, images.limit(0)).count() == 0
 
 
+def best_votes(a, b):
+    """The most votes of query b's corners for a place in image a, of all pairs of descriptors that share a key."""
+    o = op6_image_copies
+    differ = np.bitwise_count((a[4][:, None] ^ b[4]).view(np.uint64)).astype(int) + np.bitwise_count((a[5][:, None] ^ b[5]).view(np.uint64))
+    share = np.any([x[:, None] == y for x, y in zip(o.keys(a[4], a[5]), o.keys(b[4], b[5]))], axis=0)
+    i, j = np.nonzero(share & (differ <= 20))
+    votes = {}
+    for m, k in zip(i.tolist(), j.tolist()):
+        scale = o.SCALES[int(b[3][k])] / o.SCALES[int(a[3][m])]
+        # the queries' places reach the tasks as floats of 32 bits
+        dx, dy = (float(a[c][m]) - scale * float(np.float32(b[c][k])) for c in (1, 2))
+        for ox in (0, o.SLACK / 2):
+            for oy in (0, o.SLACK / 2):
+                votes.setdefault((scale, ox, oy, (dx + ox) // o.SLACK, (dy + oy) // o.SLACK), set()).add(k)
+    return max((len(v) for v in votes.values()), default=0)
+
+
+def test_resized_and_noised_copies_are_found(spark):
+    o, rng = op6_image_copies, np.random.default_rng(12)
+    stretch = o._grown(32, 128)
+    big = [np.clip(stretch @ rng.integers(0, 255, (32, 32)).astype(np.float32) @ stretch.T, 0, 255).astype(np.uint8) for _ in range(20)]
+    noised = lambda x: np.clip(x + rng.normal(0, 4, x.shape), 0, 255).astype(np.uint8)
+    asked = {}
+    for i, x in enumerate(big):
+        asked[i] = noised(x.reshape(64, 2, 64, 2).mean((1, 3)))
+        small = o._grown(128, 96) @ x.astype(np.float32) @ o._grown(128, 96).T
+        asked[100 + i] = noised(small)
+        asked[200 + i] = noised(x[:110, 10:120])
+    frame = lambda rows: spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in rows], "id long, image binary")
+    images, queries = frame(enumerate(big)), frame(asked.items())
+    got = o.copies(images, queries).collect()
+    found = {(r["query_id"], r["id"]): r["votes"] for r in got}
+    at = {i: o.describe(x[None]) for i, x in enumerate(big)}
+    want = {(q, i): best_votes(at[i], o.describe(x[None])) for q, x in asked.items() for i in at}
+    assert found == {k: v for k, v in want.items() if v >= o.VOTES}
+    for kind, scale in ((0, 2.0), (100, 1.333), (200, 1.0)):
+        assert sum((kind + i, i) in found for i in range(20)) >= 19, kind
+        assert {r["scale"] for r in got if r["query_id"] // 100 * 100 == kind and r["query_id"] % 100 == r["id"]} == {scale}
+    assert all(q % 100 == i for q, i in found)
+    assert sorted(o.copies(images, queries, block=7).collect()) == sorted(got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,17 +1,20 @@
 """Copies of images by local descriptors.
 
 Corners are found at several scales; each gets an orientation from its patch's centre of mass and a string of binary
-tests, rotated to that orientation. Four parts of the string are keys of Hamming tables: descriptors of queries and
-images that share a key are joined, compared in full, and vote for the shift and scale that takes one image to the
-other. Votes that agree in place are a geometric consensus, which cropped, brightened or partly painted copies keep.
+tests, rotated to that orientation. Six parts of the string are keys of Hamming tables: descriptors of queries and
+images that share a key are compared in full, and vote for the shift and scale that takes one image to the other.
+Votes that agree in place are a geometric consensus, which cropped, brightened, smaller or partly painted copies keep.
 
 The tables here have no image column, so ``page_image`` draws one from each page: a texture whose cells take their
 brightness from the page's words, so equal pages have equal images and edited pages images with local changes.
 
-Equal images are one class and only its representative is described. Keys of the queries go to the tasks as bitmaps of
-fixed size (8 MB), and descriptors that no query can meet are not shuffled.
+Equal images are one class and only its representative is described. Queries go to the tasks in blocks of bounded size,
+with a bitmap of their keys (12 MB). All corners of an image are in one task, so votes are counted there and only
+matches leave it; images are described again for each further block.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,16 +23,18 @@ from pyspark.sql.functions import arrow_udf
 
 from .common import broadcast_if_small, mix, slices, table, words, written
 
-SIDE, CELLS = 64, 26
-SCALES = (1.0, 0.7)
+SIDE, CELLS = 80, 20
+SCALES = (1.0, 0.75, 0.5)
 CORNERS = 24  # of each scale: the strongest are the image's description
 PATCH, TURNS = 7, 32
-TABLES, KEY_BITS = 4, 32
+TABLES, KEY_BITS = 6, 21
 #: Bits of a number of a key in a table's bitmap.
 SLOT_BITS = 24
 #: Bits of 128 that may differ; pixels over which votes for a shift are one; votes that make a match.
-DIFFER, SLACK, VOTES = 12, 6, 7
+DIFFER, SLACK, VOTES = 20, 6, 7
 QUERY_EVERY = 100
+#: Query images of a block, and pairs of descriptors that a task compares at once.
+BLOCK, PAIRS = 32768, 1 << 20
 _DESCRIPTOR = "x float, y float, level int, d0 long, d1 long"
 
 _rng = np.random.default_rng(29)
@@ -48,11 +53,17 @@ def _grown(n: int, m: int) -> np.ndarray:
     return out
 
 
+def _shrunk(n: int, m: int) -> np.ndarray:
+    """The (m, n) matrix that averages n values to m of equal width."""
+    edge = np.arange(m + 1) * (n / m)
+    share = np.minimum(edge[1:, None], np.arange(1, n + 1)) - np.maximum(edge[:-1, None], np.arange(n))
+    return (np.clip(share, 0, None) * (m / n)).astype(np.float32)
+
+
 def drawn(pages: pa.Array):
     """Images of pages, a bounded run at a time: (n, SIDE, SIDE) bytes.
 
-    A cell's brightness comes from the smallest hash among its words; a cell without words has one that one of the
-    page's smallest hashes gives. Null and empty pages are plain grey."""
+    A cell's brightness comes from the smallest hash among its words; a cell without words is grey, as null and empty pages are."""
     stretch, none = _grown(CELLS, SIDE), np.iinfo(np.uint64).max
     for part in slices(pages, 1 << 19):
         hashes, at = words(part)
@@ -60,20 +71,21 @@ def drawn(pages: pa.Array):
         cell = np.full((n, CELLS * CELLS), none, np.uint64)
         doc = np.repeat(np.arange(n), np.diff(at))
         np.minimum.at(cell.ravel(), doc * CELLS * CELLS + (hashes % np.uint64(CELLS * CELLS)).astype(np.int64), hashes)
-        low = np.sort(np.partition(cell, 16, axis=1)[:, :16], axis=1)
-        least = low[:, 0]
-        low = np.where(low == none, least[:, None], low)
-        filler = mix(low[:, np.arange(CELLS * CELLS) % 16] + np.arange(1, CELLS * CELLS + 1, dtype=np.uint64))
-        value = (np.where(cell == none, filler, cell) >> np.uint64(13)) & np.uint64(255)
-        value[least == none] = 128
+        value = np.where(cell == none, np.uint64(128), (cell >> np.uint64(13)) & np.uint64(255))
         grid = value.astype(np.float32).reshape(n, CELLS, CELLS)
         yield np.clip(stretch @ grid @ stretch.T, 0, 255).astype(np.uint8)
 
 
 def stored(images: pa.Array):
-    """Images that a column holds as bytes, row by row, a bounded run at a time."""
-    for lo in range(0, len(images), 256):
-        yield np.stack([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, SIDE) for x in images.slice(lo, 256)])
+    """Square images that a column holds as bytes, row by row, in bounded runs of one size."""
+    sides = [math.isqrt(len(x.as_buffer())) for x in images]
+    lo = 0
+    while lo < len(images):
+        hi = lo + 1
+        while hi < min(len(images), lo + 256) and sides[hi] == sides[lo]:
+            hi += 1
+        yield np.stack([np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, sides[lo]) for x in images.slice(lo, hi - lo)])
+        lo = hi
 
 
 def page_image():
@@ -118,7 +130,7 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
             continue
         x = images.astype(np.float32)
         if scale != 1.0:
-            x = _grown(h, a) @ x @ _grown(w, b).T
+            x = _shrunk(h, a) @ x @ _shrunk(w, b).T
         x = _box(x, 1) / 9
         gy, gx = np.gradient(x, axis=(1, 2))
         xx, yy, xy = (_box(g, 2) for g in (gx * gx, gy * gy, gx * gy))
@@ -156,7 +168,7 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, ...]:
 def keys(d0: np.ndarray, d1: np.ndarray) -> list[np.ndarray]:
     """The keys of the Hamming tables: disjoint runs of bits."""
     mask = (1 << KEY_BITS) - 1
-    return [(d >> s) & mask for d in (d0, d1) for s in (0, KEY_BITS)]
+    return [(d >> s) & mask for d in (d0, d1) for s in range(0, 64 - KEY_BITS + 1, KEY_BITS)]
 
 
 def slots(key: np.ndarray) -> np.ndarray:
@@ -164,13 +176,11 @@ def slots(key: np.ndarray) -> np.ndarray:
     return (mix(key.astype(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def descriptors(images: DataFrame, source=stored, edit: bool = False, bitmap=None) -> DataFrame:
-    """A row for each corner and table: id, x, y, level, d0, d1, t, key, slot; of (id, image) rows, by bounded runs of images.
-
-    ``source`` makes images of the column. With a broadcast ``bitmap`` (a bit for each slot of each table), only rows whose key's slot is in it."""
+def descriptors(images: DataFrame, source=stored, edit: bool = False) -> DataFrame:
+    """A row for each corner and table: id, x, y, level, d0, d1, t, slot; of (id, image) rows, by bounded runs of images that ``source`` makes of the column."""
 
     def run(batches):
-        names = ["id", "x", "y", "level", "d0", "d1", "t", "key", "slot"]
+        names = ["id", "x", "y", "level", "d0", "d1", "t", "slot"]
         for batch in batches:
             ids, lo = batch.column(0), 0
             for some in source(batch.column(1)):
@@ -178,14 +188,12 @@ def descriptors(images: DataFrame, source=stored, edit: bool = False, bitmap=Non
                 lo += len(some)
                 image, x, y, level, d0, d1 = describe(np.stack([edited(i) for i in some]) if edit else some)
                 for t, key in enumerate(keys(d0, d1)):
-                    slot = slots(key)
-                    keep = slice(None) if bitmap is None else (bitmap.value[t, slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-                    cols = [pa.array(own[image[keep]], pa.int64(), from_pandas=True)]
-                    cols += [pa.array(np.asarray(c[keep], np.float32)) for c in (x, y)]
-                    cols += [pa.array(level[keep].astype(np.int32)), pa.array(d0[keep]), pa.array(d1[keep]), pa.array(np.full(len(cols[0]), t, np.int32)), pa.array(key[keep].astype(np.int64)), pa.array(slot[keep])]
+                    cols = [pa.array(own[image], pa.int64(), from_pandas=True)]
+                    cols += [pa.array(np.asarray(c, np.float32)) for c in (x, y)]
+                    cols += [pa.array(level.astype(np.int32)), pa.array(d0), pa.array(d1), pa.array(np.full(len(image), t, np.int32)), pa.array(slots(key))]
                     yield pa.RecordBatch.from_arrays(cols, names)
 
-    return images.select("id", "image").mapInArrow(run, f"id long, {_DESCRIPTOR}, t int, key long, slot long")
+    return images.select("id", "image").mapInArrow(run, f"id long, {_DESCRIPTOR}, t int, slot long")
 
 
 def bitmap_of(rows: DataFrame) -> np.ndarray:
@@ -197,29 +205,155 @@ def bitmap_of(rows: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def copies(images: DataFrame, queries: DataFrame, source=stored, edit_queries: bool = False) -> DataFrame:
-    """(query_id, id, votes, scale, dx, dy) of images that a query matches: the best consensus, an image pixel being scale * query pixel + shift."""
+class Block:
+    """Descriptors of some queries, ordered by each table's key. ``place`` numbers the corners, ``ids`` has the queries of the numbers in ``query``."""
+
+    def __init__(self, rows: pa.Table, bitmap: np.ndarray):
+        col = {n: rows[n].to_numpy() for n in rows.column_names}
+        order = np.lexsort([col[n] for n in ("level", "y", "x", "id")])
+        col = {n: c[order] for n, c in col.items()}
+        new = np.zeros(len(order), bool)
+        for n in ("id", "x", "y", "level"):
+            new[1:] |= col[n][1:] != col[n][:-1]
+        self.place = np.cumsum(new).astype(np.int32)
+        self.ids, query = np.unique(col["id"], return_inverse=True)
+        self.query, self.level, self.bitmap = query.astype(np.int32), col["level"].astype(np.int8), bitmap
+        self.x, self.y, self.d0, self.d1 = (col[n] for n in ("x", "y", "d0", "d1"))
+        self.tables = []
+        for key in keys(self.d0, self.d1):
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            self.tables.append((key[order].astype(np.int32), order))
+
+
+def _near(block: Block, d0: np.ndarray, d1: np.ndarray, tables: list):
+    """Pairs (corner, query's descriptor) that share a key and differ in at most DIFFER bits, each once; ``tables`` has corners and their ranges of each table."""
+    mask = (1 << KEY_BITS) - 1
+    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for t, (corner, lo, n) in enumerate(tables):
+        ends = np.cumsum(n)
+        for first in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            at = np.arange(first, min(first + PAIRS, int(ends[-1])))
+            which = np.searchsorted(ends, at, "right")
+            i, j = corner[which], block.tables[t][1][lo[which] + at - (ends[which] - n[which])]
+            a, b = d0[i] ^ block.d0[j], d1[i] ^ block.d1[j]
+            keep = np.bitwise_count(a.view(np.uint64)).astype(np.int16) + np.bitwise_count(b.view(np.uint64)) <= DIFFER
+            i, j, a, b = i[keep], j[keep], a[keep], b[keep]
+            seen = np.zeros(len(i), bool)  # an earlier table has the pair
+            for key in keys(a, b)[:t]:
+                seen |= key & mask == 0
+            got.append((i[~seen], j[~seen].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*got))
+
+
+def _groups(cols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal rows stand together, and the number of each row's group in it."""
+    order = np.lexsort(cols[::-1])
+    new = np.zeros(len(order), bool)
+    for c in cols:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    return order, np.cumsum(new)
+
+
+def _distinct(group: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How many places each group has; rows of a group and place stand together."""
+    new = np.ones(len(group), bool)
+    new[1:] = (group[1:] != group[:-1]) | (place[1:] != place[:-1])
+    return np.bincount(group[new])
+
+
+def consensus(block: Block, described: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """For the corners of images: image number, query number, votes, scale, dx and dy of the places with VOTES votes or more."""
+    out = [tuple(np.zeros(0) for _ in range(6))]
+    image, x, y, level, d0, d1 = described
+    order = np.argsort(image, kind="stable")
+    image, x, y, level, d0, d1 = (c[order] for c in (image, x, y, level, d0, d1))
+    tables, load = [], np.zeros(len(image), np.int64)
+    for t, key in enumerate(keys(d0, d1)):
+        slot = slots(key)
+        corner = np.flatnonzero((block.bitmap[t, slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+        lo = np.searchsorted(block.tables[t][0], key[corner].astype(np.int32), "left")
+        n = np.searchsorted(block.tables[t][0], key[corner].astype(np.int32), "right") - lo
+        load[corner] += n
+        tables.append((corner, lo, n))
+    # runs of whole images, so that a run's pairs are bounded
+    firsts = np.flatnonzero(np.r_[True, image[1:] != image[:-1]]) if len(image) else np.zeros(0, np.int64)
+    total = np.r_[0, np.cumsum(load)]
+    ends, at = np.r_[firsts[1:], len(image)], 0
+    while at < len(firsts):
+        to = max(at + 1, int(np.searchsorted(total[ends], total[firsts[at]] + PAIRS, "right")))
+        a, b = firsts[at], ends[to - 1]
+        at = to
+        i, j = _near(block, d0, d1, [tuple(c[slice(*np.searchsorted(corner, (a, b)))] for c in (corner, lo, n)) for corner, lo, n in tables])
+        # a corner at level l of a query shows at level m of an image that is scale times as large
+        ratio = block.level[j] * len(SCALES) + level[i]
+        table = np.array([q / m for q in SCALES for m in SCALES])
+        scale = table[ratio]
+        # most pairs of images share a corner or two by chance: only those with votes enough at any place are looked at
+        order, group = _groups([image[i], block.query[j], scale, block.place[j]])
+        i, j, scale = i[order], j[order], scale[order]
+        order, pair = _groups([image[i], block.query[j], scale])
+        keep = (_distinct(pair, block.place[j]) >= VOTES)[pair] if len(i) else np.zeros(0, bool)
+        i, j, scale = i[keep], j[keep], scale[keep]
+        if not len(i):
+            continue
+        dx, dy = x[i] - scale * block.x[j], y[i] - scale * block.y[j]
+        # two grids, half a cell apart, in each direction: votes that are close share a cell of one of them
+        for ox in (0.0, SLACK / 2):
+            for oy in (0.0, SLACK / 2):
+                cell = [image[i], block.query[j], scale, np.floor((dx + ox) / SLACK), np.floor((dy + oy) / SLACK)]
+                order, _ = _groups([*cell, block.place[j]])
+                _, group = _groups([c[order] for c in cell])
+                votes, rows = _distinct(group, block.place[j][order]), np.bincount(group)
+                first = np.cumsum(rows) - rows
+                good = votes >= VOTES
+                own = order[first[good]]
+                sums = [np.bincount(group, d[order])[good] / rows[good] for d in (dx, dy)]
+                out.append((image[i][own], block.query[j][own], votes[good], scale[own], *sums))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
+def copies(images: DataFrame, queries: DataFrame, source=stored, edit_queries: bool = False, block: int = BLOCK) -> DataFrame:
+    """(query_id, id, votes, scale, dx, dy) of images that a query matches: the best consensus, an image pixel being scale * query pixel + shift.
+
+    Queries are asked in turn in blocks of about ``block`` images, whose matches are written before the next."""
+    spark = images.sparkSession
     asked = written(descriptors(queries, source, edit_queries))
-    shared = images.sparkSession.sparkContext.broadcast(bitmap_of(asked))
-    found = descriptors(images, source, bitmap=shared).drop("slot")
-    q = asked.select(F.col("id").alias("query_id"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("level").alias("ql"), F.col("d0").alias("q0"), F.col("d1").alias("q1"), "t", "key")
-    both = found.join(q, ["t", "key"]).filter(F.bit_count(F.col("d0").bitwiseXOR(F.col("q0"))) + F.bit_count(F.col("d1").bitwiseXOR(F.col("q1"))) <= DIFFER)
-    scales = F.array(*[F.lit(s) for s in SCALES])
-    # a corner at level l of a query shows at level m of an image that is scale times as large
-    both = both.withColumn("scale", F.get(scales, F.col("ql")) / F.get(scales, F.col("level")))
-    both = both.withColumn("dx", F.col("x") - F.col("scale") * F.col("qx")).withColumn("dy", F.col("y") - F.col("scale") * F.col("qy"))
-    both = written(both.select("query_id", "id", "qx", "qy", "ql", "scale", "dx", "dy"))
-    # most pairs of images share a corner or two by chance: only those with votes enough at any place are looked at
-    place = F.struct("qx", "qy", "ql")
-    enough = both.groupBy("query_id", "id", "scale").agg(F.count_distinct(place).alias("n")).filter(F.col("n") >= VOTES).drop("n")
-    both = both.join(enough, ["query_id", "id", "scale"], "left_semi")
-    # two grids, half a cell apart, in each direction: votes that are close share a cell of one of them
-    half = F.explode(F.array(F.lit(0.0), F.lit(SLACK / 2)))
-    both = both.withColumn("ox", half).withColumn("oy", half)
-    cell = [F.floor((F.col(d) + F.col(o)) / SLACK).alias(n) for d, o, n in (("dx", "ox", "cx"), ("dy", "oy", "cy"))]
-    votes = both.groupBy("query_id", "id", "scale", "ox", "oy", *cell).agg(F.count_distinct(place).alias("votes"), F.avg("dx").alias("dx"), F.avg("dy").alias("dy"))
+    n = -(-asked.select("id").distinct().count() // block)
+    found = []
+    for k in range(n):
+        own = asked.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == k)
+        rows = own.filter("t = 0").select("id", "x", "y", "level", "d0", "d1").distinct().toArrow()
+        if not rows.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast(Block(rows, bitmap_of(own)))
+        found.append(written(_matches(images, source, shared)))
+        shared.destroy()
+    if not found:
+        return spark.createDataFrame([], _MATCH)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
     best = F.max(F.struct("votes", F.round("scale", 3).alias("scale"), F.round("dx", 1).alias("dx"), F.round("dy", 1).alias("dy")))
-    return votes.filter(F.col("votes") >= VOTES).groupBy("query_id", "id").agg(best.alias("b")).select("query_id", "id", "b.votes", "b.scale", "b.dx", "b.dy")
+    return every.groupBy("query_id", "id").agg(best.alias("b")).select("query_id", "id", "b.votes", "b.scale", "b.dx", "b.dy")
+
+
+_MATCH = "query_id long, id long, votes long, scale double, dx double, dy double"
+
+
+def _matches(images: DataFrame, source, shared) -> DataFrame:
+    """Places with votes enough between (id, image) rows and a broadcast block's queries, counted inside the tasks."""
+
+    def run(batches):
+        for batch in batches:
+            ids, lo = batch.column(0), 0
+            for some in source(batch.column(1)):
+                own = ids.slice(lo, len(some))
+                lo += len(some)
+                image, query, votes, scale, dx, dy = consensus(shared.value, describe(some))
+                cols = [pa.array(shared.value.ids[query.astype(np.int64)], pa.int64()), own.take(pa.array(image.astype(np.int64))), pa.array(votes.astype(np.int64)), *[pa.array(c.astype(float)) for c in (scale, dx, dy)]]
+                yield pa.RecordBatch.from_arrays(cols, ["query_id", "id", "votes", "scale", "dx", "dy"])
+
+    return images.select(F.col("id").cast("long").alias("id"), "image").mapInArrow(run, _MATCH)
 
 
 def page_copies(pages: DataFrame, page_id: str = "page_id", html: str = "html", every: int = QUERY_EVERY) -> DataFrame:
