@@ -43,6 +43,17 @@ def test_query_is_its_sql(spark, db, name):
     assert rows(got) == rows(want)
 
 
+def test_long_texts_are_chunked_whole(spark, tmp_path):
+    texts = [(1, "aé😀" * 12000), (2, "x" * 21721), (3, ""), (4, None), (5, "short")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.queries()["doc_chunks_whole"](spark, str(tmp_path)).toArrow()
+    assert rows(got) == rows(c.execute(catalog.oracle_sql()["doc_chunks_whole"]).to_arrow_table())
+    last = {d: max(s + len(x) for e, s, x in zip(*(got[n].to_pylist() for n in ("doc_id", "start", "chunk"))) if e == d) for d in (1, 2, 3, 5)}
+    assert last == {1: 36000, 2: 21721, 3: 0, 5: 5}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0

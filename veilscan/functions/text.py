@@ -38,11 +38,13 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[\s ]+", " "))
 
 
-def chunks(text: Column) -> Column:
-    """Overlapping windows of a text: number, start, text. At most ``WINDOWS``: a tail beyond them makes the answer partial."""
+def chunks(text: Column, windows: int | None = WINDOWS) -> Column:
+    """Overlapping windows of a text: number, start, text, partial. None covers the whole text; of at most ``windows`` windows, a tail beyond them makes each of them partial."""
     n = F.length(text)
-    starts = F.slice(F.sequence(F.lit(0), F.greatest(n - OVERLAP - 1, F.lit(0)), F.lit(WIDTH - OVERLAP)), 1, WINDOWS)
-    return F.transform(starts, lambda s, i: F.struct(i.alias("number"), s.alias("start"), F.substring(text, s + 1, WIDTH).alias("text")))
+    starts = F.sequence(F.lit(0), F.greatest(n - OVERLAP - 1, F.lit(0)), F.lit(WIDTH - OVERLAP))
+    partial = F.lit(False) if windows is None else F.size(starts) > windows
+    starts = starts if windows is None else F.slice(starts, 1, windows)
+    return F.transform(starts, lambda s, i: F.struct(i.alias("number"), s.alias("start"), F.substring(text, s + 1, WIDTH).alias("text"), partial.alias("partial")))
 
 
 def utf16_offset(text: Column, offset: Column) -> Column:

@@ -106,6 +106,14 @@ def doc_chunks(spark, sf_dir):
     return d.select("doc_id", F.col("c.number").cast("int").alias("number"), "c.start", F.col("c.text").alias("chunk"))
 
 
+@query("""WITH s AS (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 121, 0), 1080)) AS start FROM documents)
+SELECT doc_id, CAST(start // 1080 AS INTEGER) AS number, CAST(start AS INTEGER) AS start, substr(text, CAST(start AS INTEGER) + 1, 1200) AS chunk, FALSE AS partial FROM s""")
+def doc_chunks_whole(spark, sf_dir):
+    """As ``doc_chunks``, whose SQL stops after 20 windows, over the whole text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"), None)).alias("c"))
+    return d.select("doc_id", F.col("c.number").cast("int").alias("number"), "c.start", F.col("c.text").alias("chunk"), "c.partial")
+
+
 @query("""SELECT doc_id, left(text, 2000) AS preview, length(text) > 20000 AS truncated, length(left(text, 20000)) AS n_read, sha256(text) AS sha FROM documents""")
 def doc_truncate_preview(spark, sf_dir):
     t = F.col("text")
