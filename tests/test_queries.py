@@ -54,6 +54,51 @@ def test_long_texts_are_chunked_whole(spark, tmp_path):
     assert last == {1: 36000, 2: 21721, 3: 0, 5: 5}
 
 
+def test_identities_are_correlated_by_all_signals(spark, tmp_path):
+    customers = spark.createDataFrame([(k, k % 3, ("BUILDING", "MACHINERY")[k % 2]) for k in range(1, 61)], "c_custkey long, c_nationkey long, c_mktsegment string")
+    nations = spark.createDataFrame([(0, "SAUDI ARABIA"), (1, "PERU"), (2, "CHINA")], "n_nationkey long, n_name string")
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    nations.write.parquet(f"{tmp_path}/nation.parquet")
+    from veilscan.plans import identity
+
+    who = {r["identity_id"]: r for r in identity.identities(spark, str(tmp_path)).collect()}
+    mail, phone, name = (lambda k: who[k]["email"].strip().lower()), (lambda k: who[k]["phone"]), (lambda k: who[k]["name"])
+    first, last = name(9).split()
+    texts = {
+        1: f"Write to {mail(4)} now.",
+        2: f"Call {phone(6)} or {phone(7)}, in Saudi  Arabia.",
+        3: f"{name(5).upper()} works here.",
+        4: f"{name(8)}, machinery and building, China",
+        5: f"Mr. {first[0]}. {last} of peru",
+        6: f"{mail(10)} {phone(10)} {name(10)} Building",
+        7: "Building in Peru, nobody named",
+        8: None,
+    }
+    docs = spark.createDataFrame([(d, "s", "en", t) for d, t in texts.items()], "doc_id long, source string, lang string, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for d, t in texts.items():
+        words = [w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()]
+        says = lambda x: f" {x.lower()} " in f" {' '.join(words)} "  # noqa: E731, B023
+        org, loc = {x for x in ("building", "machinery") if says(x)}, {x for x in ("saudi arabia", "peru", "china") if says(x)}
+        for k, i in who.items():
+            f, n = i["name"].split()
+            s = {"email": mail(k) in (t or ""), "phone": phone(k) in (t or "") and k % 2 == 0, "attested": phone(k) in (t or "") and k % 2 == 1, "name": says(f"{f} {n}") or says(f"{f[0]} {n}")}
+            if any(s.values()):
+                s |= {"org": i["organization"].lower() in org, "location": i["location"].lower() in loc, "common": s["name"]}
+                exact, cor = s["email"] or s["phone"], s["org"] + s["location"]
+                raw = (90 if exact else 60 if s["attested"] else 30) + 5 * s["org"] + 3 * s["location"] - 10 * s["common"]
+                raw = min(raw, 50) if s["name"] and not exact else raw
+                label = "CONFIRMED" if exact or (s["name"] and cor >= 2) else "POTENTIAL"
+                want[k, d] = (",".join(x for x in ("email", "phone", "attested", "name", "org", "location", "common") if s[x]), min(raw, 98) / 100, label)
+    got = catalog.queries()["correlate_identities"](spark, str(tmp_path)).collect()
+    assert {(r["identity_id"], r["doc_id"]): (r["signals"], round(r["confidence"], 6), r["match_label"]) for r in got if r["doc_id"]} == want
+    assert {r["identity_id"] for r in got if r["doc_id"] is None} == set(who) - {k for k, _ in want}
+    assert len(got) == len(want) + len(set(who) - {k for k, _ in want})
+    assert {d for _, d in want} == {1, 2, 3, 4, 5, 6} and len({v for v in want.values()}) >= 6
+    assert len({r["severity"] for r in got}) > 2 and len({r["actions"] for r in got}) > 2
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, DATA).count() > 0

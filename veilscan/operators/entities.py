@@ -58,6 +58,22 @@ def fuse(found: DataFrame, ner: DataFrame) -> DataFrame:
     return structured.unionByName(rest)
 
 
+def gazetted(docs: DataFrame, values: DataFrame, most: int = 200_000) -> DataFrame:
+    """(doc_id, type, normalized) of the (type, value) rows whose words follow one another in a (doc_id, text) row, whatever the case.
+
+    Runs of as many words as some value has are looked up; at most ``most`` values go to every task, more are joined by a shuffle."""
+    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    v = values.filter("value is not null").select("type", F.trim("value").alias("normalized"), F.array_join(words(F.col("value")), " ").alias("gram"), F.size(words(F.col("value"))).alias("n")).filter("n > 0").distinct()
+    lengths = sorted(r["n"] for r in v.select("n").distinct().collect())
+    if not lengths:
+        return docs.select("doc_id", F.lit("").alias("type"), F.lit("").alias("normalized")).limit(0)
+    w = F.col("w")
+    run = lambda n: w if n == 1 else F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.slice(w, 1, 0))
+    grams = docs.filter("text is not null").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[run(n) for n in lengths]))).alias("gram"))
+    v = v.drop("n")
+    return grams.join(F.broadcast(v) if v.limit(most + 1).count() <= most else v, "gram").select("doc_id", "type", "normalized").distinct()
+
+
 def signals(identities: DataFrame, entities: DataFrame) -> DataFrame:
     """One row for each (identity, document) that any key or name links, with its signals.
 

@@ -1,5 +1,7 @@
 """Queries over identities: names, matches, signals, rules, plans, golden classes."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import detect as D
@@ -114,6 +116,31 @@ def correlate_flagship(spark, sf_dir):
     return o.select("identity_id", "doc_id", "exposure_type", "confidence", "match_label", "severity", "rank", F.array_join("threats", ",").alias("threats"), F.array_join("actions", ",").alias("actions"))
 
 
+def monitored(spark, sf_dir):
+    """Spans of all detectors and the gazetteer's people, organizations and locations in documents: a table in the shared folder, as each kind of match reads it."""
+    i = identities(spark, sf_dir)
+    t = names.tokens(F.col("name"))
+    short = F.when(F.size(t) > 1, F.concat(F.left(F.get(t, F.lit(0)), F.lit(1)), F.lit(" "), F.element_at(t, -1)))
+    value = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("value"))
+    v = i.select(F.explode(F.array(value("PERSON", F.col("name")), value("PERSON", short), value("ORGANIZATION", F.col("organization")), value("LOCATION", F.col("location")))).alias("v")).select("v.*").distinct()
+    f = found(spark, sf_dir, D.emails, D.phones, D.aadhaars, D.pans).select("doc_id", "type", "normalized")
+    e = f.unionByName(E.gazetted(table(spark, sf_dir, "documents"), v))
+    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/entities-{uuid.uuid4().hex}"
+    e.write.parquet(path)
+    return i, spark.read.schema(e.schema).parquet(path)
+
+
+@query()
+def correlate_identities(spark, sf_dir):
+    """Customers, resolved to the documents that any of their signals link and judged; one without a document has a row without one. ``correlate_flagship`` is its part for addresses that documents hold."""
+    i, e = monitored(spark, sf_dir)
+    s = E.signals(i, e)
+    flags = F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in ("email", "phone", "attested", "username", "name", "org", "location", "common")]))
+    o = E.outcomes(s).join(s.select("identity_id", "doc_id", F.array_join(flags, ",").alias("signals")), ["identity_id", "doc_id"])
+    o = o.select("identity_id", "doc_id", "signals", "exposure_type", F.array_join("pii_types", ",").alias("pii_types"), "confidence", "match_label", "severity", "rank", F.array_join("threats", ",").alias("threats"), F.array_join("actions", ",").alias("actions"))
+    return i.select("identity_id").join(o, "identity_id", "left")
+
+
 _BITS = ["email", "phone", "username", "attested", "name", "org", "location", "common"]
 _TYPES = ["EMAIL", "PHONE", "ADDRESS", "AADHAAR", "ORGANIZATION"]
 _KINDS = ["PUBLIC_PROFILE", "DATA_BROKER_LISTING", "CREDENTIAL_EXPOSURE", "PUBLIC_EMAIL", "GOVT_ID"]
