@@ -1,7 +1,5 @@
 """Queries over identities: names, matches, signals, rules, plans, golden classes."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import detect as D
@@ -10,6 +8,7 @@ from ..functions import normalize as N
 from ..operators import entities as E
 from ..operators import evaluate as V
 from ..sources.dims import COMMON_NAMES, threats
+from ..sources.scratch import written
 from .pii import _MAILS, found
 from .registry import query, table
 
@@ -125,9 +124,7 @@ def monitored(spark, sf_dir):
     v = i.select(F.explode(F.array(value("PERSON", F.col("name")), value("PERSON", short), value("ORGANIZATION", F.col("organization")), value("LOCATION", F.col("location")))).alias("v")).select("v.*").distinct()
     f = found(spark, sf_dir, D.emails, D.phones, D.aadhaars, D.pans).select("doc_id", "type", "normalized")
     e = f.unionByName(E.gazetted(table(spark, sf_dir, "documents"), v))
-    path = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/entities-{uuid.uuid4().hex}"
-    e.write.parquet(path)
-    return i, spark.read.schema(e.schema).parquet(path)
+    return i, written(e)
 
 
 @query()

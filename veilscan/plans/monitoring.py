@@ -4,13 +4,12 @@ A user is an identity, a day a scan, an event type a source, the key in props an
 remediation, and a day with an error of the user is an outage of the source ``view``.
 """
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..operators import monitor as M
 from ..sources import records
+from ..sources.scratch import new_path
 from ..streaming import lifecycle as S
 from .registry import SQL, query, table
 
@@ -272,14 +271,14 @@ def broker_candidates(spark, sf_dir):
 
 def _drained(stream, spark, mode: str = "append"):
     """What a stream has written once its input is read: a table in the shared folder."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
     stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/log").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
 def _staged(rows, spark):
     """Rows as files that a stream reads."""
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp/checkpoints')}/stream-{uuid.uuid4().hex}"
+    root = new_path(spark, "stream")
     rows.write.parquet(root)
     return spark.readStream.schema(rows.schema).parquet(root)
 
