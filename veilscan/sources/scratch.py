@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
+_MADE: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -25,11 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, kind: str = "table") -> str:
-    """A path in the shared folder that nothing has used; what is written there goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/veilscan-{kind}-{uuid.uuid4().hex}"
-    hadoop, system = _file_system(spark, path)
-    system.deleteOnExit(hadoop)
-    return path
+    """A path in the shared folder that nothing has used, in a folder of the application that goes when the driver's JVM ends."""
+    top = f"{shared_dir(spark)}/veilscan-{spark.sparkContext.applicationId}"
+    if top not in _MADE:
+        hadoop, system = _file_system(spark, top)
+        system.mkdirs(hadoop)
+        system.deleteOnExit(hadoop)
+        _MADE.add(top)
+    return f"{top}/{kind}-{uuid.uuid4().hex}"
 
 
 def _file_system(spark: SparkSession, path: str):
