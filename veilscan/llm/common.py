@@ -1,18 +1,23 @@
-"""Helpers that the training-data operators share: scratch tables, words, shingles, hashes."""
+"""Helpers that the training-data operators share: words, shingles, hashes, what a worker remembers."""
 
 import ctypes
-import tempfile
-import uuid
+import gc
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import broadcast_if_small, removed, shared_dir, written  # noqa: F401  (operators take them from here)
+
 #: Lower-case A-Z only; a word is a run of digits, a-z and anything outside ASCII.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Bytes of text whose words are hashed at a time: bounds the arrays that stand beside a text, however long it is.
+CHUNK = 1 << 20
+
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _IS_WORD = np.ones(256, bool)
@@ -22,13 +27,28 @@ _IS_WORD[65:91] = True  # capitals count as the small letters they become
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE = _BYTE[_LOW]
+BYTE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+LOW_BYTE = BYTE[_LOW]
 _POWERS: dict[str, np.ndarray] = {}
-_OWN: dict[str, str] = {}
+_HELD: dict[str, tuple] = {}
 _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
+def held(owner: str) -> dict:
+    """What a worker keeps for one operator between batches. What other operators kept in earlier tasks goes, so that the stages of a job don't add up."""
+    context = TaskContext.get()
+    now = context.taskAttemptId() if context else None
+    others = [name for name, (task, _) in _HELD.items() if name != owner and task != now]
+    for name in others:
+        del _HELD[name]
+    if others:
+        gc.collect()
+        release()
+    kept = _HELD[owner][1] if owner in _HELD else {}
+    _HELD[owner] = (now, kept)
+    return kept
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over an array."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -37,19 +57,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0, 1, ... n - 1 modulo 2**64."""
-    if len(_POWERS.get(name, ())) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
+    """base ** 0, 1, ... n - 1 modulo 2**64; those for one chunk are kept."""
+    if n > CHUNK or name not in _POWERS:
+        steps = np.full(max(n, CHUNK), base, np.uint64)
         steps[0] = 1
-        _POWERS[name] = np.multiply.accumulate(steps)
-    return _POWERS[name]
+        made = np.multiply.accumulate(steps)
+        if n > CHUNK:
+            return made[:n]
+        _POWERS[name] = made
+    return _POWERS[name][:n]
 
 
-def slices(texts: pa.Array, most_bytes: int = 1 << 20):
+def slices(texts: pa.Array, most_bytes: int = CHUNK):
     """Runs of rows of at most ``most_bytes`` of text (a longer text is a run of its own), as large_string arrays without nulls."""
     texts = texts.cast(pa.large_string())
     texts = texts.fill_null("") if texts.null_count else texts
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    ends = text_ends(texts)
     lo = 0
     while lo < len(texts):
         hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most_bytes, "right")) - 1)
@@ -65,6 +88,33 @@ def release() -> None:
         _LIBC.malloc_trim(0)
 
 
+def text_ends(texts: pa.Array) -> np.ndarray:
+    """Offsets into the bytes of a large_string array, one more than texts."""
+    return np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of a large_string array, and each text's offsets (one more than texts)."""
+    ends = text_ends(texts)
+    first, last = int(ends[0]), int(ends[-1])
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[first:last] if last > first else np.zeros(0, np.uint8)
+    return data, ends - first
+
+
+def hashed(data: np.ndarray, begin: np.ndarray, stop: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, in order of place: byte values times powers of the place in the span, taken for a chunk at once from running sums."""
+    out, i = np.zeros(len(begin), np.uint64), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(stop, begin[i] + CHUNK, "right")))
+        lo, hi = int(begin[i]), int(stop[j - 1])
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(table[data[lo:hi]] * _powers("p", _P, hi - lo), out=sums[1:])
+        a, b = begin[i:j] - lo, stop[i:j] - lo
+        out[i:j] = (sums[b] - sums[a]) * _powers("q", _P_INV, hi - lo)[a]
+        i = j
+    return mix(out)
+
+
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word of a large_string array, and the words of each text: offsets into the hashes (one more than texts)."""
     hashes, at, _ = word_spans(texts)
@@ -72,30 +122,25 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """As ``words``, with the lower-case bytes of all texts and each word's first byte and the byte past its last.
-
-    The hash is a sum of byte values times powers of the place in the word, taken for all words at once from running sums."""
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    first, last = int(ends[0]), int(ends[-1])
-    if first == last:
-        none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64), (np.zeros(0, np.uint8), none, none)
-    data = np.frombuffer(texts.buffers()[2], np.uint8)[first:last]
-    ends = ends - first
+    """As ``words``, with the bytes of all texts (capitals as they are) and each word's first byte and the byte past its last."""
+    data, ends = text_bytes(texts)
     inside = _IS_WORD[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     cuts = ends[:-1][ends[:-1] < len(data)]
     begin[cuts] = inside[cuts]
+    begin = np.flatnonzero(begin)
     stop = inside.copy()
     stop[:-1] &= ~inside[1:]
     cuts = ends[1:][ends[1:] > 0] - 1
     stop[cuts] = inside[cuts]
-    begin, stop = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers("p", _P, len(data))[: len(data)], out=sums[1:])
-    got = (sums[stop] - sums[begin]) * _powers("q", _P_INV, len(data))[begin]
-    return mix(got), np.searchsorted(begin, ends), (_LOW[data], begin, stop)
+    del inside
+    stop = np.flatnonzero(stop) + 1
+    return hashed(data, begin, stop, LOW_BYTE), np.searchsorted(begin, ends), (data, begin, stop)
+
+
+def lower_bytes(data: np.ndarray) -> np.ndarray:
+    return _LOW[data]
 
 
 def shingles(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,33 +168,13 @@ def bucket(doc_id: Column, parts: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(parts))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one where it is unset, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        app = spark.sparkContext.applicationId
-        where = _OWN.setdefault(app, _OWN.get(app) or "file://" + tempfile.mkdtemp(prefix="veilscan-"))
-    return where.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """The frame as a table in the shared folder: it cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/veilscan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """A written table of at most ``most`` short rows goes to every task; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-#: Rows of an Arrow batch where the session doesn't say: texts are long, and batches stand in memory on both sides.
-BATCH_ROWS = 2000
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame doesn't have, whatever the case."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
