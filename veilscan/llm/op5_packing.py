@@ -1,10 +1,11 @@
 """Packing: documents are dealt to windows by a plan over the histogram of their lengths.
 
 A document is its ids and an end id. Whole windows of it stand alone. What is left over (less than a window) has a
-length; combinations of at most three different lengths that fill a window exactly are enumerated, and non-negative
-least squares gives how often each is wanted, so that the lengths of the plan match the histogram. Rounded down and
-held to the supply, the plan says for the r-th remainder of a length in which sequence and where it lies. Remainders
-that no combination takes are cut into powers of two, which fill windows without a gap, largest first.
+length; shallow combinations of at most three different lengths that fill a window exactly are enumerated, and
+non-negative least squares gives how often each is wanted, so that the lengths of the plan match the histogram. Rounded
+and held to the supply, the plan says for the r-th remainder of a length in which sequence and where it lies. Residuals
+are packed greedily, the longest first and then the longest that still fits; where that would leave a window short, the
+remainders are cut at powers of two instead, which fill windows without a gap, so only the last sequence is padded.
 
 The histogram has one number a length, so planning on the driver doesn't grow with the corpus. Texts are read once and
 are never shuffled: a row carries checksums of its possible pieces.
@@ -34,21 +35,22 @@ def measured(docs: DataFrame, doc_id: str, text: str, vocabulary: str, window: i
     @arrow_udf(kind)
     def measure(texts: pa.Array) -> pa.Array:
         out = []
-        for part in encoded(texts, vocabulary):
-            for ids in part:
-                ids += end
-                n, lo = len(ids) // 4, 0
-                view = memoryview(ids)
-                whole = []
-                while n - lo // 4 >= window:
-                    whole.append(zlib.crc32(view[lo : lo + 4 * window]))
-                    lo += 4 * window
-                rest, cut = zlib.crc32(view[lo:]), []
+        for ids, at in encoded(texts, vocabulary):
+            view = memoryview(ids.astype("<u4")).cast("B") if len(ids) else memoryview(b"")
+            for first, last in zip(at[:-1].tolist(), at[1:].tolist()):
+                n = last - first + 1  # the end id is the last
+
+                def crc(lo: int, hi: int) -> int:
+                    own = zlib.crc32(view[4 * (first + lo) : 4 * (first + min(hi, n - 1))])
+                    return zlib.crc32(end, own) if hi == n else own
+
+                full = n // window
+                lo, cut = full * window, []
                 for bit in range(window.bit_length() - 2, -1, -1):
                     if (n % window) >> bit & 1:
-                        cut.append(zlib.crc32(view[lo : lo + (4 << bit)]))
-                        lo += 4 << bit
-                out.append({"n": n, "whole": whole, "rest": rest, "cut": cut})
+                        cut.append(crc(lo, lo + (1 << bit)))
+                        lo += 1 << bit
+                out.append({"n": n, "whole": [crc(k * window, (k + 1) * window) for k in range(full)], "rest": crc(full * window, n) if n % window else 0, "cut": cut})
         return pa.array(out, pa.struct([("n", pa.int64()), ("whole", pa.list_(pa.int64())), ("rest", pa.int64()), ("cut", pa.list_(pa.int64()))]))
 
     got = docs.select(docs[doc_id].alias("doc_id"), measure(docs[text]).alias("m"))
@@ -87,49 +89,94 @@ def combinations(supply: np.ndarray, window: int, common: int = 32) -> tuple[np.
     return np.concatenate(lengths), np.concatenate(takes)
 
 
-def least_squares(lengths: np.ndarray, takes: np.ndarray, supply: np.ndarray, rounds: int = 150) -> np.ndarray:
-    """x >= 0 with least ||A x - supply||, where A[l, j] is how often combination j takes length l; by multiplicative steps, which keep signs."""
+def least_squares(lengths: np.ndarray, takes: np.ndarray, supply: np.ndarray, rounds: int = 400, gain: float = 1e-4) -> tuple[np.ndarray, float]:
+    """x >= 0 with least ||A x - supply||, and that norm over ||supply||; A[l, j] is how often combination j takes length l.
+
+    Multiplicative steps keep signs and never make the norm larger; they end when ten of them gain less than ``gain`` of ||supply||."""
     want = supply.astype(float)
     want[0] = 0.0
+    norm = max(float(np.linalg.norm(want)), 1e-12)
     to = (takes * want[lengths]).sum(1)
     x = np.where(to > 0, 1.0, 0.0) * max(want.sum() / max(takes.sum(), 1), 1e-9)
-    for _ in range(rounds):
-        made = np.bincount(lengths.ravel(), (takes * x[:, None]).ravel(), len(want))
+    flat, last = lengths.ravel(), np.inf
+    for i in range(rounds + 1):
+        made = np.bincount(flat, (takes * x[:, None]).ravel(), len(want))
         made[0] = 0.0
-        x *= to / np.maximum((takes * made[lengths]).sum(1), 1e-12)
-    return x
+        residual = float(np.linalg.norm(made - want)) / norm
+        if i % 10 == 0:
+            if last - residual < gain or i == rounds:
+                break
+            last = residual
+        x = x * (to / np.maximum((takes * made[lengths]).sum(1), 1e-12))
+    return x, residual
+
+
+def greedy(left: np.ndarray, window: int):
+    """Patterns {length: how often} that greedy packing, the longest first, finds to fill a window; takes what they use from ``left``. Each comes with its number of windows."""
+    for a in range(window - 1, 0, -1):
+        while left[a]:
+            pattern, room = {a: 1}, window - a
+            b = room
+            while room and b:
+                b = min(b, room)
+                there = np.flatnonzero(left[1 : b + 1])
+                if not len(there):
+                    break
+                b = int(there[-1]) + 1
+                k = min(room // b, int(left[b]) - pattern.get(b, 0))
+                if k > 0:
+                    pattern[b] = pattern.get(b, 0) + k
+                    room -= k * b
+                b -= 1
+            if room:
+                break  # this length would leave the window short
+            n = min(int(left[c]) // k for c, k in pattern.items())
+            for c, k in pattern.items():
+                left[c] -= n * k
+            yield pattern, n
 
 
 def plan(supply: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """Rows (length, first rank, past the last rank, first sequence, place, taken by a sequence), sorted by length and rank; and what is left of each length."""
     left = supply.astype(np.int64).copy()
     left[0] = 0
-    rows, sequence, used = [], 0, np.zeros(len(left), np.int64)
+    rows, sequence, used, residual = [], 0, np.zeros(len(left), np.int64), 0.0
+
+    def take(pairs: list[tuple[int, int]], n: int) -> None:
+        nonlocal sequence
+        place = 0
+        for a, k in pairs:
+            rows.append((a, used[a], used[a] + n * k, sequence, place, k))
+            used[a] += n * k
+            place += a * k
+        sequence += n
+
     if left.any():
         lengths, takes = combinations(left, window)
-        x = least_squares(lengths, takes, left)
-        for counts in (np.floor(x + 0.5).astype(np.int64), None):
-            for j in np.argsort(-x, kind="stable").tolist():
-                pairs = [(int(a), int(k)) for a, k in zip(lengths[j], takes[j]) if k]
-                most = min(left[a] // k for a, k in pairs)
-                n = int(most if counts is None else min(most, counts[j]))
+        x, residual = least_squares(lengths, takes, left)
+        order = np.argsort(-x, kind="stable")
+        often, wanted = left.tolist(), np.floor(x[order] + 0.5).astype(np.int64).tolist()
+        every = [[(a, k) for a, k in zip(c, t) if k] for c, t in zip(lengths[order].tolist(), takes[order].tolist())]
+        for bounded in (True, False):  # as rounded; then what combinations can still take
+            for pairs, most in zip(every, wanted):
+                n = min([often[a] // k for a, k in pairs] + [most] * bounded)
                 if n > 0:
-                    place = 0
+                    take(pairs, n)
                     for a, k in pairs:
-                        rows.append((a, used[a], used[a] + n * k, sequence, place, k))
-                        used[a] += n * k
-                        left[a] -= n * k
-                        place += a * k
-                    sequence += n
+                        often[a] -= n * k
+        left = np.array(often, np.int64)
+        for pattern, n in greedy(left, window):
+            take(list(pattern.items()), n)
     rows = np.array(sorted(rows), np.int64).reshape(-1, 6)
-    return {"rows": rows, "left": left, "used": used, "sequences": np.int64(sequence)}
+    return {"rows": rows, "left": left, "used": used, "sequences": np.int64(sequence), "residual": residual}
 
 
 def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null text is empty, so its document is the end id alone. A null or repeated doc_id is carried as it is: each row is
-    packed once. Other columns are not read. An empty table gives no pieces. ``window`` is a power of two."""
+    A null or empty text's document is the end id alone; a very long text is windows of its own and a rest. A null or
+    repeated doc_id is carried as it is: each row is packed once. Rows of equal length (ties) are ranked by doc_id and
+    checksum. Other columns are not read, whatever their names. An empty table gives no pieces. ``window`` is a power of two."""
     if window & (window - 1) or window < 2:
         raise ValueError("the window must be a power of two")
     rows = written(measured(docs, doc_id, text, vocabulary, window, end_id))
