@@ -1,99 +1,128 @@
 """Near-duplicates: DartMinHash signatures, banded joining, exact checks, components.
 
-Darts are thrown at the plane of each element (weight across, rank upwards) by a hashed Poisson process of density one,
-so equal elements get equal darts in every document. A document keeps the darts that fall below the weight of its
-element, and the earliest of each of ``k`` coordinates makes its signature: two documents agree in a coordinate with the
-probability of their weighted Jaccard similarity. Ranks are only searched up to about k(ln k + 2) darts a document,
-however many elements it has; a document with an empty coordinate is searched further.
-
-Documents of equal shingle sets are one class at once and only their representative goes on. Representatives meet in
-bands: in each bucket every member is paired with one, that of the smallest key, and pairs are checked by their exact
-common shingles. What the components of these links leave apart inside a bucket is compared in full, in blocks: tasks
-multiply the incidence matrices of two blocks of members and send out links alone. So no bucket is cut short and no
-pairs of a group are written out. Components of all links are the classes.
+A document's shingles fall into a fixed space of coordinates (SPACE), and a coordinate's weight is how many of them it
+has: a sparse weighted set, bounded however long the text is. Its weighted Jaccard similarity is never below that of the
+shingles themselves. Darts are thrown at the plane of each coordinate (weight across, rank upwards) by a hashed Poisson
+process of density one, so equal coordinates get equal darts in every document. A document keeps the darts that fall
+below the weight of their coordinate, and the earliest of each of ``k`` numbers makes its signature: two documents agree
+in a number with the probability of their weighted similarity. Ranks are only searched up to about k(ln k + 2) darts a
+document, however many elements it has; a document with an empty number is searched further.
+
+Documents of equal shingles are one class at once and only their representative goes on. Representatives meet in bands:
+in each bucket every member is paired with one, that of the smallest key, and pairs are checked by their exact common
+shingles. What the components of these links leave apart inside a bucket is compared in full, in blocks of bounded size:
+tasks multiply the incidence matrices of two blocks of members and send out links alone; each pair of blocks has a key
+of its own. So no bucket is cut short and no pairs of a group are written out. Components of all links are the classes.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import mix, shingles, slices, table, words, written
+from .common import fresh, mix, removed, shingles, slices, table, words, written
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
+#: Coordinates of the weighted sets.
+SPACE = 1 << 20
 #: Bytes of text whose darts are thrown at a time.
 BYTES = 1 << 19
-#: Members of a bucket that are compared with as many others at a time.
-BLOCK = 192
+#: Coordinates whose darts are thrown at once.
+THROWN = 1 << 18
+#: Members and shingles of a block of a bucket, and shingles that two blocks are compared by at a time.
+BLOCK, ELEMENTS, COMPARED = 192, 1 << 16, 1 << 14
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def weighted(elements: np.ndarray, doc: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct elements of each document, the document, and the weight: 1, or how often it stands there."""
-    order = np.lexsort((elements, doc))
-    e, d = elements[order], doc[order]
+def elements(texts: pa.Array, width: int, counted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, in order, and the texts they belong to. ``counted``: the n-th of equal shingles is an element of its own, so that similarity weighs shingles by how often they stand."""
+    e, d = shingles(*words(texts), width)
+    order = np.lexsort((e, d))
+    e, d = e[order], d[order]
     new = np.ones(len(e), bool)
     new[1:] = (e[1:] != e[:-1]) | (d[1:] != d[:-1])
+    if not counted:
+        return e[new], d[new]
+    first = np.flatnonzero(new)
+    nth = np.arange(len(e)) - np.repeat(first, np.diff(np.append(first, len(e))))
+    e = np.where(nth > 0, mix(e + _STEP * nth.astype(np.uint64)), e)
+    order = np.lexsort((e, d))
+    return e[order], d[order]
+
+
+def weighted(e: np.ndarray, doc: np.ndarray, space: int = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coordinates of each document's elements, the document, and the weight: how many elements a coordinate has."""
+    place = mix(e + np.uint64(1)) % np.uint64(space)
+    order = np.lexsort((place, doc))
+    place, doc = place[order], doc[order]
+    new = np.ones(len(place), bool)
+    new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    weight = np.diff(np.append(at, len(e))).astype(float) if counted else np.ones(len(at))
-    return e[at], d[at], weight
+    return place[at], doc[at], np.diff(np.append(at, len(place))).astype(float)
 
 
-def darts(elements: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
-    """An (n, k) array of dart numbers; documents without elements have zeros."""
-    best = np.full(n * k, np.iinfo(np.uint64).max, np.uint64)
+def darts(coordinates: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int, k: int) -> np.ndarray:
+    """An (n, k) array of dart numbers; documents without elements have zeros. Weights may be any positive numbers."""
+    none = np.iinfo(np.uint64).max
+    best = np.full(n * k, none, np.uint64)
     total = np.bincount(doc, weight, n)
     reach = np.zeros(n)
     reach[total > 0] = k * (np.log(k) + 2) / total[total > 0]
     todo = total > 0
     while todo.any():
-        mine = todo[doc]
-        e, d, w = elements[mine], doc[mine], weight[mine]
-        cells = np.ceil(w).astype(np.int64)  # unit cells of weight; each has its own process of darts
-        row = np.repeat(np.arange(len(e)), cells)
-        cell = np.arange(len(row)) - np.repeat(np.cumsum(cells) - cells, cells)
-        seed = mix(e[row] + _STEP * (cell.astype(np.uint64) + np.uint64(1)))
-        rank, step, chunk = np.zeros(len(row)), 0, 1
-        while len(row):
-            h = mix(seed[:, None] + _STEP * np.arange(step + 1, step + chunk + 1, dtype=np.uint64))
-            ranks = rank[:, None] - np.cumsum(np.log1p(-((h >> np.uint64(11)).astype(float) * 2.0**-53)), 1)
-            i, j = np.nonzero(ranks <= reach[d[row]][:, None])
-            if len(i):
-                g = mix(h[i, j])
-                place = cell[i] + (mix(g) >> np.uint64(11)).astype(float) * 2.0**-53
-                hit = place < w[row[i]]
-                i, j, g = i[hit], j[hit], g[hit]
-                packed = (ranks[i, j].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (g >> np.uint64(32))
-                np.minimum.at(best, d[row[i]] * k + (g % np.uint64(k)).astype(np.int64), packed)
-            on = ranks[:, -1] <= reach[d[row]]
-            row, cell, seed, rank = row[on], cell[on], seed[on], ranks[on, -1]
-            step, chunk = step + chunk, min(64, chunk * 4)
-        todo &= (best.reshape(n, k) == np.iinfo(np.uint64).max).any(1)
+        mine = np.flatnonzero(todo[doc])
+        for lo in range(0, len(mine), THROWN):
+            own = mine[lo : lo + THROWN]
+            _throw(best, coordinates[own], doc[own], weight[own], reach, k)
+        todo &= (best.reshape(n, k) == none).any(1)
         reach *= 2
     got = (best & np.uint64(0xFFFFFFFF)).reshape(n, k)
     got[total == 0] = 0
     return got
 
 
+def _throw(best: np.ndarray, e: np.ndarray, d: np.ndarray, w: np.ndarray, reach: np.ndarray, k: int) -> None:
+    cells = np.ceil(w).astype(np.int64)  # unit cells of weight; each has its own process of darts
+    row = np.repeat(np.arange(len(e)), cells)
+    cell = np.arange(len(row)) - np.repeat(np.cumsum(cells) - cells, cells)
+    seed = mix(e[row] + _STEP * (cell.astype(np.uint64) + np.uint64(1)))
+    rank, step, chunk = np.zeros(len(row)), 0, 1
+    while len(row):
+        h = mix(seed[:, None] + _STEP * np.arange(step + 1, step + chunk + 1, dtype=np.uint64))
+        ranks = rank[:, None] - np.cumsum(np.log1p(-((h >> np.uint64(11)).astype(float) * 2.0**-53)), 1)
+        i, j = np.nonzero(ranks <= reach[d[row]][:, None])
+        if len(i):
+            g = mix(h[i, j])
+            part = w[row[i]] - cell[i] < 1  # a cell that the weight doesn't fill
+            if part.any():
+                place = cell[i] + (mix(g) >> np.uint64(11)).astype(float) * 2.0**-53
+                hit = place < w[row[i]]
+                i, j, g = i[hit], j[hit], g[hit]
+            packed = (ranks[i, j].astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)) | (g >> np.uint64(32))
+            np.minimum.at(best, d[row[i]] * k + (g % np.uint64(k)).astype(np.int64), packed)
+        on = ranks[:, -1] <= reach[d[row]]
+        row, cell, seed, rank = row[on], cell[on], seed[on], ranks[on, -1]
+        step, chunk = step + chunk, min(64, chunk * 4)
+
+
 def signature(width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, counted: bool = False):
-    """A column function: a text's key (equal for equal shingle sets) and band hashes; null where it has no word."""
+    """A column function: a text's key (equal for equal elements) and band hashes; null where it has no word."""
     k = bands * rows
 
     @arrow_udf("struct<key:binary,bands:array<bigint>>")
     def sign(texts: pa.Array) -> pa.Array:
         keys, banded = [], []
         for part in slices(texts, BYTES):
-            hashes, at = words(part)
             n = len(part)
-            e, d, w = weighted(*shingles(hashes, at, width), counted)
-            got = darts(e, d, w, n, k)
+            e, d = elements(part, width, counted)
+            got = darts(*weighted(e, d), n, k)
             folded = np.zeros((n, bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
             for r in range(rows):
                 folded = mix(folded * _STEP + got[:, r::rows])
-            some = np.diff(at) > 0
-            pairs = set_keys(e, d, w, n)
+            some = np.bincount(d, minlength=n) > 0
+            pairs = set_keys(e, d, n)
             keys += [pairs[i].tobytes() if some[i] else None for i in range(n)]
             banded += [x if s else None for x, s in zip(folded.view(np.int64), some)]
         return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(banded, pa.list_(pa.int64()))], ["key", "bands"])
@@ -101,25 +130,25 @@ def signature(width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, counted:
     return sign
 
 
-def set_keys(elements: np.ndarray, doc: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """(n, 2) sums over each document's weighted elements: equal for equal sets, whatever their order."""
+def set_keys(e: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """(n, 2) sums over each document's elements: equal for equal sets, whatever their order."""
     ends = np.searchsorted(doc, np.arange(n + 1))
     out = np.zeros((n, 2), np.uint64)
     for i in (0, 1):
-        run = np.append(np.zeros(1, np.uint64), np.cumsum(mix(elements * np.uint64(2 * i + 3) + weight.astype(np.uint64))))
+        run = np.append(np.zeros(1, np.uint64), np.cumsum(mix(e * np.uint64(2 * i + 3) + np.uint64(1))))
         out[:, i] = run[ends[1:]] - run[ends[:-1]]
     return out
 
 
-def shingle_set(width: int = WIDTH):
-    """A column function of a text and a key: the distinct shingle hashes, or null if the text's key is another."""
+def shingle_set(width: int = WIDTH, counted: bool = False):
+    """A column function of a text and a key: the text's elements, or null if the text's key is another."""
 
     @arrow_udf("array<bigint>")
     def sets(texts: pa.Array, keys: pa.Array) -> pa.Array:
         out, lo = [], 0
         for part in slices(texts, BYTES):
-            e, d, w = weighted(*shingles(*words(part), width), False)
-            own = set_keys(e, d, w, len(part))
+            e, d = elements(part, width, counted)
+            own = set_keys(e, d, len(part))
             ends = np.searchsorted(d, np.arange(len(part) + 1))
             out += [e[ends[i] : ends[i + 1]].view(np.int64) if own[i].tobytes() == keys[lo + i].as_py() else None for i in range(len(part))]
             lo += len(part)
@@ -144,15 +173,18 @@ def block_links(similarity: float):
             (ka, la, na, sa), (kb, lb, nb, sb) = (unpacked(x[i].values) for x in (left, right))
             # only elements on both sides can be common
             common = np.intersect1d(sa, sb)
-            rows = []
-            for s, n in ((sa, na), (sb, nb)):
-                at = np.searchsorted(common, s)
-                at[at == len(common)] = 0
-                hit = common[at] == s if len(common) else np.zeros(len(s), bool)
-                m = np.zeros((len(n), len(common)), np.float32)
-                m[np.repeat(np.arange(len(n)), n)[hit], at[hit]] = 1
-                rows.append(m)
-            shared = rows[0] @ rows[1].T
+            shared = np.zeros((len(na), len(nb)), np.float32)
+            who = [np.repeat(np.arange(len(n)), n) for n in (na, nb)]
+            for lo in range(0, len(common), COMPARED):
+                some, rows = common[lo : lo + COMPARED], []
+                for s, w, n in ((sa, who[0], na), (sb, who[1], nb)):
+                    at = np.searchsorted(some, s)
+                    at[at == len(some)] = 0
+                    hit = some[at] == s
+                    m = np.zeros((len(n), len(some)), np.float32)
+                    m[w[hit], at[hit]] = 1
+                    rows.append(m)
+                shared += rows[0] @ rows[1].T
             close = (shared >= similarity * (na[:, None] + nb[None, :] - shared) - 1e-6) & (la[:, None] != lb[None, :])
             out.append([{"a": min(ka[x], kb[y]), "b": max(ka[x], kb[y])} for x, y in zip(*np.nonzero(close))])
         return pa.array(out, pa.list_(pa.struct([("a", pa.binary()), ("b", pa.binary())])))
@@ -169,65 +201,104 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, labels.key == near.a).select("key", "label", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("key").alias("next"), F.col("label").alias("far"))
         step = written(step.join(jump, "next", "left").select("key", F.col("label").alias("was"), F.least("next", F.coalesce("far", "next")).alias("label")))
-        labels = step.select("key", "label")
+        removed(labels)
+        labels = step
         if not step.filter("was <> label").limit(1).count():
-            return labels
+            removed(both)
+            return labels.select("key", "label")
 
 
-def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """A row for each row of ``docs``: doc_id, class_id (the smallest doc_id of its class) and the class's number of rows.
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; maps count by their JSON."""
+    return F.xxhash64(F.lit(1), *[F.to_json(df[f"`{n}`"]) if kind.startswith("map") else df[f"`{n}`"] for n, kind in df.dtypes])
+
 
-    Linked are rows whose sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity``; classes
-    are the components. A text of fewer words is one shingle. A text without a word (null, empty) is a class of its own
-    row. Repeated rows are of one class. Rows without doc_id link by equal sets alone. Other columns are not read; an
-    empty table gives no rows."""
-    signed = docs.select(docs[doc_id].alias("doc_id"), signature(width, bands, rows)(docs[text]).alias("s"))
-    signed = written(signed.select("doc_id", "s.key", "s.bands"))
-    sets = written(signed.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
-    # a row of the representative has the bands of its key
-    reps = signed.join(sets.select("key", "first_id"), "key").filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("key", "bands").dropDuplicates(["key"])
+def _classed(docs: DataFrame, doc_id: str, text: str, width: int, similarity: float, bands: int, rows: int, counted: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t, h, key) of ``docs``, key null without a word, and (key, label, class_id, class_rows) of all keys.
+
+    ``t`` and ``h`` are hashes of the text and of the whole row."""
+    signed = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("t"), row_hash(docs).alias("h"), signature(width, bands, rows, counted)(docs[text]).alias("s"))
+    signed = written(signed.select("doc_id", "t", "h", "s.key", "s.bands"))
+    # a key's rows have the same bands; its text is that of its first row: the smallest doc_id, null last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+    reps = written(signed.filter("key is not null").groupBy("key").agg(first, F.count("*").alias("n"), F.first("bands").alias("bands")))
+    sets = reps.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.t").alias("t"), "n")
     members = reps.select("key", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("hub")).filter("size > 1")
+    buckets = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("key").alias("hub")).filter("size > 1").drop("size")
     members = written(members.join(buckets, "bucket"))
 
     pairs = written(members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
-    whole = _sets(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct(), sets, docs, doc_id, text, width)
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    whole = _sets(wanted, sets, docs, doc_id, text, width, counted)
     both = pairs.join(whole.withColumnsRenamed({"key": "a", "set": "x"}), "a").join(whole.withColumnsRenamed({"key": "b", "set": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = written(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - F.lit(1e-6)).select("a", "b"))
     labels = components(links)
 
     # buckets that the components leave apart: everyone outside a bucket's main component meets all the others, in blocks
-    placed = members.select("bucket", "size", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    placed = members.select("bucket", "key").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
     parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
-    apart = placed.join(main, "bucket").join(whole, "key").withColumn("block", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)))
-    block = lambda df, name: df.groupBy("bucket", "block").agg(F.collect_list(F.struct("key", "label", "set")).alias(name)).select("bucket", name)
-    compared = block(apart.filter("label <> main"), "left").join(block(apart, "right"), "bucket").select(F.explode(block_links(similarity)("left", "right")).alias("p"))
-    more = written(compared.select("p.a", "p.b").distinct())
+    apart = placed.join(main, "bucket").withColumn("inner", F.col("label") == F.col("main")).select("bucket", "inner", "key", "label")
+    more = written(_compared(apart, whole, similarity))
     if more.limit(1).count():
         labels = components(links.unionByName(more))
 
     grouped = sets.join(labels, "key", "left").select("key", "first_id", "n", F.coalesce("label", "key").alias("label"))
     classes = grouped.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
-    named = grouped.join(classes, "label").select("key", "class_id", "class_rows")
-    return signed.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"))
-
-
-def _sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
-    """The shingle sets of keys, from the texts of their representatives."""
-    named = keys.join(sets.select("key", "first_id"), "key").select("key", F.col("first_id").alias("id"))
-    texts = docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).join(named, "id")
-    # a repeated doc_id may carry another text, of another key
-    return written(texts.select("key", shingle_set(width)("text", "key").alias("set")).filter("set is not null").dropDuplicates(["key"]))
-
+    return signed.drop("bands"), grouped.select("key", "label").join(classes, "label")
+
+
+def _compared(apart: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """Links between members (bucket, inner, key, label) of a bucket of which one isn't of the main component; blocks are keyed by pair."""
+    apart = written(apart.join(whole.select("key", "set"), "key"))
+    sizes = apart.groupBy("bucket", "inner").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("set")) / ELEMENTS)).alias("blocks"))
+    sizes = sizes.groupBy("bucket").agg(*[F.coalesce(F.max(F.when(F.col("inner") == x, F.col("blocks"))), F.lit(0)).alias(n) for n, x in (("inside", True), ("outside", False))])
+    rows = apart.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("inner"), F.col("inside")).otherwise(F.col("outside"))))
+    block = rows.groupBy("bucket", "inner", "block", "inside", "outside").agg(F.collect_list(F.struct("key", "label", "set")).alias("members"))
+    target = lambda inner, first, n: F.when(n > first, F.transform(F.sequence(first, n - 1), lambda i: F.struct(F.lit(inner).alias("inner"), i.alias("block")))).otherwise(F.array().cast("array<struct<inner:boolean,block:bigint>>"))
+    meets = F.concat(target(False, F.col("block"), F.col("outside")), target(True, F.lit(0).cast("long"), F.col("inside")))
+    left = block.filter(~F.col("inner")).select("bucket", F.col("members").alias("left"), F.explode(meets).alias("m")).select("bucket", "m.*", "left")
+    right = block.select("bucket", "inner", "block", F.col("members").alias("right"))
+    both = left.join(right, ["bucket", "inner", "block"])
+    return both.select(F.explode(block_links(similarity)("left", "right")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text: str, width: int, counted: bool) -> DataFrame:
+    """The elements of keys, from the texts of their first rows."""
+    named = keys.join(sets.select("key", "first_id", "t"), "key")
+    texts = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("t"))
+    found = texts.join(named, (texts["t"] == named["t"]) & texts["id"].eqNullSafe(named["first_id"]))
+    # equal hashes may be of other texts, of other keys; a repeated row is the same set
+    return written(found.select("key", shingle_set(width, counted)(texts["text"], F.col("key")).alias("set")).filter("set is not null").dropDuplicates(["key"]))
+
+
+def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """A row for each row of ``docs``: doc_id, class_id (the smallest doc_id of its class) and the class's number of rows.
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **named) -> DataFrame:
-    """``docs`` without the rows whose class has a row of a smaller doc_id; of rows that repeat a kept doc_id and text, one stays."""
-    classes = near_classes(docs, doc_id, text, **named).select(F.col("doc_id").alias("__id"), F.col("class_id").alias("__class"))
-    firsts = classes.filter(F.col("__id").eqNullSafe(F.col("__class"))).select("__id").distinct()
-    kept = docs.join(firsts, docs[doc_id].eqNullSafe(firsts["__id"]), "left_semi")
-    return kept.dropDuplicates([doc_id, text])
+    Linked are rows whose sets of ``width``-word shingles have a Jaccard similarity of at least ``similarity`` (with
+    ``counted``, multisets); classes are the components. A text of fewer words is one shingle. A text without a word
+    (null, empty) is a class of its own row. Repeated rows are of one class, as are rows that repeat a doc_id with a
+    near text. A row without doc_id is linked like others; a class that has no doc_id has a null class_id. A very long
+    text is compared whole. There are no ties: a class has one smallest id. Other columns are not carried, whatever
+    their names; an empty table gives no rows."""
+    signed, classes = _classed(docs, doc_id, text, width, similarity, bands, rows, counted)
+    named = signed.select("doc_id", "key").join(classes.select("key", "class_id", "class_rows"), "key", "left")
+    return named.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_rows", F.lit(1)).cast("long").alias("class_rows"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """One row of each class of ``docs``, with all its columns: that of the smallest doc_id (null last); of rows that
+    repeat it, that of the smallest hash of text and row, of rows that are equal in everything, one. Rows without a
+    word are all kept. An empty table stays empty."""
+    signed, classes = _classed(docs, doc_id, text, width, similarity, bands, rows, counted)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "h")).alias("best")
+    kept = signed.join(classes.select("key", "label"), "key").groupBy("label").agg(best).select("best.t", "best.h")
+    t, h = fresh(docs, "__t"), fresh(docs, "__h")
+    rows_ = docs.withColumn(h, row_hash(docs)).withColumn(t, F.xxhash64(docs[text]))
+    worded = F.coalesce(docs[text], F.lit("")).rlike("[0-9A-Za-z]|[^\\x00-\\x7F]")
+    one = rows_.filter(worded).join(kept.select(F.col("t").alias(t), F.col("h").alias(h)), [t, h], "left_semi").dropDuplicates([t, h])
+    return one.unionByName(rows_.filter(~worded)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:
