@@ -4,10 +4,13 @@ For every participant the dialogue is rendered with that speaker as the assistan
 the assistant's words (and the end mark) are learned. A rendered dialogue is rows, one for each message, with its text,
 its place in the whole text and the span that the mask covers: no dialogue is gathered in one task, however long.
 
-Places are running sums. They run inside blocks of turns, and over blocks, so that one long dialogue is many groups.
+Perspectives differ in the heads of messages alone. So a message's place is the running size of all messages with a
+user's head, less what the perspective's own messages before it save. These sums run inside blocks of turns and, over
+small rows without texts, over blocks. Texts are shuffled once, by dialogue and block, before they are multiplied by
+perspectives; one long dialogue is many groups.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -17,43 +20,57 @@ SYSTEM = "system"
 BLOCK = 64
 
 
+def head(kind: Column, name: Column) -> Column:
+    return F.concat(F.lit("<|start|>"), kind, F.when(kind == "user", F.concat(F.lit(" name="), name)).otherwise(F.lit("")), F.lit("\n"))
+
+
 def rotate(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """A row for each participant (``perspective``) and message: role, name, rendered, char_start, char_end, mask_start, mask_end, learn.
 
     Participants are the roles of a dialogue but for ``system``, whose messages stay as they are. A null role is the
     participant "unknown", a null text is empty, a null turn comes first; ties and repeated rows are ordered by role
-    and text. Rows of a null conv_id are one dialogue. A dialogue of system messages alone has no perspective and gives
-    no rows. Other columns are not read."""
-    t = turns.select(turns[conv_id].alias("conv_id"), turns[turn].cast("long").alias("turn"), F.coalesce(turns[role], F.lit("unknown")).alias("name"), F.coalesce(turns[text], F.lit("")).alias("content"))
-    who = t.filter(F.col("name") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("name").alias("perspective")).distinct()
-    seen = t.join(who, F.col("conv_id").eqNullSafe(F.col("conv"))).drop("conv")
-    own = F.col("name") == F.col("perspective")
-    kind = F.when(F.col("name") == SYSTEM, F.lit("system")).when(own, F.lit("assistant")).otherwise(F.lit("user"))
-    head = F.concat(F.lit("<|start|>"), kind, F.when(kind == "user", F.concat(F.lit(" name="), F.col("name"))).otherwise(F.lit("")), F.lit("\n"))
-    seen = seen.select("conv_id", "perspective", "turn", "name", kind.alias("role"), F.length(head).cast("long").alias("head"), F.concat(head, F.col("content"), F.lit("<|end|>\n")).alias("rendered"))
-    seen = seen.withColumn("size", F.length("rendered").cast("long")).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 62))))
-    keys = ["conv_id", "perspective"]
-    blocks = seen.groupBy(*keys, "block").agg(F.sum("size").alias("sum"))
-    before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(*[F.col(k).alias(f"b_{k}") for k in (*keys, "block")], F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy(*keys, "block").orderBy(F.col("turn").asc_nulls_first(), "name", "rendered").rowsBetween(Window.unboundedPreceding, -1)
-    seen = seen.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    same = F.lit(True)
-    for k in (*keys, "block"):
-        same = same & F.col(k).eqNullSafe(F.col(f"b_{k}"))
-    start = F.col("base") + F.col("inner")
-    learn = F.col("role") == "assistant"
-    return seen.join(blocks, same).select(
+    and text. A very long text is one row as any. Rows of a null conv_id are one dialogue. A dialogue of system messages
+    alone has no perspective and gives no rows, nor does an empty table. Other columns are not read, whatever their names."""
+    name, content = F.coalesce(turns[role], F.lit("unknown")), F.coalesce(turns[text], F.lit(""))
+    number = turns[turn].cast("long")
+    # a null dialogue is a key of its own
+    key = F.coalesce(F.concat(F.lit("c"), turns[conv_id].cast("string")), F.lit("n")).alias("key")
+    block = F.coalesce(F.floor(number / BLOCK), F.lit(-(1 << 62))).alias("block")
+    t = turns.select(key, block, turns[conv_id].alias("conv_id"), number.alias("turn"), name.alias("name"), content.alias("content"))
+    own = lambda kind: F.length(head(F.lit(kind), F.col("name"))).cast("long")
+    plain = F.when(F.col("name") == SYSTEM, own("system")).otherwise(own("user")) + F.length("content") + F.length(F.lit("<|end|>\n"))
+    saved = F.when(F.col("name") == SYSTEM, F.lit(0)).otherwise(own("user") - own("assistant"))
+
+    # small rows: sizes and speakers of blocks, and from them what lies before each block for each perspective
+    by_name = t.groupBy("key", "block", "name").agg(F.sum(plain).alias("size"), F.sum(saved).alias("saved"))
+    before = lambda *by: Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = by_name.groupBy("key", "block").agg(F.sum("size").alias("size")).withColumn("base", F.coalesce(F.sum("size").over(before("key")), F.lit(0))).drop("size")
+    who = by_name.filter(F.col("name") != SYSTEM).select("key", F.col("name").alias("perspective")).distinct()
+    grid = blocks.join(who, "key").join(by_name.select("key", "block", F.col("name").alias("perspective"), "saved"), ["key", "block", "perspective"], "left")
+    grid = grid.withColumn("base", F.col("base") - F.coalesce(F.sum("saved").over(before("key", "perspective")), F.lit(0))).drop("saved")
+
+    order = [F.col("turn").asc_nulls_first(), "name", "content"]
+    inner = Window.partitionBy("key", "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    t = t.withColumn("inner", F.coalesce(F.sum(plain).over(inner), F.lit(0)))
+    seen = t.join(grid, ["key", "block"])
+    mine = F.col("name") == F.col("perspective")
+    spared = Window.partitionBy("key", "block", "perspective").orderBy("inner").rowsBetween(Window.unboundedPreceding, -1)
+    seen = seen.withColumn("spared", F.coalesce(F.sum(F.when(mine, saved).otherwise(F.lit(0))).over(spared), F.lit(0)))
+    kind = F.when(F.col("name") == SYSTEM, F.lit("system")).when(mine, F.lit("assistant")).otherwise(F.lit("user"))
+    rendered = F.concat(head(kind, F.col("name")), F.col("content"), F.lit("<|end|>\n"))
+    start, size = F.col("base") + F.col("inner") - F.col("spared"), F.length(rendered).cast("long")
+    learn = kind == "assistant"
+    return seen.select(
         "conv_id",
         "perspective",
         "turn",
-        "role",
+        kind.alias("role"),
         "name",
-        "rendered",
+        rendered.alias("rendered"),
         start.alias("char_start"),
-        (start + F.col("size")).alias("char_end"),
-        F.when(learn, start + F.col("head")).alias("mask_start"),
-        F.when(learn, start + F.col("size") - 1).alias("mask_end"),
+        (start + size).alias("char_end"),
+        F.when(learn, start + F.length(head(kind, F.col("name")))).alias("mask_start"),
+        F.when(learn, start + size - 1).alias("mask_end"),
         learn.cast("int").alias("learn"),
     )
 
