@@ -27,6 +27,39 @@ def test_emails(spark):
     assert (got[8][0]["start"], got[8][0]["end"]) == (2, 8)
 
 
+def test_detection_of_long_texts_is_safe_and_linear(spark):
+    """Runs that a nested pattern would take apart again and again, and texts of very many matches."""
+    import time
+
+    many = lambda n: " ".join(f"n{i}@mail.example.com, 98765{i % 100000:05d};" for i in range(n))
+    texts = ["." * 100_000, "a." * 50_000 + "@b.com", "a." * 8000 + "a@b.com", "x@" + "a." * 50_000 + "com", "x@" + "a-" * 50_000, "1 " * 50_000, "(" * 1000 + "+1-" * 30_000, many(5000)]
+    got = column(spark, texts, detect.detect)
+    assert [len(g) for g in got[:5]] == [0, 0, 0, 0, 0]
+    assert len([s for s in got[7] if s["type"] == "EMAIL"]) == len([s for s in got[7] if s["type"] == "PHONE"]) == 5000
+    assert all(texts[7][s["start"] : s["end"]] == s["raw"] for s in got[7])
+    took = {}
+    for n in (2000, 16000):
+        began = time.time()
+        assert len(column(spark, [many(n)], detect.emails)[0]) == n
+        took[n] = time.time() - began
+    assert took[16000] < 8 * took[2000] + 3
+
+
+def test_collisions_are_resolved_as_by_comparing_all(spark):
+    rng = random.Random(12)
+    for _ in range(6):
+        spans = [(rng.choice(["EMAIL", "PHONE", "PAN"]), f"s{i}", f"s{i}", rng.choice([0.4, 0.6, 0.95, 0.95]), ["regex"], a, a + rng.randint(1, 9)) for i in range(rng.choice([0, 1, 2, 40, 300])) for a in [rng.randint(0, 900)]]
+        df = spark.createDataFrame([(spans,)], f"found {detect.SPAN}")
+        got = df.select(detect.resolved(F.col("found")).alias("r")).first()["r"]
+        kept = []
+        for s in sorted(spans, key=lambda s: (-s[3], s[5] - s[6], s[5], s[0])):
+            if not any(max(k[5], s[5]) < min(k[6], s[6]) for k in kept):
+                kept.append(s)
+        shape = lambda xs: sorted((x[0], x[5], x[6], x[3]) for x in xs)
+        assert shape(map(tuple, got)) == shape(kept)
+        assert [g["start"] for g in got] == sorted(g["start"] for g in got)
+
+
 def test_phones(spark):
     texts = ["+91 98765 43210", "98765-43210", "919876543210", "call 9876543210 8765432109", "+1 (415) 555-2671", "+1 (115) 555-2671", "12345678", "+44 7911 123456", "0 98765 43210"]
     got = column(spark, texts, detect.phones)

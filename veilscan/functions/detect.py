@@ -1,19 +1,30 @@
 """Detectors of personal identifiers: a text column gives an array of spans. Offsets count code points.
 
-Spans come from two regex functions: the matches and the parts between them; running sums of their lengths are offsets.
+Patterns have no nested repetition, so a match takes no deep recursion and bounded steps at each place; the work over a
+text is in proportion to its length and its matches.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..sources.dims import NUMBER_PLANS, PAN_HOLDERS
-
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}(?![A-Za-z0-9._%+-])"
-PHONE = r"(?<!\d)(?:\+?\d{1,3}[\s-]?)?(?:\(\d{1,4}\)[\s-]?)?\d[\d\s\-().]{6,28}\d(?!\d)"
+from .arrays import clusters, let, matches
+
+_LOCAL, _DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9.-]"
+#: A run of local characters, a run of domain characters with alphabetic last label; dots and hyphens are checked by looking
+#: ahead: no dot at an end of the local part, no empty label, no label with a hyphen at an end.
+EMAIL = (
+    rf"(?<!{_LOCAL})(?!\.)(?!{_LOCAL}{{0,62}}\.\.){_LOCAL}{{1,64}}+(?<!\.)@"
+    rf"(?![.-])(?!{_DOMAIN}{{0,252}}(?:\.[.-]|-\.)){_DOMAIN}{{4,252}}+(?<=\.[A-Za-z]{{2,250}})(?![_%+A-Za-z0-9-])"
+)
+#: A plus or an area code in brackets, then digits and what people put between them, a digit at the end.
+PHONE = r"(?<!\d)[+]?(?:[(](?=\d{1,4}[)]))?\d[\d\s().-]{7,32}(?<=\d)(?!\d)"
+#: The forms of the two numbers. Twelve digits in fours, the first from 2 to 9; five letters, four digits, a letter.
 AADHAAR = r"(?<!\d)[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}(?!\d)"
 PAN = r"(?<![A-Za-z0-9])[A-Za-z]{5}\d{4}[A-Za-z](?![A-Za-z0-9])"
 
 _RUN = "array<struct<raw:string,start:int,end:int>>"
+_NUMBERED = "array<struct<raw:string,start:int,end:int,number:string>>"
 SPAN = "array<struct<type:string,raw:string,normalized:string,confidence:double,provenance:array<string>,start:int,end:int>>"
 
 #: Products of the dihedral group of order ten: two rotations add, a reflection turns the second round.
@@ -26,18 +37,8 @@ for _ in range(7):
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Matches of a pattern with their offsets (start, end)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_RUN).alias("out"))
-
-    def step(acc: Column, i: Column) -> Column:
-        at = acc["at"] + F.length(F.get(between, i))
-        end = at + F.length(F.get(found, i))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.get(found, i).alias("raw"), at.alias("start"), end.alias("end")))).alias("out"))
-
-    every = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
-    return F.when(F.size(found) > 0, every).otherwise(F.array().cast(_RUN))
+    """Matches of a pattern with their offsets (raw, start, end)."""
+    return matches(text, pattern)
 
 
 def _span(kind: str, s: Column, normalized: Column, confidence: Column, provenance: Column | None = None) -> Column:
@@ -78,15 +79,18 @@ def overlaps(a: Column, b: Column) -> Column:
 
 def _runs(raw: Column) -> Column:
     """Runs of at most 12 tokens of a span, longest first: raw, start, end inside the span."""
-    tokens = F.slice(spans(raw, r"\S+"), 1, 12)
-    n = F.size(tokens)
 
-    def run(i: Column, k: Column) -> Column:
-        a, b = F.get(tokens, i)["start"], F.get(tokens, i + k - 1)["end"]
-        return F.struct(F.substring(raw, a + 1, b - a).alias("raw"), a.alias("start"), b.alias("end"))
+    def made(tokens: Column) -> Column:
+        n = F.size(tokens)
 
-    by_length = F.transform(F.sequence(n, F.lit(1)), lambda k: F.transform(F.sequence(F.lit(0), n - k), lambda i: run(i, k)))
-    return F.when(n > 0, F.flatten(by_length)).otherwise(F.array().cast(_RUN))
+        def run(i: Column, k: Column) -> Column:
+            a, b = F.get(tokens, i)["start"], F.get(tokens, i + k - 1)["end"]
+            return F.struct(F.substring(raw, a + 1, b - a).alias("raw"), a.alias("start"), b.alias("end"))
+
+        by_length = F.transform(F.sequence(n, F.lit(1)), lambda k: F.transform(F.sequence(F.lit(0), n - k), lambda i: run(i, k)))
+        return F.when(n > 0, F.flatten(by_length)).otherwise(F.array().cast(_RUN))
+
+    return let(F.slice(spans(raw, r"\S+"), 1, 12), made)
 
 
 def phones(text: Column) -> Column:
@@ -95,22 +99,32 @@ def phones(text: Column) -> Column:
     def confidence(s: Column) -> Column:
         return F.when(F.trim(s["raw"]).rlike(r"^91\d{10}$"), 0.80).otherwise(0.95)
 
+    def numbered(runs: Column) -> Column:
+        return F.filter(F.transform(runs, lambda r: F.struct(r["raw"].alias("raw"), r["start"].alias("start"), r["end"].alias("end"), e164(r["raw"]).alias("number"))), lambda r: r["number"].isNotNull())
+
     def parts(s: Column) -> Column:
-        valid = F.filter(_runs(s["raw"]), lambda r: e164(r["raw"]).isNotNull())
-        kept = F.aggregate(valid, F.array().cast(_RUN), lambda acc, r: F.when(F.exists(acc, lambda k: overlaps(k, r)), acc).otherwise(F.concat(acc, F.array(r))))
-        return F.transform(kept, lambda r: F.struct(r["raw"].alias("raw"), (s["start"] + r["start"]).alias("start"), (s["start"] + r["end"]).alias("end")))
+        valid = numbered(_runs(s["raw"]))
+        kept = F.aggregate(valid, F.array().cast(_NUMBERED), lambda acc, r: F.when(F.exists(acc, lambda k: overlaps(k, r)), acc).otherwise(F.concat(acc, F.array(r))))
+        return F.transform(kept, lambda r: F.struct(r["raw"].alias("raw"), (s["start"] + r["start"]).alias("start"), (s["start"] + r["end"]).alias("end"), r["number"].alias("number")))
 
-    whole = F.transform(spans(text, PHONE), lambda s: F.when(e164(s["raw"]).isNotNull(), F.array(s)).otherwise(parts(s)))
-    found = F.transform(F.flatten(whole), lambda s: _span("PHONE", s, e164(s["raw"]), confidence(s)))
+    whole = F.transform(spans(text, PHONE), lambda s: let(numbered(F.array(s)), lambda own: F.when(F.size(own) > 0, own).otherwise(parts(s))))
+    found = F.transform(F.flatten(whole), lambda s: _span("PHONE", s, s["number"], confidence(s)))
     return _gated(found, text.rlike(r"\d[\d\s\-().]{6}"))
 
 
+#: The products as one string: that of c and x stands at 10 c + x.
+_PRODUCTS = "".join(str(x) for row in _D for x in row)
+_PERMUTED = ["".join(map(str, row)) for row in _P]
+
+
 def _fold(digits: Column, shift: int) -> Column:
-    d = F.array(*[F.array(*[F.lit(x) for x in r]) for r in _D])
-    p = F.array(*[F.array(*[F.lit(x) for x in r]) for r in _P])
-    each = F.filter(F.split(F.reverse(digits), ""), lambda x: x != "")
-    placed = F.transform(each, lambda x, i: F.get(F.get(p, (i + shift) % 8), x.cast("int")))
-    return F.aggregate(placed, F.lit(0), lambda c, x: F.get(F.get(d, c), x))
+    """The product of a digit string's permuted digits, from the right; null if something is no digit."""
+    each = F.transform(F.split(F.reverse(digits), "(?!$)"), lambda x, i: _permuted(x, (i + shift) % 8))
+    return F.aggregate(each, F.lit(0), lambda c, x: F.substring(F.lit(_PRODUCTS), c * 10 + x.cast("int") + 1, F.lit(1)).cast("int"))
+
+
+def _permuted(x: Column, place: Column) -> Column:
+    return F.substring(F.lit("".join(_PERMUTED)), place * 10 + x.cast("int") + 1, F.lit(1))
 
 
 def checksum_ok(digits: Column) -> Column:
@@ -119,9 +133,9 @@ def checksum_ok(digits: Column) -> Column:
 
 
 def check_digit(digits: Column) -> Column:
-    """The Verhoeff digit to append to a digit string."""
-    row = F.get(F.array(*[F.array(*[F.lit(x) for x in r]) for r in _D]), _fold(digits, 1))
-    return F.when(digits.rlike("^[0-9]+$"), F.array_position(row, F.lit(0)).cast("int") - 1)
+    """The Verhoeff digit to append to a digit string: its product with the string's is 0."""
+    inverse = F.lit("".join(str(row.index(0)) for row in _D))
+    return F.when(digits.rlike("^[0-9]+$"), F.substring(inverse, _fold(digits, 1) + 1, F.lit(1)).cast("int"))
 
 
 def aadhaars(text: Column) -> Column:
@@ -141,14 +155,20 @@ def pans(text: Column) -> Column:
 
 
 def resolved(found: Column) -> Column:
-    """Spans by confidence, then length; each drops later ones that overlap it; by start."""
-    order = F.array_sort(F.transform(found, lambda s: F.struct((-s["confidence"]).alias("c"), (s["start"] - s["end"]).alias("n"), s["start"].alias("at"), s["type"].alias("t"), s.alias("s"))))
-    kept = F.aggregate(F.transform(order, lambda o: o["s"]), F.array().cast(SPAN), lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(k, s)), acc).otherwise(F.concat(acc, F.array(s))))
-    by_start = F.array_sort(F.transform(kept, lambda s: F.struct(s["start"].alias("at"), s.alias("s"))))
-    return F.transform(by_start, lambda o: o["s"])
+    """Spans by confidence, then length; each drops later ones that overlap it; by start. Only spans that reach over one another are compared."""
+    none = F.array().cast(SPAN)
+    by = lambda xs, *keys: F.transform(F.array_sort(F.transform(xs, lambda s: F.struct(*[k(s).alias(f"k{i}") for i, k in enumerate(keys)], s.alias("s")))), lambda o: o["s"])
+    start, kind = (lambda s: s["start"]), (lambda s: s["type"])
+
+    def greedy(xs: Column) -> Column:
+        order = by(xs, lambda s: -s["confidence"], lambda s: s["start"] - s["end"], start, kind)
+        return F.aggregate(order, none, lambda acc, s: F.when(F.exists(acc, lambda k: overlaps(k, s)), acc).otherwise(F.concat(acc, F.array(s))))
+
+    kept = F.flatten(F.transform(clusters(by(found, start)), lambda xs: F.when(F.size(xs) == 1, xs).otherwise(by(greedy(xs), start))))
+    return F.when(F.size(found) > 1, kept).otherwise(found)
 
 
 def detect(text: Column, detectors=(emails, phones, aadhaars, pans)) -> Column:
     """All detectors over a text in one pass, collisions resolved; spans that don't match the text at their offsets are dropped. ``detectors`` may hold others."""
     every = F.concat(*[d(text) for d in detectors])
-    return resolved(F.filter(every, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]) == s["raw"]))
+    return let(F.filter(every, lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"]) == s["raw"]), resolved)

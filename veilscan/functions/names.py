@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.dims import COMMON_NAMES, HONORIFICS
+from .arrays import let
 
 #: Letters with marks and the letters without, in equal places.
 MARKED = "áàâäãåāăąéèêëēėęěíìîïīįıóòôöõōőúùûüūůűçćčñńňýÿšśžźżďťřłđğ"
@@ -45,8 +46,11 @@ def _pairs(a: Column, b: Column) -> Column:
 
 
 def compare(a: Column, b: Column) -> Column:
-    """Of two token arrays: similarity (weight of pairs over the longer length), is_match, match_type."""
-    p = _pairs(a, b)
+    """Of two token arrays: similarity (weight of pairs over the longer length), is_match, match_type, and the tokens of each that have no partner."""
+    return let(_pairs(a, b), lambda p: _judged(a, b, p))
+
+
+def _judged(a: Column, b: Column, p: Column) -> Column:
     longer, shorter = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
     matched = p["exact"] + p["initial"]
     score = (p["exact"] * F.lit(100) + p["initial"] * F.lit(85)) / longer
@@ -54,7 +58,8 @@ def compare(a: Column, b: Column) -> Column:
     match = (shorter > 0) & (((matched >= shorter) & ~lone) | (score >= 70))
     kind = F.when(~match, "NO_MATCH").when((matched == longer) & (p["initial"] == 0), "EXACT").when(p["initial"] > 0, "INITIALS_EXPANSION").otherwise("PARTIAL")
     similarity = F.when(longer > 0, F.floor(score + 0.5) / 100).otherwise(F.lit(0.0))
-    return F.struct(F.coalesce(similarity, F.lit(0.0)).alias("similarity"), match.alias("is_match"), kind.alias("match_type"))
+    free = lambda xs, used: F.filter(xs, lambda x, i: ~F.array_contains(used, i))  # noqa: E731  by place: a repeated token may have one partner
+    return F.struct(F.coalesce(similarity, F.lit(0.0)).alias("similarity"), match.alias("is_match"), kind.alias("match_type"), free(a, p["a"]).alias("unmatched_a"), free(b, p["b"]).alias("unmatched_b"))
 
 
 def is_common(t: Column) -> Column:
@@ -64,20 +69,30 @@ def is_common(t: Column) -> Column:
     return (F.size(long) > 0) & F.when(F.size(long) >= 2, common >= 2).otherwise(common == F.size(long))
 
 
+#: Parts of a key that many names have.
+SALTS = 16
+
+
 def matches(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:
     """Pairs whose names match. Any match shares a whole token, or a token of one that begins with the other's initial.
 
-    Pairs are found by equal keys: each token is a key; an initial also meets the first letters of longer tokens. Only a
-    pair of names is compared, once."""
+    Distinct token lists are compared, not rows; they are found by equal keys: each token is a key, and an initial meets the
+    first letters of longer tokens. Keys are dealt over SALTS parts, as few letters begin most names. Ids join back last."""
 
-    def keyed(df: DataFrame, id_: str, name: str, side: str) -> DataFrame:
-        t = df.select(df[id_].alias(f"{side}_id"), tokens(df[name]).alias(f"{side}_tokens"))
+    def keyed(df: DataFrame, id_: str, name: str, side: str) -> tuple[DataFrame, DataFrame]:
+        rows = df.select(df[id_].alias(f"{side}_id"), tokens(df[name]).alias(f"{side}_tokens"))
+        t = rows.select(f"{side}_tokens").distinct()
         whole = F.transform(f"{side}_tokens", lambda x: F.concat(F.lit("w"), x))
         # initials of one side meet first letters of the other: a marks which side has the initial
         initial = F.transform(F.filter(f"{side}_tokens", lambda x: F.length(x) == 1), lambda x: F.concat(F.lit(f"{side}:"), x))
         letters = F.transform(F.filter(f"{side}_tokens", lambda x: F.length(x) > 1), lambda x: F.concat(F.lit("right:" if side == "left" else "left:"), F.left(x, F.lit(1))))
-        return t.withColumn("key", F.explode(F.array_distinct(F.concat(whole, initial, letters))))
+        t = t.withColumn("key", F.explode(F.array_distinct(F.concat(whole, initial, letters))))
+        salt = F.pmod(F.xxhash64(f"{side}_tokens"), F.lit(SALTS)) if side == "left" else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+        return rows, t.withColumn("salt", salt)
 
-    both = keyed(left, left_id, left_name, "left").join(keyed(right, right_id, right_name, "right"), "key").drop("key").dropDuplicates(["left_id", "right_id"])
+    left_rows, left_keys = keyed(left, left_id, left_name, "left")
+    right_rows, right_keys = keyed(right, right_id, right_name, "right")
+    both = left_keys.join(right_keys, ["key", "salt"]).select("left_tokens", "right_tokens").distinct()
     m = both.withColumn("m", compare(F.col("left_tokens"), F.col("right_tokens"))).filter("m.is_match")
-    return m.select("left_id", "right_id", "m.similarity", "m.match_type")
+    m = m.select("left_tokens", "right_tokens", "m.similarity", "m.match_type")
+    return left_rows.join(m, "left_tokens").join(right_rows, "right_tokens").select("left_id", "right_id", "similarity", "match_type")

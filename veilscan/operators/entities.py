@@ -5,8 +5,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names, rules
+from ..functions.detect import e164
 from ..functions.normalize import digits, email
-from ..functions.text import iou
+from ..functions.text import MOST, iou
 from ..sources.dims import NER_TYPES
 
 #: Least score of a recognized span; overlap from which two spans of a label are one.
@@ -20,6 +21,15 @@ def recognized(rows: DataFrame) -> DataFrame:
     return rows.withColumn("type", F.try_element_at(kind, F.lower("label"))).filter(ok & F.col("type").isNotNull())
 
 
+def reported(rows: DataFrame, docs: DataFrame, labels: list[str], threshold: float = LEAST_SCORE) -> DataFrame:
+    """Of a recognizer's rows those that a service passes on: a label that was asked for, a score of at least the threshold,
+    valid offsets, and text that is the document's at these offsets up to white space."""
+    plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    r = rows.filter(F.lower("label").isin(*[x.lower() for x in labels]) & ~F.isnan("score") & (F.col("score") >= threshold) & (F.col("score") <= 1.0) & (F.col("start") >= 0) & (F.col("start") < F.col("end")))
+    own = r.join(docs.select("doc_id", F.col("text").alias("__text")), "doc_id").filter(F.col("end") <= F.length("__text"))
+    return own.filter(plain(F.substring("__text", F.col("start") + 1, F.col("end") - F.col("start"))) == plain(F.col("text"))).drop("__text")
+
+
 def deduplicated(rows: DataFrame) -> DataFrame:
     """Of spans of one document and label that are the same or half the same, the best scored, found greedily."""
     s = F.struct((-F.col("score")).alias("o"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("text").alias("text"))
@@ -44,20 +54,47 @@ def fuse(found: DataFrame, ner: DataFrame) -> DataFrame:
     """Structured spans with the score of the best recognized span of their type that overlaps; recognized spans that are neither taken up nor inside a structured span of another type follow.
 
     The interval join is equal on the document; both sides are spans of one document."""
-    f = found.select("doc_id", "type", "raw", "normalized", "confidence", "start", "end")
+    made_by = F.col("provenance") if "provenance" in found.columns else F.array(F.lit("regex"))
+    f = found.select("doc_id", "type", "raw", "normalized", "confidence", made_by.alias("provenance"), "start", "end")
     n = ner.select("doc_id", F.col("type").alias("n_type"), F.col("text").alias("n_raw"), "score", F.col("start").alias("n_start"), F.col("end").alias("n_end"))
     touch = F.greatest("start", "n_start") < F.least("end", "n_end")
     same = f.join(n, "doc_id").filter(touch & (F.col("type") == F.col("n_type")))
     best = same.groupBy("doc_id", "type", "start", "end").agg(F.max("score").alias("ner_score"))
-    structured = f.join(best, ["doc_id", "type", "start", "end"], "left").select("doc_id", "type", "raw", "normalized", "start", "end", F.when(F.col("ner_score").isNull(), "regex").otherwise("fused").alias("detector"), F.col("confidence").cast("double").alias("confidence"), "ner_score")
+    taken = F.col("ner_score").isNotNull()
+    made_by = F.when(taken, F.array_union("provenance", F.array(F.lit("ner")))).otherwise(F.col("provenance")).alias("provenance")
+    structured = f.join(best, ["doc_id", "type", "start", "end"], "left").select("doc_id", "type", "raw", "normalized", "start", "end", F.when(taken, "fused").otherwise("regex").alias("detector"), F.col("confidence").cast("double").alias("confidence"), "ner_score", made_by)
     spans = f.select("doc_id", "type", "start", "end").withColumnRenamed("doc_id", "d")
     inside = (F.col("start") <= F.col("n_start")) & (F.col("n_end") <= F.col("end"))
     gone = (F.col("d") == F.col("doc_id")) & (((F.col("type") == F.col("n_type")) & touch) | ((F.col("type") != F.col("n_type")) & inside))
     rest = n.join(spans, gone, "left_anti").dropDuplicates(["doc_id", "n_type", "n_raw", "n_start", "n_end"])
-    rest = rest.select("doc_id", F.col("n_type").alias("type"), F.col("n_raw").alias("raw"), F.trim("n_raw").alias("normalized"), F.col("n_start").alias("start"), F.col("n_end").alias("end"), F.lit("ner").alias("detector"), F.col("score").alias("confidence"), F.col("score").alias("ner_score"))
+    rest = rest.select("doc_id", F.col("n_type").alias("type"), F.col("n_raw").alias("raw"), F.trim("n_raw").alias("normalized"), F.col("n_start").alias("start"), F.col("n_end").alias("end"), F.lit("ner").alias("detector"), F.col("score").alias("confidence"), F.col("score").alias("ner_score"), F.array(F.lit("ner")).alias("provenance"))
     return structured.unionByName(rest)
 
 
+def extracted(docs: DataFrame, found: DataFrame, ner: DataFrame | None = None, status: DataFrame | None = None) -> DataFrame:
+    """One row for each (doc_id, text) document: its fused entities and how complete they are.
+
+    ``skipped``: the text is null or blank, so nothing was looked for. ``truncated``: it is longer than a recognizer reads.
+    ``partial``: there was no recognizer (``ner`` is None), it failed for this document (``status``: doc_id, failed,
+    covered), its windows left a tail, or the text was truncated; structured entities are there all the same."""
+    if ner is None:
+        ner = found.select("doc_id", "type", F.lit("").alias("text"), F.lit(0.0).alias("score"), "start", "end").limit(0)
+        missing = F.lit(True)
+    else:
+        missing = F.lit(False)
+    entity = F.struct("start", "end", "type", "raw", "normalized", "detector", "confidence", "ner_score", "provenance")
+    e = fuse(found, ner).groupBy("doc_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
+    d = docs.select("doc_id", (F.trim(F.coalesce("text", F.lit(""))) == "").alias("skipped"), (F.coalesce(F.length("text"), F.lit(0)) > MOST).alias("truncated"))
+    if status is not None:
+        d = d.join(status.groupBy("doc_id").agg(F.bool_or(F.coalesce("failed", F.lit(False)) | ~F.coalesce("covered", F.lit(True))).alias("short")), "doc_id", "left")
+    else:
+        d = d.withColumn("short", F.lit(False))
+    incomplete = ~F.col("skipped") & (missing | F.coalesce("short", F.lit(False)) | F.col("truncated"))
+    d = d.join(e, "doc_id", "left")
+    none = F.from_json(F.lit("[]"), e.schema["entities"].dataType)
+    return d.select("doc_id", "skipped", "truncated", incomplete.alias("partial"), F.when(F.col("skipped") | F.col("entities").isNull(), none).otherwise(F.col("entities")).alias("entities"))
+
+
 def gazetted(docs: DataFrame, values: DataFrame, most: int = 200_000) -> DataFrame:
     """(doc_id, type, normalized) of the (type, value) rows whose words follow one another in a (doc_id, text) row, whatever the case.
 
@@ -82,8 +119,10 @@ def signals(identities: DataFrame, entities: DataFrame) -> DataFrame:
     pair = ["identity_id", "doc_id"]
     e = entities.select("doc_id", "type", "normalized")
     by_email = identities.select("identity_id", email(F.col("email")).alias("k")).filter("k <> ''").join(e.filter("type = 'EMAIL'").withColumn("k", email(F.col("normalized"))), "k").select(*pair, F.lit("email").alias("signal"))
-    i = identities.select("identity_id", digits(F.col("phone")).alias("k"), "is_phone_verified").filter("k <> ''")
-    by_phone = i.join(e.filter("type = 'PHONE'").withColumn("k", digits(F.col("normalized"))), "k").select(*pair, F.when(F.col("is_phone_verified"), "phone").otherwise("attested").alias("signal"))
+    # both sides in international form where a numbering plan has them, so a local number meets its own
+    number = lambda c: digits(F.coalesce(e164(c), c))
+    i = identities.select("identity_id", number(F.col("phone")).alias("k"), "is_phone_verified").filter("k <> ''")
+    by_phone = i.join(e.filter("type = 'PHONE'").withColumn("k", number(F.col("normalized"))), "k").select(*pair, F.when(F.col("is_phone_verified"), "phone").otherwise("attested").alias("signal"))
     by_user = identities.select("identity_id", email(F.col("username")).alias("k")).filter("k <> ''").join(e.withColumn("k", email(F.col("normalized"))), "k").select(*pair, F.lit("username").alias("signal"))
     people = e.filter("type = 'PERSON'").select("normalized").distinct()
     named = names.matches(identities, people, "identity_id", "name", "normalized", "normalized")
