@@ -1,89 +1,24 @@
 """License scan: ordered signature rules over the words of a text, in DataFrame functions alone.
 
 A text becomes its words, in lower case and with one space between. A rule is a pattern over these words with a label, a
-priority and a keyword. Plain substring tests for keywords choose the rules that a text is matched against; most texts
-meet none. A detection is a run of words; one that lies inside another of at least its priority is suppressed. The base
-phrases are rules that are always reported.
+priority and a keyword (``license_rules``). Plain substring tests choose what a text is matched against: first a few
+parts of words, of which most texts hold none, then keywords. A detection is a run of words; one that lies inside another
+of at least its priority is suppressed. The base phrases are always reported.
 
-Rules are built from families of licenses and ways of naming them: names, versions and forms are the table, and each
-combination is one pattern.
+Patterns run once over a text, and places and suppression are running sums and maxima, so the work is in proportion to
+the text and its detections.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import blocks, let, matches
 from .common import LOWER, UPPER, table
+from .license_rules import STEMS, rules
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-
-#: Label, keyword, ways of naming it (patterns over words), versions (label part: words).
-FAMILIES = [
-    ("apache", "apache", ["apache", "apache software"], {"1.0": "1 0", "1.1": "1 1", "2.0": "2 0"}),
-    ("mit", "mit", ["mit", "mit x11", "expat mit"], {"0": "0"}),
-    ("bsd", "bsd", ["bsd", "berkeley software distribution bsd", "(?:new|modified|revised|simplified) bsd"], {"2-clause": "2 clause", "3-clause": "3 clause", "4-clause": "4 clause", "0-clause": "(?:0|zero) clause"}),
-    ("agpl", "affero", ["(?:gnu )?affero general public"], {"1.0": "1(?: 0)?", "3.0": "3(?: 0)?"}),
-    ("lgpl", "lesser", ["(?:gnu )?lesser general public", "(?:gnu )?library or lesser general public"], {"2.1": "2 1", "3.0": "3(?: 0)?"}),
-    ("lgpl", "lgpl", ["lgpl"], {"2.1": "v?2 1", "3.0": "v?3(?: 0)?"}),
-    ("agpl", "agpl", ["agpl"], {"3.0": "v?3(?: 0)?"}),
-    ("gpl", "gpl", ["gpl", "gnu gpl"], {"1.0": "v?1(?: 0)?", "2.0": "v?2(?: 0)?", "3.0": "v?3(?: 0)?"}),
-    ("gpl", "general public", ["(?:gnu )?general public"], {"1.0": "1(?: 0)?", "2.0": "2(?: 0)?", "3.0": "3(?: 0)?"}),
-    ("gfdl", "free documentation", ["(?:gnu )?free documentation"], {"1.1": "1 1", "1.2": "1 2", "1.3": "1 3"}),
-    ("mpl", "mozilla", ["mozilla public"], {"1.0": "1 0", "1.1": "1 1", "2.0": "2 0"}),
-    ("epl", "eclipse", ["eclipse public"], {"1.0": "1 0", "2.0": "2 0"}),
-    ("cddl", "common development", ["common development and distribution"], {"1.0": "1 0", "1.1": "1 1"}),
-    ("cpl", "common public", ["common public"], {"1.0": "1 0"}),
-    ("eupl", "european union", ["european union public"], {"1.1": "1 1", "1.2": "1 2"}),
-    ("artistic", "artistic", ["artistic"], {"1.0": "1 0", "2.0": "2 0"}),
-    ("boost", "boost software", ["boost software"], {"1.0": "1 0"}),
-    ("zlib", "zlib", ["zlib", "zlib libpng"], {}),
-    ("isc", "isc", ["isc", "internet systems consortium isc"], {}),
-    ("unlicense", "unlicense", ["unlicense"], {}),
-    ("wtfpl", "wtfpl", ["wtfpl"], {"2.0": "2(?: 0)?"}),
-    ("python", "python", ["python software foundation", "python"], {"2.0": "2 0"}),
-    ("php", "php", ["php"], {"3.0": "3 0", "3.01": "3 01"}),
-    ("ofl", "open font", ["sil open font", "open font"], {"1.0": "1 0", "1.1": "1 1"}),
-    ("odbl", "open database", ["open (?:data commons )?(?:open )?database"], {"1.0": "1 0"}),
-    ("ms-pl", "microsoft public", ["microsoft public"], {}),
-    ("openssl", "openssl", ["openssl"], {}),
-    ("postgresql", "postgresql", ["postgresql"], {}),
-]
-#: Name of a form, pattern around {n} (name) and {v} (version words), priority, whether it needs a version.
-FORMS = [
-    ("grant-version", "(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?(?: version| v)? {v}(?: licen[cs]e)?", 95, True),
-    ("grant", "(?:licensed|released|distributed|available|provided|published) under (?:the )?(?:terms of (?:the )?)?{n}(?: licen[cs]e)?", 80, False),
-    ("identifier-version", "spdx licen[cs]e identifier {n} {v}(?: only| or later)?", 100, True),
-    ("identifier", "spdx licen[cs]e identifier {n}", 90, False),
-    ("name-version", "{n} licen[cs]e(?: version| v)? {v}", 85, True),
-    ("name", "{n} licen[cs]e", 60, False),
-]
-#: Creative Commons: kinds by their words after "cc" or in full, and versions.
-CC_KINDS = {"by": ("by", "attribution"), "by-sa": ("by sa", "attribution share ?alike"), "by-nc": ("by nc", "attribution non ?commercial"), "by-nd": ("by nd", "attribution no ?deriv(?:ative)?s?"), "by-nc-sa": ("by nc sa", "attribution non ?commercial share ?alike"), "by-nc-nd": ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s?")}
-CC_VERSIONS = {"1.0": "1 0", "2.0": "2 0", "2.5": "2 5", "3.0": "3 0", "4.0": "4 0"}
-#: Rules that no family has: label, keyword, pattern, priority.
-OTHERS = [
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?", 90),
-    ("public-domain", "public domain", "(?:dedicated to|released into|placed in|in) the public domain", 85),
-    ("proprietary", "proprietary", "proprietary and confidential", 70),
-    ("copyright", "copyright", "copyright(?: c)? (?:19|20)[0-9]{2}", 40),
-    ("copyright", "copyright", "(?:c )?copyright by", 40),
-]
-
-
-def rules() -> list[tuple[str, str, str, int]]:
-    """(label, keyword, pattern, priority) of every rule."""
-    out = []
-    for label, keyword, names, versions in FAMILIES:
-        for name in names:
-            for _, form, priority, versioned in FORMS:
-                for version, said in versions.items() if versioned else [("", "")]:
-                    out.append((f"{label}-{version}" if version else label, keyword, form.format(n=name, v=said), priority))
-    for kind, (short, full) in CC_KINDS.items():
-        for n, words in (("cc", f"cc {short}"), ("creative commons", f"creative commons {full}")):
-            out.append((f"cc-{kind}", n, words, 50 + 5 * kind.count("-")))
-            out += [(f"cc-{kind}-{v}", n, f"{words}(?: (?:international|unported|licen[cs]e))?(?: version)? {said}", 75 + 5 * kind.count("-")) for v, said in CC_VERSIONS.items()]
-    out += OTHERS
-    return list(dict.fromkeys(out))
+FOUND = "array<struct<first:int,stop:int,priority:int,label:string,level:int>>"
 
 
 def _spaces(x: Column) -> Column:
@@ -91,35 +26,44 @@ def _spaces(x: Column) -> Column:
 
 
 def _detections(norm: Column, rule: Column) -> Column:
-    """Runs of words (first, past the last) where a rule's pattern stands."""
-    pattern = rule["pattern"]
-    between, found = F.split(norm, pattern), F.regexp_extract_all(norm, pattern, F.lit(0))
-    start = F.struct(F.lit(0).alias("seen"), F.lit(None).cast("array<struct<first:int,stop:int>>").alias("runs"))
+    """Runs of words (first, past the last) where a rule's pattern stands; ends and priorities are negative, for sorting."""
+    runs = matches(norm, rule["pattern"], _spaces)  # spaces before a match: it starts at word spaces - 1
+    return F.transform(runs, lambda r: F.struct((r["start"] - 1).alias("first"), (-r["end"]).alias("stop"), (-rule["priority"]).alias("priority"), rule["label"].alias("label"), rule["level"].alias("level")))
+
+
+def _kept(found: Column, levels: int) -> Column:
+    """Detections in order of first word, longest first, without those inside an earlier one of at least their priority.
+
+    A state holds, for each level of priority, the furthest end so far of detections of that level or more."""
+    zero = F.array_repeat(F.lit(-1), levels)
+    raised = lambda state, d: F.transform(state, lambda x, i: F.when(i <= d["level"], F.greatest(x, -d["stop"])).otherwise(x))
 
-    def step(acc: Column, i: Column) -> Column:
-        seen = acc["seen"] + _spaces(F.get(between, i))  # spaces before the match: it starts at word seen - 1
-        run = F.struct((seen - 1).alias("first"), (seen + _spaces(F.get(found, i))).alias("stop"))
-        return F.struct((seen + _spaces(F.get(found, i))).alias("seen"), F.concat(F.coalesce(acc["runs"], F.array().cast("array<struct<first:int,stop:int>>")), F.array(run)).alias("runs"))
+    def flags(piece: Column, state: Column) -> Column:
+        begin = F.struct(state.alias("state"), F.array().cast("array<boolean>").alias("out"))
+        step = lambda acc, d: F.struct(raised(acc["state"], d).alias("state"), F.concat(acc["out"], F.array(F.get(acc["state"], d["level"]) >= -d["stop"])).alias("out"))
+        return F.aggregate(piece, begin, step)["out"]
 
-    every = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["runs"]
-    return F.when(F.size(found) > 0, F.transform(every, lambda r: F.struct(r["first"].alias("first"), (-r["stop"]).alias("stop"), (-rule["priority"]).alias("priority"), rule["label"].alias("label"))))
+    def judged(pieces: Column) -> Column:
+        begin = F.struct(zero.alias("state"), F.array().cast("array<array<int>>").alias("out"))
+        over = lambda acc, piece: F.struct(F.aggregate(piece, acc["state"], raised).alias("state"), F.concat(acc["out"], F.array(acc["state"])).alias("out"))
+        return F.flatten(F.zip_with(pieces, F.aggregate(pieces, begin, over)["out"], flags))
 
+    def chosen(xs: Column) -> Column:
+        return let(let(blocks(xs), judged), lambda inside: F.filter(xs, lambda x, i: ~F.get(inside, i)))
 
-def _kept(found: Column) -> Column:
-    """Detections in order of first word, longest first, without those inside a kept one of at least their priority."""
-    none = F.array().cast("array<struct<first:int,stop:int,priority:int,label:string>>")
-    inside = lambda k, d: (k["stop"] <= d["stop"]) & (k["priority"] <= d["priority"])  # noqa: E731  ends and priorities are negative here
-    return F.aggregate(F.array_sort(found), none, lambda kept, d: F.when(F.exists(kept, lambda k: inside(k, d)), kept).otherwise(F.concat(kept, F.array(d))))
+    return F.when(F.size(found) > 0, let(F.array_sort(found), chosen)).otherwise(F.array().cast(FOUND))
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each document: n_words, n_base, first_word, last_word, base_labels, labels, score and the detections.
 
-    A null or empty text has no word and no label: empty strings, null places, score 0. Repeated rows each get their
-    answer; other columns are not read; an empty table gives no rows. The score is the best priority among kept
-    detections over 100, and at least 0.5 where a base phrase stands."""
+    A null or empty text has no word and no label: empty strings, null places, score 0. A very long text is scanned whole.
+    Of detections of one run and priority (ties) the first label in order is kept. Repeated rows each get their answer;
+    other columns are not read, whatever their names; an empty table gives no rows. The score is the best priority among
+    kept detections over 100, and at least 0.5 where a base phrase stands."""
     table_ = rules()
     keywords = sorted({k for _, k, _, _ in table_})
+    levels = sorted({n for *_, n in table_})
     gap = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
     # one pass for letters and gaps (NUL can't be a replacement), one for runs of gaps
     spaced = F.translate(F.coalesce(docs[text], F.lit("")), UPPER + gap, LOWER + " " * len(gap))
@@ -133,13 +77,16 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
         first = _spaces(F.get(cut, F.lit(0))) - 1
         last = F.col("n_words") - (_spaces(F.element_at(cut, -1)) - 1) - len(phrase.split())
         places.append(F.when(norm.contains(f" {phrase} "), F.struct(F.lit(label).alias("label"), (F.size(cut) - 1).cast("long").alias("n"), first.cast("long").alias("first"), last.cast("long").alias("last"))))
-    literal = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(f"(?<= ){p}(?= )").alias("pattern"), F.lit(n).alias("priority")) for a, k, p, n in table_])
-    known = F.filter(F.array(*[F.lit(k) for k in keywords]), lambda k: F.contains(norm, k))
-    d = d.withColumn("base", F.array_compact(F.array(*places))).withColumn("known", known)
-    asked = F.filter(literal, lambda r: F.array_contains(F.col("known"), r["keyword"]))
-    found = F.flatten(F.array_compact(F.transform(asked, lambda r: _detections(norm, r))))
-    kept = F.when(F.size("known") > 0, _kept(found)).otherwise(F.array().cast("array<struct<first:int,stop:int,priority:int,label:string>>"))
-    d = d.withColumn("kept", kept).drop("norm")
+    literal = F.array(*[F.struct(F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(f"(?<= ){p}(?= )").alias("pattern"), F.lit(n).alias("priority"), F.lit(levels.index(n)).alias("level")) for a, k, p, n in table_])
+    maybe = F.lit(False)
+    for stem in STEMS:
+        maybe = maybe | F.contains(norm, F.lit(stem))
+    there = F.filter(F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(f" {k[:-1]}" if k.endswith("*") else f" {k} ").alias("said")) for k in keywords]), lambda k: F.contains(norm, k["said"]))
+    known = F.when(maybe, F.transform(there, lambda k: k["keyword"])).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast(FOUND)
+    asked = lambda known_: F.filter(literal, lambda r: F.array_contains(known_, r["keyword"]))
+    kept = let(known, lambda k: F.when(F.size(k) > 0, let(F.flatten(F.transform(asked(k), lambda r: _detections(norm, r))), lambda f: _kept(f, len(levels)))).otherwise(none))
+    d = d.withColumn("base", F.array_compact(F.array(*places))).withColumn("kept", kept).drop("norm")
     base_labels = F.array_sort(F.transform("base", lambda b: b["label"]))
     labels = F.array_sort(F.array_distinct(F.concat(base_labels, F.transform("kept", lambda k: k["label"]))))
     best = F.coalesce(F.array_max(F.transform("kept", lambda k: -k["priority"])), F.lit(0)) / 100.0
