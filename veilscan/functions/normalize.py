@@ -14,6 +14,12 @@ def email(x: Column) -> Column:
     return F.lower(F.trim(x))
 
 
+def is_email_shaped(query: Column) -> Column:
+    """Whether a query, without quotes around it, is one address: it then goes to the breach source."""
+    x = F.trim(F.regexp_replace(query, '^"|"$', ""))
+    return F.coalesce(x.rlike(r"^[^\s@]+@[^\s@]+[.][^\s@]+$"), F.lit(False))
+
+
 def digits(x: Column) -> Column:
     return F.regexp_replace(x, r"\D", "")
 

@@ -10,7 +10,9 @@ from ..sources.dims import ACTIONS, SEVERITIES
 
 
 def identity_confidence(email: Column, phone: Column, username: Column, attested: Column, name: Column, org: Column, location: Column, sources: Column, common: Column) -> Column:
-    """struct(confidence, match_label, caps): the strongest signal, corroborations, penalty, caps; the label never rests on a name alone."""
+    """struct(confidence, match_label, caps, reasons): the strongest signal, corroborations, penalty, caps; the label never rests on a name alone.
+
+    Reasons name the signal that the base comes from, then what was added, taken off and capped, in this order."""
     exact = email | phone | username
     base = F.when(email | phone, 90).when(username, 80).when(attested, 60).when(name, 30).otherwise(0)
     several = F.coalesce(sources, F.lit(1)) >= 2
@@ -20,7 +22,10 @@ def identity_confidence(email: Column, phone: Column, username: Column, attested
     by_phone = F.when(~exact & attested, F.least(by_name, F.lit(75))).otherwise(by_name)
     caps = F.array_compact(F.array(F.when(~exact & name & (raw > 50), F.lit("NAME_ONLY_0.50")), F.when(~exact & attested & (by_name > 75), F.lit("ATTESTED_PHONE_0.75")), F.when(by_phone > 98, F.lit("OVERALL_0.98"))))
     label = F.when(exact | (name & (count >= 2)), "CONFIRMED").otherwise("POTENTIAL")
-    return F.struct((F.greatest(F.lit(0), F.least(by_phone, F.lit(98))) / 100.0).alias("confidence"), label.alias("match_label"), caps.alias("caps"))
+    strongest = F.when(email, "EMAIL").when(phone, "PHONE").when(username, "USERNAME").when(attested, "ATTESTED_PHONE").when(name, "NAME")
+    added = [F.when(org, F.lit("ORGANIZATION+0.05")), F.when(location, F.lit("LOCATION+0.03")), F.when(several, F.lit("SOURCES+0.05")), F.when(common, F.lit("COMMON_NAME-0.10"))]
+    reasons = F.concat(F.array_compact(F.array(strongest, *added)), F.transform(caps, lambda c: F.concat(F.lit("CAP:"), c)))
+    return F.struct((F.greatest(F.lit(0), F.least(by_phone, F.lit(98))) / 100.0).alias("confidence"), label.alias("match_label"), caps.alias("caps"), reasons.alias("reasons"))
 
 
 def _seen(types: Column, kind: Column, *names: str) -> Column:

@@ -55,7 +55,7 @@ def chosen_urls(results: DataFrame, n: int = 10) -> DataFrame:
 
 
 def explained(findings: DataFrame, explanations: DataFrame) -> DataFrame:
-    """Findings with new explanations by (identity, source, entity); the old one stays where there is none."""
+    """Findings with new explanations by (identity, source, entity); the old one stays where there is none. Of several for a key the smallest text is taken."""
     keys = ["identity", "source", "entity"]
-    new = explanations.select(*keys, F.col("summary").alias("__new")).dropDuplicates(keys)
+    new = explanations.groupBy(*keys).agg(F.min("summary").alias("__new"))
     return findings.join(new, keys, "left").withColumn("summary", F.coalesce("__new", "summary")).drop("__new")

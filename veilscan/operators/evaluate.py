@@ -26,10 +26,10 @@ def by_person(rows: DataFrame) -> DataFrame:
     return rows.rollup("person_id").agg(F.count("*").alias("entries"), *counts)
 
 
-def decoys(rows: DataFrame) -> DataFrame:
-    """False positives among entries that match no one."""
+def decoys(rows: DataFrame, *by: str) -> DataFrame:
+    """False positives among entries that match no one, over all or for each set."""
     n = F.count_if(F.col("classification") != "NO_MATCH")
-    return rows.agg(F.count("*").alias("decoys"), n.alias("false_positives"), F.when(n == 0, "PASS").otherwise("FAIL").alias("verdict"))
+    return rows.groupBy(*by).agg(F.count("*").alias("decoys"), n.alias("false_positives"), F.when(n == 0, "PASS").otherwise("FAIL").alias("verdict"))
 
 
 def mismatches(expected: DataFrame, actual: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ A scan marks the sources that it evaluated; only in these can a finding be absen
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import hmac_sha256
 from ..functions.rules import bumped
 
 #: Fixed value: absences in a row that close a finding.
@@ -129,10 +130,20 @@ def retained(rows: DataFrame, at: str, now: Column, hours: int) -> DataFrame:
 
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, hours: int = 6) -> DataFrame:
-    """``queries`` (key, asked) with the newest cached row not older than ``hours`` at that time, and ``hit``."""
-    c = cache.select("key", F.col("created").alias("cached_at"))
-    both = queries.join(c, "key", "left").withColumn("cached_at", F.when((F.col("cached_at") <= F.col("asked")) & (F.col("cached_at") > F.col("asked") - F.make_dt_interval(hours=F.lit(hours))), F.col("cached_at")))
-    return both.groupBy("key", "asked").agg(F.max("cached_at").alias("cached_at")).withColumn("hit", F.col("cached_at").isNotNull())
+    """``queries`` (key, asked) with the newest cached row not older than ``hours`` at that time, and ``hit``; repeated queries are one row.
+
+    Both stand in one order by key and time, and each query takes the last cached time before it: no row meets all rows of its key."""
+    asks = queries.select("key", F.col("asked").alias("at"), F.lit(None).cast("timestamp").alias("made"), F.lit(1).alias("ask")).distinct()
+    rows = asks.unionByName(cache.select("key", F.col("created").cast("timestamp").alias("at"), F.col("created").cast("timestamp").alias("made"), F.lit(0).alias("ask")))
+    before = Window.partitionBy("key").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("last", F.last("made", ignorenulls=True).over(before)).filter("ask = 1")
+    fresh = F.when(F.col("last") > F.col("at") - F.make_dt_interval(hours=F.lit(hours)), F.col("last"))
+    return rows.select("key", F.col("at").alias("asked"), fresh.alias("cached_at"), fresh.isNotNull().alias("hit"))
+
+
+def cache_key(key: bytes, query: Column) -> Column:
+    """The key under which a query's answer is cached: a keyed hash of the query in its plain form, so a cache holds no query."""
+    return hmac_sha256(key, F.lower(F.trim(F.regexp_replace(query, r"\s+", " "))))
 
 
 def erased(rows: DataFrame, users: DataFrame, user: str = "user_id") -> DataFrame:
@@ -140,6 +151,45 @@ def erased(rows: DataFrame, users: DataFrame, user: str = "user_id") -> DataFram
     return rows.join(users.select(F.col(users.columns[0]).alias(user)).distinct(), user, "left_anti")
 
 
+def erased_everywhere(tables: dict[str, tuple[DataFrame, str]], users: DataFrame, audit: DataFrame | None = None, audit_user: str = "user_id") -> tuple[dict[str, DataFrame], DataFrame | None]:
+    """Every table (frame, user column) without the rows of erased users (the first column of ``users``), and the audit trail,
+    whose rows stay with a hash in the erased user's place. A user whose audit rows are hashed already is not hashed again."""
+    gone = users.select(F.col(users.columns[0]).cast("string").alias("__gone")).distinct()
+    left = {name: df.join(gone, df[user].cast("string") == gone["__gone"], "left_anti") for name, (df, user) in tables.items()}
+    if audit is None:
+        return left, None
+    marked = audit.withColumn("__user", F.col(audit_user).cast("string")).join(gone, F.col("__user") == F.col("__gone"), "left")
+    hidden = F.when(F.col("__gone").isNotNull(), F.sha2("__user", 256)).otherwise(F.col("__user"))
+    return left, marked.withColumn(audit_user, hidden).drop("__user", "__gone")
+
+
+def live_identities(findings: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """Distinct (user, identity) whose identifiers still stand."""
+    return findings.select("user", "identity").join(identifiers.select("identity").distinct(), "identity", "left_semi").select("user", "identity").distinct()
+
+
+def protected(identifiers: DataFrame, findings: DataFrame) -> DataFrame:
+    """By user: identifiers, and those of them that no open finding names."""
+    open_ = findings.filter(~F.col("status").isin("REMEDIATED", "CLOSED")).select("user", "identifier").distinct().withColumn("exposed", F.lit(1))
+    both = identifiers.select("user", "identifier").distinct().join(open_, ["user", "identifier"], "left")
+    return both.groupBy("user").agg(F.count("*").alias("identifiers"), F.count_if(F.col("exposed").isNull()).alias("protected"))
+
+
+def seen_times(sightings: DataFrame) -> DataFrame:
+    """By finding: the first and the last scan that saw it, and when."""
+    return sightings.groupBy("identity", "source", "entity").agg(F.min("scan").alias("first_scan"), F.max("scan").alias("last_scan"), F.min_by("ts", F.struct("scan", "ts")).alias("first_at"), F.max_by("ts", F.struct("scan", "ts")).alias("last_at"))
+
+
+def upserted(stored: DataFrame, rows: DataFrame, key: str = "fingerprint") -> DataFrame:
+    """Stored findings with the rows of a scan: a row of a known key updates it (first_scan stays), a new key is added, others are as they were.
+
+    ``stored`` and ``rows``: the key, severity, scan columns of the same names; of repeated keys in ``rows`` the last scan counts."""
+    others = [c for c in rows.columns if c not in (key, "scan")]
+    new = rows.groupBy(key).agg(F.max("scan").alias("scan"), *[F.max_by(c, F.struct("scan", c)).alias(f"new_{c}") for c in others])
+    both = stored.join(new, key, "full_outer")
+    return both.select(key, *[F.coalesce(f"new_{c}", c).alias(c) for c in others], F.coalesce("first_scan", "scan").alias("first_scan"), F.greatest("last_scan", "scan").alias("last_scan"))
+
+
 def audit_safe(rows: DataFrame, metadata: str = "metadata", user: str = "user_id") -> DataFrame:
     """Audit rows with hashed users and without keys that name sensitive fields."""
     safe = F.map_filter(metadata, lambda k, v: ~k.rlike("(?i)(email|phone|aadhaar|pan|password|document|raw)"))
@@ -163,13 +213,23 @@ def finding_view(findings: DataFrame) -> DataFrame:
 
 
 def redacted_finding(findings: DataFrame) -> DataFrame:
-    """The fields that may leave: no value of a person, two decimals, defaults for what is missing."""
+    """The fields that may leave: no value of a person, two decimals, defaults for what is missing.
+
+    Columns that ``findings`` may lack (extraction_confidence, actions) are defaults then; the tier is the evidence's best."""
+    has = lambda n, kind, none: F.coalesce(F.col(n), none).alias(n) if n in findings.columns else none.cast(kind).alias(n)
+    two = lambda c: (F.floor(c * 100 + 0.5) / 100).cast("double")
     domains = F.array_distinct(F.array_compact(F.transform("evidence", lambda e: e["domain"])))
+    fields = findings.schema["evidence"].dataType.elementType.names
+    tiers = F.exists("evidence", lambda e: e["tier"] == "document") if "tier" in fields else F.lit(False)
+    extraction = two(F.col("extraction_confidence")) if "extraction_confidence" in findings.columns else F.lit(None).cast("double")
     return findings.select(
         "id",
         F.coalesce("severity", F.lit("LOW")).alias("risk"),
-        "exposure_type",
-        (F.floor(F.col("confidence") * 100 + 0.5) / 100).alias("confidence"),
+        F.coalesce("exposure_type", F.lit("UNKNOWN")).alias("exposure_type"),
+        F.coalesce(two(F.col("confidence")), F.lit(0.0)).alias("confidence"),
+        F.coalesce(extraction, F.lit(0.0)).alias("extraction_confidence"),
+        F.when(F.coalesce(tiers, F.lit(False)), "document").otherwise("snippet").alias("tier"),
         F.when(F.size(domains) > 0, F.array_sort(domains)).otherwise(F.array(F.lit("unknown"))).alias("domains"),
         F.coalesce("threats", F.array().cast("array<string>")).alias("threats"),
+        has("actions", "array<string>", F.array().cast("array<string>")),
     )

@@ -2,7 +2,7 @@
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,9 +22,9 @@ def search_rows(raw: DataFrame, column: str = "json") -> DataFrame:
 
 
 def breach_names(raw: DataFrame, column: str = "json") -> DataFrame:
-    """Names of a breach answer, nested lists flattened and blanks dropped; an error answer is a clean result."""
+    """Distinct names of a breach answer, nested lists flattened and blanks dropped; an error answer is a clean result."""
     names = F.flatten(F.from_json(column, "struct<breaches:array<array<string>>>")["breaches"])
-    kept = F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.trim(x) != "")
+    kept = F.array_distinct(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
     return raw.select("email", F.slice(kept, 1, MOST_BREACHES).alias("names"), F.size(kept).alias("total"))
 
 
@@ -55,11 +55,48 @@ def breach_summary(raw: DataFrame, column: str = "json") -> DataFrame:
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
-    """A broker catalog from JSON: a list, or an object with one."""
-    raw = spark.read.json(path, multiLine=True)
-    rows = raw.select(F.explode("brokers").alias("b")).select("b.*") if "brokers" in raw.columns else raw
+    """A broker catalog from JSON: a list, or an object with one. Positions follow the files' names and the order in each."""
+    shape = "array<struct<name:string,domain:string,category:string,optOutUrl:string,instructions:string,domains:array<string>>>"
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.coalesce(F.from_json("value", f"struct<brokers:{shape}>")["brokers"], F.from_json("value", shape)).alias("bs"))
+    each = raw.select("file", F.posexplode("bs").alias("i", "b")).select("file", "i", "b.*")
+    files = raw.groupBy("file").agg(F.sum(F.size("bs")).alias("n"))
+    files = files.select("file", F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rows = each.join(F.broadcast(files), "file").withColumn("position", (F.col("before") + F.col("i")).cast("int"))
     other = F.col("domains") if "domains" in rows.columns else F.array().cast("array<string>")
-    return rows.select("name", "domain", F.col("optOutUrl").alias("opt_out_url"), F.coalesce(other, F.array().cast("array<string>")).alias("domains"), F.monotonically_increasing_id().cast("int").alias("position"))
+    return rows.select("name", "domain", F.col("optOutUrl").alias("opt_out_url"), F.coalesce(other, F.array().cast("array<string>")).alias("domains"), "position", "category", "instructions")
+
+
+def breach_lists(raw: DataFrame, column: str = "json") -> DataFrame:
+    """By address: the distinct names of its breaches, how many of them expose passwords, and their details, by name.
+
+    Of a breach that is recorded twice for an address the details with the larger severity, then type, stand."""
+    b = raw.select(F.explode(F.from_json(column, BREACHES)["breaches"]).alias("b")).select("b.*")
+    detail = F.struct("severity", "exposure_type", "occurred_at", "record_count", "passwords_included")
+    one = b.groupBy(F.lower("email").alias("email"), F.col("breach_name").alias("name")).agg(F.max(detail).alias("d"))
+    return one.groupBy("email").agg(F.array_sort(F.collect_list("name")).alias("names"), F.count_if("d.passwords_included").alias("with_passwords"), F.array_sort(F.collect_list(F.struct("name", "d.*"))).alias("details"))
+
+
+def ner_rows(raw: DataFrame, column: str = "json") -> DataFrame:
+    """Recorded answers of a recognizer as rows: source, label, text, score, start, end; the answers nest documents and their entities."""
+    shape = "struct<extracted_from:array<struct<source:string,person_id:string,entities:array<struct<text:string,label:string,score:double,start:int,end:int>>>>>"
+    each = raw.select(F.explode(F.from_json(column, shape)["extracted_from"]).alias("x")).select("x.source", "x.person_id", F.explode("x.entities").alias("e"))
+    return each.select("source", "person_id", "e.label", "e.text", "e.score", "e.start", "e.end")
+
+
+def ground_truth(raw: DataFrame, column: str = "json") -> DataFrame:
+    """Profiles of a ground truth in either form: one ``target_profile``, or a list ``target_profiles``; with the form's version."""
+    profile = "struct<id:string,name:string,email:string,phone:string,username:string,organization:string,location:string,city:string,state:string>"
+    x = F.from_json(column, f"struct<target_profile:{profile},target_profiles:array<{profile}>>")
+    many = raw.select(x.alias("x")).withColumn("version", F.when(F.col("x.target_profiles").isNotNull(), 2).otherwise(1))
+    listed = F.coalesce("x.target_profiles", F.when(F.col("x.target_profile").isNotNull(), F.array("x.target_profile")))
+    return many.select("version", F.explode(listed).alias("p")).select("version", "p.*")
+
+
+def report(summary: DataFrame, by_person: DataFrame, mismatched: DataFrame, path: str) -> None:
+    """An evaluation report as one JSON object: totals, counts by person, the entries that differ. A report lists what people read; counts are not bounded by it."""
+    people = by_person.agg(F.array_sort(F.collect_list(F.struct(*by_person.columns))).alias("by_person"))
+    wrong = mismatched.agg(F.array_sort(F.collect_list(F.struct(*mismatched.columns))).alias("mismatches"))
+    summary.agg(*[F.first(c).alias(c) for c in summary.columns]).select(F.struct("*").alias("summary")).crossJoin(people).crossJoin(wrong).coalesce(1).write.mode("overwrite").json(path)
 
 
 def corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
