@@ -154,6 +154,104 @@ def test_sinks(spark, tmp_path):
     assert [r["ok"] for r in records.integrity({"a": (df, 2), "b": (df, 3)}).orderBy("input").collect()] == [True, False]
 
 
+def test_catalog_positions_follow_files(spark, tmp_path):
+    for k, names_ in enumerate((["A", "B"], ["C"], ["D", "E"])):
+        (tmp_path / f"{k}.json").write_text(json.dumps([{"name": n, "domain": f"{n.lower()}.com", "optOutUrl": "u", "instructions": f"ask {n}"} for n in names_]))
+    got = records.catalog(spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r["name"], r["position"], r["instructions"]) for r in got] == [(n, i, f"ask {n}") for i, n in enumerate("ABCDE")]
+
+
+def test_report_is_one_object(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "CONFIRMED"), ("b", "NO_MATCH")], "person_id string, classification string")
+    people = evaluate.by_person(rows)
+    wrong = spark.createDataFrame([("e", "CONFIRMED", "NO_MATCH")], "entry_id string, expected string, actual string")
+    records.report(evaluate.decoys(rows), people, wrong, str(tmp_path / "r"))
+    lines = [line for f in (tmp_path / "r").glob("part-*.json") for line in f.read_text().splitlines()]
+    assert len(lines) == 1
+    made = json.loads(lines[0])
+    assert made["summary"]["verdict"] == "FAIL" and len(made["by_person"]) == 3 and made["mismatches"] == [{"entry_id": "e", "expected": "CONFIRMED", "actual": "NO_MATCH"}]
+
+
+def test_explanations_come_from_a_provider_or_the_template(spark):
+    from veilscan.operators import candidates, monitor
+
+    rows = spark.createDataFrame([(1, "HIGH", "CREDENTIAL_EXPOSURE", 0.9, ["CREDENTIAL_STUFFING"], ["ENABLE_MFA"], [("a.in", "document")]), (2, None, None, None, None, None, [])], "id long, severity string, exposure_type string, confidence double, threats array<string>, actions array<string>, evidence array<struct<domain:string,tier:string>>")
+    safe = monitor.redacted_finding(rows)
+    first, second = safe.orderBy("id").collect()
+    assert (first["tier"], first["domains"], first["actions"]) == ("document", ["a.in"], ["ENABLE_MFA"])
+    assert tuple(second)[1:] == ("LOW", "UNKNOWN", 0.0, 0.0, "snippet", ["unknown"], [], [])
+    plain = {r["id"]: r for r in candidates.explained_by(safe).collect()}
+    assert plain[1]["summary"].startswith("HIGH credential exposure at a.in") and plain[2]["provider"] == "template"
+    seen = candidates.explained_by(safe, lambda findings: [f"{f['risk']} at {f['domains'][0]}" if f["threats"] else None for f in findings])
+    got = {r["id"]: (r["summary"], r["provider"]) for r in seen.collect()}
+    assert got == {1: ("HIGH at a.in", "model"), 2: (plain[2]["summary"], "template")}
+    assert candidates.explained_by(safe.limit(0), lambda findings: []).count() == 0
+
+
+def test_recognizer_rows_that_pass(spark):
+    from veilscan.operators import entities
+
+    docs = spark.createDataFrame([(1, "Ann  Lee of Pune"), (2, None)], "doc_id long, text string")
+    rows = [(1, "Person", "Ann Lee", 0.9, 0, 8), (1, "person", "Ann Lee", 0.39, 0, 8), (1, "city", "Pune", 0.9, 12, 16), (1, "person", "Bob", 0.9, 0, 3), (1, "person", "e", 0.9, 15, 99), (1, "person", "x", float("nan"), 0, 1), (2, "person", "x", 0.9, 0, 1)]
+    got = entities.reported(spark.createDataFrame(rows, "doc_id long, label string, text string, score double, start int, end int"), docs, ["person"])
+    assert [(r["label"], r["start"], r["end"]) for r in got.collect()] == [("Person", 0, 8)]
+
+
+def test_extraction_without_a_recognizer_is_partial(spark):
+    from pyspark.sql import functions as F
+    from veilscan.functions import detect
+    from veilscan.operators import entities
+
+    docs = spark.createDataFrame([(1, "a@b.in here"), (2, " "), (3, None), (4, "x" * 20001)], "doc_id long, text string")
+    found = docs.select("doc_id", F.explode(detect.emails(F.col("text"))).alias("s")).select("doc_id", "s.*")
+    got = {r["doc_id"]: (r["skipped"], r["truncated"], r["partial"], [e["provenance"] for e in r["entities"]]) for r in entities.extracted(docs, found).collect()}
+    assert got == {1: (False, False, True, [["regex"]]), 2: (True, False, False, []), 3: (True, False, False, []), 4: (False, True, True, [])}
+
+
+def test_numbers_of_all_plans_are_those_of_a_plain_loop(spark, tmp_path):
+    """Spans, then their longest runs of tokens, as a loop over a small table."""
+    import random
+    import re
+
+    from veilscan.functions import detect
+    from veilscan.sources.dims import NUMBER_PLANS
+
+    def e164(raw):
+        digits, plus = re.sub(r"\D", "", raw), raw.lstrip().startswith("+")
+        for code in sorted(NUMBER_PLANS, key=len, reverse=True):
+            rest = re.sub("^0", "", digits[len(code) :])
+            if plus and digits.startswith(code) and re.fullmatch(NUMBER_PLANS[code], rest):
+                return f"+{code}{rest}"
+        national = re.sub("^0", "", digits)
+        if not plus and re.fullmatch(NUMBER_PLANS["91"], national):
+            return "+91" + national
+        if not plus and digits.startswith("91") and re.fullmatch(NUMBER_PLANS["91"], digits[2:]):
+            return "+91" + digits[2:]
+        return None
+
+    rng = random.Random(17)
+    some = ["+91 98765 43210", "098765-43210", "919876543210", "+1 (415) 555-2671", "+44 7911 123456", "+49 151 23456789", "+33 6 12 34 56 78", "+34 612345678", "12345", "9876543210", "8765432109", "1234 5678 9012 3456", "10.0.0.1"]
+    texts = [(i, "s", "en", rng.choice([" ", ", ", " and ", "; "]).join(rng.choice(some) for _ in range(rng.randint(1, 4)))) for i in range(150)]
+    spark.createDataFrame(texts, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, _, _, text in texts:
+        for m in re.finditer(detect.PHONE, text):
+            if e164(m.group()):
+                want.append((i, m.group(), m.start(), e164(m.group())))
+                continue
+            tokens = [(t.start(), t.end()) for t in re.finditer(r"\S+", m.group())][:12]
+            kept = []
+            for n in range(len(tokens), 0, -1):
+                for k in range(len(tokens) - n + 1):
+                    a, b = tokens[k][0], tokens[k + n - 1][1]
+                    if e164(m.group()[a:b]) and not any(max(a, c) < min(b, d) for c, d in kept):
+                        kept.append((a, b))
+            want += [(i, m.group()[a:b], m.start() + a, e164(m.group()[a:b])) for a, b in kept]
+    got = catalog.queries()["pii_phones_all"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["raw"], r["start"], r["e164"]) for r in got) == sorted(want)
+    assert len({w[3][:3] for w in want}) >= 6
+
+
 def test_golden_rules(spark):
     person = [("p", "Rahul Kumar", "r@x.in", "+91 98765 43210", "rk", "Org", "Pune, India", "Pune", "MH")]
     entries = [
