@@ -17,6 +17,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Bytes of text whose words are hashed at a time: bounds the arrays that stand beside a text, however long it is.
 CHUNK = 1 << 20
+#: Bytes of texts that an operator works on together.
+RUN = 1 << 19
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -32,6 +34,8 @@ LOW_BYTE = BYTE[_LOW]
 _POWERS: dict[str, np.ndarray] = {}
 _HELD: dict[str, tuple] = {}
 _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
+if _LIBC is not None:
+    _LIBC.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD stays as it is set: large arrays go back to the system when they are freed
 
 
 def held(owner: str) -> dict:
@@ -68,7 +72,7 @@ def _powers(name: str, base: np.uint64, n: int) -> np.ndarray:
     return _POWERS[name][:n]
 
 
-def slices(texts: pa.Array, most_bytes: int = CHUNK):
+def slices(texts: pa.Array, most_bytes: int = RUN):
     """Runs of rows of at most ``most_bytes`` of text (a longer text is a run of its own), as large_string arrays without nulls."""
     texts = texts.cast(pa.large_string())
     texts = texts.fill_null("") if texts.null_count else texts
