@@ -24,7 +24,7 @@ from .tokens import VOCABULARY, encoded
 
 WINDOW, END_ID = 2048, 1
 #: Rows of one length that are numbered together; a length with more rows is split.
-GROUP = 4096
+GROUP = 512
 
 
 def measured(docs: DataFrame, doc_id: str, text: str, vocabulary: str, window: int, end_id: int) -> DataFrame:
