@@ -196,6 +196,108 @@ def test_pipeline(spark):
     assert now.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).filter("n <> t").count() == 0
 
 
+def folder(spark, tmp_path, docs, labels, benchmark):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path)
+
+
+def test_stages_against_plain_loops(spark, tmp_path):
+    """Rows with nulls, empty and long texts, repeats and columns of clashing names go through each stage as loops say."""
+    import zlib
+
+    import corpus_pipeline
+    from test_text_operators import brute_classes, plain_language, plain_score, prose, wordlist
+
+    from veilscan.llm import op4_toxicity
+    from veilscan.llm.common import table
+
+    rng = random.Random(31)
+    rows = [(i, prose(rng, rng.randint(12, 80)) + (" vile" * 3 if i % 4 == 0 else ""), "aa") for i in range(160)]
+    rows += [(200 + i, " ".join(rng.choice(["über", "schön", "nicht"]) for _ in range(20)), "bb") for i in range(30)]
+    item = prose(rng, 14)
+    rows += [(300, None, None), (301, "", "aa"), (302, "12 - 7", None), (303, rows[3][1] + " " + rows[5][1] + " " + item, "aa"), (None, rows[7][1], "aa"), (7, rows[7][1], "aa"), (304, prose(rng, 20000), "aa"), rows[9], (305, " ".join([*rows[11][1].split()[:-1], "other"]), None)]
+    docs = spark.createDataFrame([(*r, k, "x", {"a": 1}) for k, r in enumerate(rows)], "doc_id long, text string, lang string, __language int, __t string, __leak map<string,int>")
+    d = folder(spark, tmp_path, docs, [(i, int(i % 4 == 0)) for i in range(160)], [(1, item), (2, None)])
+    docs = table(spark, d, "documents")
+    stages = dict(corpus_pipeline.STAGES)
+    numbers = lambda df: sorted(r["__language"] for r in df.collect())
+
+    kept = stages["language"](spark, docs, d)
+    assert kept.columns == docs.columns and kept.schema == docs.schema
+    assert numbers(kept) == [k for k, r in enumerate(plain_language(rows)) if r[3]]
+
+    labels = table(spark, d, "labels")
+    model = op4_toxicity.train(*op4_toxicity.sample(docs, labels, "doc_id", "text", "toxic", op4_toxicity.SAMPLE, op4_toxicity.SAMPLE_BYTES, 5, 0))
+    kept = stages["toxicity"](spark, docs, d)
+    assert kept.schema == docs.schema
+    got = numbers(kept)
+    assert got == [k for k, r in enumerate(rows) if plain_score(r[1], *model) < 0.5]
+    held = [k for k in range(160) if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum((k not in got) == (k % 4 == 0) for k in held) >= 0.9 * len(held)
+
+    kept = stages["near_duplicates"](spark, docs, d)
+    assert kept.schema == docs.schema
+    groups = {}
+    for k, (r, c) in enumerate(zip(rows, brute_classes([(r[0], r[1]) for r in rows]))):
+        groups.setdefault(c if wordlist(r[1]) else -k - 1, []).append(k)
+    first = lambda g: min((rows[k][0] is None, rows[k][0] or 0) for k in g)
+    got = numbers(kept)
+    assert len(got) == len(groups)
+    for g in groups.values():
+        chosen = [k for k in got if k in g]
+        assert len(chosen) == 1 and (rows[chosen[0]][0] is None, rows[chosen[0]][0] or 0) == first(g)
+
+    kept = stages["decontamination"](spark, docs, d)
+    assert kept.schema == docs.schema
+    w = wordlist(item)
+    windows = {tuple(w[i : i + 10]) for i in range(len(w) - 9)}
+    hit = lambda v: any(tuple(v[i : i + 10]) in windows for i in range(len(v) - 9))
+    assert numbers(kept) == [k for k, r in enumerate(rows) if not hit(wordlist(r[1]))]
+    assert 193 not in numbers(kept)
+
+    packed = stages["packing"](spark, docs, d)
+    total = {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert set(total) == {r[0] for r in rows} and total[300] == total[301] == 1
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    from veilscan.llm.common import table
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    d = folder(spark, tmp_path, docs, [], [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table(spark, d, "documents"), d).count() == 0, name
+    assert corpus_pipeline.run(spark, d).count() == 0
+
+
+def test_documents_stay_where_no_language_was_learned(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "some words", None), (2, "7", None), (3, None, None)], "doc_id long, text string, lang string")
+    d = folder(spark, tmp_path, docs, [], [])
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, d).collect()] == [1]
+
+
+def test_clusters_must_name_a_shared_folder(spark):
+    from veilscan.sources import scratch
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert scratch.shared_dir(Session) == scratch.shared_dir(Session)
+
+
 def test_plain_images_have_no_corners():
     assert all(len(x) == 0 for x in op6_image_copies.describe(np.zeros((2, 64, 64), np.uint8)))
     assert all(len(x) == 0 for x in op6_image_copies.describe(np.zeros((1, 8, 8), np.uint8)))
