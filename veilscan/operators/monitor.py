@@ -53,6 +53,31 @@ def lifecycle(grid: DataFrame, base: str = "MEDIUM") -> DataFrame:
     return g.select(*keys, "scan", "state", F.col("absences").cast("int").alias("absences"), bumped(F.lit(base), bumps).alias("severity"))
 
 
+def marked_lifecycle(grid: DataFrame) -> DataFrame:
+    """The state of each finding after each scan where people mark findings as remediated, in closed form.
+
+    ``grid`` is that of ``evaluated`` with ``marked``. A mark counts in a scan that doesn't see the finding, while it isn't
+    closed: so the first mark among the first CLOSES absences of a run decides the rest of it. ``step`` is one transition."""
+    keys = ["identity", "source", "entity"]
+    w = Window.partitionBy(*keys).orderBy("scan")
+    g = grid.withColumn("n", F.row_number().over(w)).withColumn("before", F.lag("seen").over(w)).withColumn("island", F.sum(F.col("seen").cast("int")).over(w))
+    run = Window.partitionBy(*keys, "island")
+    g = g.withColumn("away", F.row_number().over(run.orderBy("scan")) - 1)
+    g = g.withColumn("mark", F.min(F.when(F.col("marked") & ~F.col("seen"), F.col("away"))).over(run))
+    done = (F.col("mark") <= CLOSES) & (F.col("away") >= F.col("mark"))
+    state = (
+        F.when(F.col("seen") & (F.col("n") == 1), "FIRST_SEEN")
+        .when(F.col("seen") & ~F.col("before"), "REAPPEARED")
+        .when(F.col("seen") & (F.col("n") == 2), "ACTIVE")
+        .when(F.col("seen"), "UNCHANGED")
+        .when(F.coalesce(done, F.lit(False)), "REMEDIATED")
+        .when(F.col("away") >= CLOSES, "CLOSED")
+        .otherwise("NOT_FOUND")
+    )
+    counts = ~F.col("seen") & ~F.coalesce(done, F.lit(False)) & (F.col("away") <= CLOSES)
+    return g.select(*keys, "scan", state.alias("state"), F.when(counts, F.col("away")).otherwise(0).cast("int").alias("absences"))
+
+
 def step(state: Column, absences: Column, seen: Column, marked: Column) -> Column:
     """One transition: struct(state, absences, bump)."""
     made = lambda s, n, b=False: F.struct(F.lit(s).alias("state") if isinstance(s, str) else s.alias("state"), n.cast("int").alias("absences"), F.lit(b).alias("bump"))
@@ -133,8 +158,10 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, hours: int = 6) -> DataFr
     """``queries`` (key, asked) with the newest cached row not older than ``hours`` at that time, and ``hit``; repeated queries are one row.
 
     Both stand in one order by key and time, and each query takes the last cached time before it: no row meets all rows of its key."""
-    asks = queries.select("key", F.col("asked").alias("at"), F.lit(None).cast("timestamp").alias("made"), F.lit(1).alias("ask")).distinct()
-    rows = asks.unionByName(cache.select("key", F.col("created").cast("timestamp").alias("at"), F.col("created").cast("timestamp").alias("made"), F.lit(0).alias("ask")))
+    kind = queries.schema["asked"].dataType
+    asks = queries.select("key", F.col("asked").alias("at"), F.lit(None).cast(kind).alias("made"), F.lit(1).alias("ask")).distinct()
+    made = F.col("created").cast(kind)
+    rows = asks.unionByName(cache.select("key", made.alias("at"), made.alias("made"), F.lit(0).alias("ask")))
     before = Window.partitionBy("key").orderBy("at", "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("last", F.last("made", ignorenulls=True).over(before)).filter("ask = 1")
     fresh = F.when(F.col("last") > F.col("at") - F.make_dt_interval(hours=F.lit(hours)), F.col("last"))

@@ -116,15 +116,8 @@ r AS (SELECT identity, source, entity, scan, n, CASE WHEN marked THEN 'REMEDIATE
   CASE WHEN marked AND r.state NOT IN ('REMEDIATED', 'CLOSED') THEN 0 WHEN seen OR r.state IN ('REMEDIATED', 'CLOSED') THEN 0 ELSE r.absences + 1 END FROM r JOIN g ON r.identity = g.identity AND r.source = g.source AND r.entity = g.entity AND g.n = r.n + 1)
 SELECT identity, source, entity, scan, state, absences FROM r""")
 def lifecycle_with_remediation(spark, sf_dir):
-    """Step by step over each finding's scans, in order, with marks of remediation."""
-    start = F.struct(F.lit(None).cast("string").alias("state"), F.lit(0).alias("absences"), F.array().cast("array<struct<scan:int,state:string,absences:int>>").alias("out"))
-
-    def step(acc, x):
-        t = M.step(acc["state"], acc["absences"], x["seen"], x["marked"])
-        return F.struct(t["state"].alias("state"), t["absences"].alias("absences"), F.concat(acc["out"], F.array(F.struct(x["scan"].alias("scan"), t["state"].alias("state"), t["absences"].alias("absences")))).alias("out"))
-
-    rows = ticks(spark, sf_dir).groupBy("identity", "source", "entity").agg(F.array_sort(F.collect_list(F.struct("scan", "seen", "marked"))).alias("xs"))
-    return rows.select("identity", "source", "entity", F.explode(F.aggregate("xs", start, step)["out"]).alias("o")).select("identity", "source", "entity", "o.*")
+    """Findings over scans with marks of remediation; the SQL goes step by step."""
+    return M.marked_lifecycle(ticks(spark, sf_dir))
 
 
 def ticks(spark, sf_dir):
