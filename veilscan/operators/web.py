@@ -65,8 +65,13 @@ def hosts_blocked(resolved: DataFrame) -> DataFrame:
     return screened(each).groupBy("host").agg(F.bool_or("blocked").alias("blocked"))
 
 
-def fetch_reason(url: Column, html: Column) -> Column:
-    """Why a page isn't read; null if it is."""
+#: Kinds of pages that are read.
+READ_TYPES = ["text/html", "application/xhtml+xml", "application/pdf"]
+
+
+def fetch_reason(url: Column, html: Column, content_type: Column | None = None) -> Column:
+    """Why a page isn't read; null if it is. A content type, where it is known, must be one that is read; parameters after it don't count."""
+    kind = F.lower(F.trim(F.substring_index(F.lit("text/html") if content_type is None else F.coalesce(content_type, F.lit("")), ";", 1)))
     scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     h = F.coalesce(host(url), F.lit(""))
     local = h.isin("localhost", "") | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal")
@@ -76,6 +81,7 @@ def fetch_reason(url: Column, html: Column) -> Column:
         .when(local, "ssrf_private_address")
         .when(walled(h), "denylisted_domain")
         .when(html.isNull(), "fetch_error")
+        .when(~kind.isin(*READ_TYPES), "unsupported_content_type")
         .when(F.octet_length(html) > PAGE_BYTES, "page_too_large")
     )
 

@@ -237,3 +237,86 @@ SQL["template_explanation"] = f"""WITH {GRID}, {_TH}, x AS (SELECT id, kind, con
 SELECT id, CASE WHEN contains(kind, 'CREDENTIAL') OR list_contains(codes, 'CREDENTIAL_STUFFING') THEN level || ' credential exposure at a.example' WHEN contains(kind, 'BROKER') THEN 'Data broker listing at a.example'
   WHEN contains(kind, 'GOVT_ID') OR list_contains(codes, 'IDENTITY_FRAUD_ENABLEMENT') THEN level || ' government identifier exposure at a.example' ELSE level || ' personal data exposure at a.example (confidence ' || CAST(round(conf * 100) AS INTEGER) || '%)' END
   || ': ' || {_SAID.format("array_to_string(codes, ' and ')")} || '.' || CASE WHEN level NOT IN ('CRITICAL', 'HIGH') AND conf < 0.6 THEN ' Confidence is low; verify ownership first.' ELSE '' END || ' Next: ' || {_SAID.format("replace(todo, ',', ', ')")} || '.' AS summary FROM x"""
+
+
+_V6 = ["::1", "fe80::7", "fd12::", "ff02::1", "64:ff9b::a", "::ffff:8.8.8.8", "2001:4860::", "2a00:1450::", "nonsense", "300.1.1.1"]
+
+
+@query(f"""WITH a AS (SELECT {_V6}[CAST(o_orderkey % 10 AS INTEGER) + 1] || CASE WHEN o_orderkey % 10 IN (2, 6, 7) THEN CAST(o_orderkey % 9 AS VARCHAR) ELSE '' END AS ip, o_orderkey % 10 NOT IN (6, 7) AS blocked FROM orders) SELECT DISTINCT ip, blocked FROM a""")
+def ipv6_block(spark, sf_dir):
+    """Loopback, link-local, private, multicast and mapped addresses, two public ranges, and what is no address."""
+    from ..operators import web
+
+    k = F.col("o_orderkey")
+    ip = F.concat(F.get(F.array(*[F.lit(x) for x in _V6]), (k % 10).cast("int")), F.when((k % 10).isin(2, 6, 7), (k % 9).cast("string")).otherwise(F.lit("")))
+    return web.screened(table(spark, sf_dir, "orders").select(ip.alias("ip")).distinct()).select("ip", "blocked")
+
+
+@query("""WITH h AS (SELECT page_id % 50 AS h, CASE page_id % 3 WHEN 0 THEN '10.0.0.' || (page_id % 250) ELSE '8.8.8.' || (page_id % 250) END AS ip FROM pages WHERE page_id % 50 <> 49) SELECT 'h' || h AS host, bool_or(starts_with(ip, '10.')) AS blocked FROM h GROUP BY h UNION ALL SELECT 'nothing', TRUE""")
+def hosts_blocked(spark, sf_dir):
+    """Hosts with the addresses that they resolve to; one has none."""
+    from ..operators import web
+
+    p = F.col("page_id")
+    ip = F.when(p % 3 == 0, F.concat(F.lit("10.0.0."), (p % 250).cast("string"))).otherwise(F.concat(F.lit("8.8.8."), (p % 250).cast("string")))
+    h = table(spark, sf_dir, "pages").filter("page_id % 50 <> 49").groupBy(F.concat(F.lit("h"), (p % 50).cast("string")).alias("host")).agg(F.collect_set(ip).alias("addresses"))
+    none = table(spark, sf_dir, "region").limit(1).select(F.lit("nothing").alias("host"), F.array().cast("array<string>").alias("addresses"))
+    return web.hosts_blocked(h.unionByName(none))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 5 IN (2, 3) THEN 'unsupported_content_type' WHEN octet_length(encode(html)) > 524288 THEN 'page_too_large' END AS reason FROM pages""")
+def content_admission(spark, sf_dir):
+    from ..operators import web
+
+    kind = F.get(F.array(*[F.lit(x) for x in ("text/html; charset=utf-8", "application/pdf", "image/png", "", "Text/HTML")]), (F.col("page_id") % 5).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", web.fetch_reason(F.col("url"), F.col("html"), kind).alias("reason"))
+
+
+@query("""SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'u' || c_custkey || '@x.in' WHEN 1 THEN '+91' || (c_custkey + 9000000000) WHEN 2 THEN 'user' || c_custkey ELSE 'two words ' || c_custkey END AS identifier,
+CASE c_custkey % 4 WHEN 0 THEN 'u' || c_custkey || '@x.in' WHEN 1 THEN '+91' || (c_custkey + 9000000000) WHEN 2 THEN '@User' || c_custkey ELSE 'Two  Words ' || c_custkey END AS entity FROM customer""")
+def identifier_forms(spark, sf_dir):
+    """Identifiers and entities as people write them, in their normal forms."""
+    k, key = F.col("c_custkey") % 4, F.col("c_custkey").cast("string")
+    kind = F.when(k == 0, "EMAIL").when(k == 1, "PHONE").when(k == 2, "USERNAME").otherwise("NAME")
+    number = (F.col("c_custkey") + 9000000000).cast("string")
+    said = F.when(k == 0, F.concat(F.lit(" U"), key, F.lit("@X.in "))).when(k == 1, F.concat(F.lit("+91 "), F.left(number, F.lit(5)), F.lit("-"), F.right(number, F.lit(5)))).when(k == 2, F.concat(F.lit(" @User"), key)).otherwise(F.concat(F.lit(" Two  Words "), key, F.lit(" ")))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), kind.alias("kind"), said.alias("said"))
+    return c.select("id", N.identifier(F.col("kind"), F.col("said")).alias("identifier"), N.entity(F.col("kind"), F.col("said"), D.e164(F.col("said"))).alias("entity"))
+
+
+@query("""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain FROM pages""")
+def clean_domains(spark, sf_dir):
+    """Domains out of loose text: here the pages' addresses, each in another form."""
+    rest = F.regexp_replace("url", "^[A-Za-z]+://", "")
+    text = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(" "), F.upper(F.regexp_extract(rest, "^[^/?#]+", 0)), F.lit(":8080/x "))).otherwise(F.regexp_extract("url", "^[A-Za-z]+://[^/?#]+", 0))
+    return table(spark, sf_dir, "pages").select("page_id", N.clean_domain(text).alias("domain"))
+
+
+@query("""SELECT doc_id, len(string_split(left(text, 400), '')) AS points, CAST(length(left(text, 400)) + 2 * (doc_id % 3) AS INTEGER) AS units FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE text IS NOT NULL AND text <> '')""")
+def utf16_offsets(spark, sf_dir):
+    """Offsets behind the beginning of each text, with none to two pairs of characters beyond the basic plane put before it."""
+    from ..functions import text as T
+
+    d = table(spark, sf_dir, "documents").filter("text is not null and text <> ''")
+    begin, extra = F.left("text", F.lit(400)), (F.col("doc_id") % 3).cast("int")
+    made = F.concat(F.repeat(F.lit("\U0001F600\U0001F601"), extra), begin)
+    offset = F.length(made)
+    return d.select("doc_id", F.length(begin).cast("long").alias("points"), (T.utf16_offset(made, offset) - 2 * extra).cast("int").alias("units"))
+
+
+@query("SELECT 'orders' AS input, count(*) AS n, count(*) >= 10 AS ok FROM orders UNION ALL SELECT 'region', count(*), count(*) >= 6 FROM region")
+def input_integrity(spark, sf_dir):
+    return records.integrity({"orders": (table(spark, sf_dir, "orders"), 10), "region": (table(spark, sf_dir, "region"), 6)})
+
+
+@query("SELECT event_type AS source, user_id % 4 AS scan_id, count(*) AS n FROM events GROUP BY ALL")
+def stream_persisted(spark, sf_dir):
+    """Sightings written as they come, a micro-batch at a time under its number, so a batch that is run again is written once."""
+    from ..sources.scratch import new_path
+    from ..streaming import lifecycle as S
+    from .monitoring import _staged
+
+    out = new_path(spark, "stream")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("scan_id"), F.col("event_type").alias("source"), "event_id")
+    S.apply_scans(_staged(rows, spark), lambda batch, number: records.publish(batch, out, number), new_path(spark, "log")).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).groupBy("source", "scan_id").agg(F.count("*").alias("n"))
