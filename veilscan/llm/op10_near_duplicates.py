@@ -233,6 +233,7 @@ def _classed(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
     both = pairs.join(whole.withColumnsRenamed({"key": "a", "set": "x"}), "a").join(whole.withColumnsRenamed({"key": "b", "set": "y"}), "b")
     common = F.size(F.array_intersect("x", "y"))
     links = written(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - F.lit(1e-6)).select("a", "b"))
+    removed(pairs)
     labels = components(links)
 
     # buckets that the components leave apart: everyone outside a bucket's main component meets all the others, in blocks
@@ -240,18 +241,20 @@ def _classed(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
     parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     apart = placed.join(main, "bucket").withColumn("inner", F.col("label") == F.col("main")).select("bucket", "inner", "key", "label")
-    more = written(_compared(apart, whole, similarity))
+    apart = written(apart.join(whole.select("key", "set"), "key"))
+    more = written(_compared(apart, similarity))
+    removed(members, whole, apart)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
+    removed(links, more)
 
     grouped = sets.join(labels, "key", "left").select("key", "first_id", "n", F.coalesce("label", "key").alias("label"))
     classes = grouped.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_rows"))
     return signed.drop("bands"), grouped.select("key", "label").join(classes, "label")
 
 
-def _compared(apart: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
-    """Links between members (bucket, inner, key, label) of a bucket of which one isn't of the main component; blocks are keyed by pair."""
-    apart = written(apart.join(whole.select("key", "set"), "key"))
+def _compared(apart: DataFrame, similarity: float) -> DataFrame:
+    """Links between members (bucket, inner, key, label, set) of a bucket of which one isn't of the main component; blocks are keyed by pair."""
     sizes = apart.groupBy("bucket", "inner").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("set")) / ELEMENTS)).alias("blocks"))
     sizes = sizes.groupBy("bucket").agg(*[F.coalesce(F.max(F.when(F.col("inner") == x, F.col("blocks"))), F.lit(0)).alias(n) for n, x in (("inside", True), ("outside", False))])
     rows = apart.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.when(F.col("inner"), F.col("inside")).otherwise(F.col("outside"))))
