@@ -193,6 +193,13 @@ def test_compare_names(spark, a, b, want):
     assert tuple(got) == want
 
 
+def test_unmatched_tokens_are_by_place(spark):
+    rows = [("Rahul Rahul Sen", "Rahul Kumar"), ("R. Kumar", "Rahul Kumar"), ("", "Asha"), ("Asha Sen", "Asha Sen")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    got = df.select("i", names.unmatched(names.tokens(F.col("a")), names.tokens(F.col("b"))).alias("m")).orderBy("i").collect()
+    assert [(r["m"]["a"], r["m"]["b"]) for r in got] == [(["rahul", "sen"], ["kumar"]), ([], []), ([], ["asha"]), ([], [])]
+
+
 def test_blocked_names_are_all_matches(spark):
     rng = random.Random(3)
     pool = ["Rahul", "R.", "Kumar", "K", "Asha", "A", "Sen", "Dr.", "S"]

@@ -46,10 +46,16 @@ def _pairs(a: Column, b: Column) -> Column:
 
 
 def compare(a: Column, b: Column) -> Column:
-    """Of two token arrays: similarity (weight of pairs over the longer length), is_match, match_type, and the tokens of each that have no partner."""
+    """Of two token arrays: similarity (weight of pairs over the longer length), is_match, match_type."""
     return let(_pairs(a, b), lambda p: _judged(a, b, p))
 
 
+def unmatched(a: Column, b: Column) -> Column:
+    """Of two token arrays the tokens of each that have no partner, by place: of a repeated token one may have a partner."""
+    free = lambda xs, used: F.filter(xs, lambda x, i: ~F.array_contains(used, i))
+    return let(_pairs(a, b), lambda p: F.struct(free(a, p["a"]).alias("a"), free(b, p["b"]).alias("b")))
+
+
 def _judged(a: Column, b: Column, p: Column) -> Column:
     longer, shorter = F.greatest(F.size(a), F.size(b)), F.least(F.size(a), F.size(b))
     matched = p["exact"] + p["initial"]
@@ -58,8 +64,7 @@ def _judged(a: Column, b: Column, p: Column) -> Column:
     match = (shorter > 0) & (((matched >= shorter) & ~lone) | (score >= 70))
     kind = F.when(~match, "NO_MATCH").when((matched == longer) & (p["initial"] == 0), "EXACT").when(p["initial"] > 0, "INITIALS_EXPANSION").otherwise("PARTIAL")
     similarity = F.when(longer > 0, F.floor(score + 0.5) / 100).otherwise(F.lit(0.0))
-    free = lambda xs, used: F.filter(xs, lambda x, i: ~F.array_contains(used, i))  # noqa: E731  by place: a repeated token may have one partner
-    return F.struct(F.coalesce(similarity, F.lit(0.0)).alias("similarity"), match.alias("is_match"), kind.alias("match_type"), free(a, p["a"]).alias("unmatched_a"), free(b, p["b"]).alias("unmatched_b"))
+    return F.struct(F.coalesce(similarity, F.lit(0.0)).alias("similarity"), match.alias("is_match"), kind.alias("match_type"))
 
 
 def is_common(t: Column) -> Column:

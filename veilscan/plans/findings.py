@@ -95,8 +95,8 @@ def ner_dedupe_cases(spark, sf_dir):
 SELECT c_custkey AS id, concat_ws(' ', CASE WHEN NOT mf THEN cf END, CASE WHEN NOT ml THEN cl END) AS unmatched_a, concat_ws(' ', CASE WHEN NOT mf THEN sf END, CASE WHEN NOT ml THEN sl END) AS unmatched_b FROM p""")
 def name_unmatched(spark, sf_dir):
     both = customers(spark, sf_dir).select(F.col("c_custkey").alias("id"), names.tokens(F.col("name")).alias("a")).join(suppliers(spark, sf_dir).select(F.col("s_suppkey").alias("id"), names.tokens(F.col("name")).alias("b")), "id")
-    m = names.compare(F.col("a"), F.col("b"))
-    return both.select("id", m.alias("m")).select("id", F.array_join("m.unmatched_a", " ").alias("unmatched_a"), F.array_join("m.unmatched_b", " ").alias("unmatched_b"))
+    m = names.unmatched(F.col("a"), F.col("b"))
+    return both.select("id", m.alias("m")).select("id", F.array_join("m.a", " ").alias("unmatched_a"), F.array_join("m.b", " ").alias("unmatched_b"))
 
 
 @query("""WITH o AS (SELECT 'u' || o_custkey AS email, 'B' || (o_orderkey % 20) AS name, CASE o_orderkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'High' WHEN 2 THEN 'medium' ELSE 'critical' END AS severity, o_orderkey % 3 = 0 AS pw FROM orders),
