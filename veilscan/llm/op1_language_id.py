@@ -74,11 +74,11 @@ def _added(out: np.ndarray, s: np.ndarray, doc: np.ndarray, vectors: Letters) ->
     keep[1:] = (s[1:] > 0) | (s[:-1] > 0)  # what isn't a letter counts once in a row
     s, doc = s[keep], doc[keep]
     there = np.flatnonzero(np.bincount(s))
-    local = np.zeros(int(there[-1]) + 1, np.int64)
-    local[there] = np.arange(len(there))
-    x, u = local[s], len(there)
-    middle = np.flatnonzero(s[1:-1] > 0) + 1
-    codes, doc = (x[middle - 1] * u + x[middle]) * u + x[middle + 1], doc[middle]
+    u = len(there)
+    local = np.zeros(int(there[-1]) + 1, np.int32 if u < 1290 else np.int64)  # a trigram's code is below u ** 3
+    local[there] = np.arange(u)
+    x, middle = local[s], s[1:-1] > 0
+    codes, doc = ((x[:-2] * u + x[1:-1]) * u + x[2:])[middle], doc[1:-1][middle]
     n = len(out)
     step = max(1, min(n, COUNTS // HELD))
     at = np.searchsorted(doc, np.arange(0, n + step, step))
@@ -88,7 +88,7 @@ def _added(out: np.ndarray, s: np.ndarray, doc: np.ndarray, vectors: Letters) ->
             continue
         if u**3 <= 1 << 20:
             used = np.flatnonzero(np.bincount(c, minlength=u**3))
-            place = np.zeros(u**3, np.int64)
+            place = np.zeros(u**3, np.int32)
             place[used] = np.arange(len(used))
             c = place[c]
         else:
@@ -114,7 +114,7 @@ def _added(out: np.ndarray, s: np.ndarray, doc: np.ndarray, vectors: Letters) ->
 def bundles(texts: pa.Array, dimensions: int = DIMENSIONS, seed: int = SEED):
     """For a bounded run of texts at a time: their vectors (float32), and whether they have a letter. A long text is read in pieces."""
     vectors = letters(dimensions, seed)
-    for part in slices(texts):
+    for part in slices(texts, CHUNK):
         rows = part.to_pylist()
         joined = "\0".join(["", *rows, ""])  # every text stands between two marks, which aren't letters
         sizes = np.array([len(x) + 1 for x in rows])
@@ -127,7 +127,7 @@ def bundles(texts: pa.Array, dimensions: int = DIMENSIONS, seed: int = SEED):
             q = max(lo - 2, 0)  # a text and the mark after it are its places, from 0
             first = int(np.searchsorted(ends, q, "right"))
             shares = np.minimum(ends[first:], hi) - np.clip(ends[first:] - sizes[first:], q, hi)
-            doc = np.repeat(np.arange(first, len(rows)), np.maximum(shares, 0))
+            doc = np.repeat(np.arange(first, len(rows), dtype=np.int32), np.maximum(shares, 0))
             doc = np.concatenate([doc[:1], doc]) if lo == 1 else doc
             some[doc[1:-1][s[1:-1] > 0]] = True
             _added(out, s, doc, vectors)
