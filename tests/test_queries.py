@@ -3,13 +3,18 @@
 import glob
 import json
 import os
+import random
+import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from veilscan.functions import detect, normalize
 from veilscan.operators import evaluate
 from veilscan.plans import catalog
 from veilscan.sources import records
+from veilscan.sources.dims import NUMBER_PLANS
 
 DATA = "/root/testdata/sf0.001"
 
@@ -208,50 +213,116 @@ def test_extraction_without_a_recognizer_is_partial(spark):
     assert got == {1: (False, False, True, [["regex"]]), 2: (True, False, False, []), 3: (True, False, False, []), 4: (False, True, True, [])}
 
 
-def test_numbers_of_all_plans_are_those_of_a_plain_loop(spark, tmp_path):
-    """Spans, then their longest runs of tokens, as a loop over a small table."""
-    import random
-    import re
-
-    from veilscan.functions import detect
-    from veilscan.sources.dims import NUMBER_PLANS
-
-    def e164(raw):
-        digits, plus = re.sub(r"\D", "", raw), raw.lstrip().startswith("+")
-        for code in sorted(NUMBER_PLANS, key=len, reverse=True):
-            rest = re.sub("^0", "", digits[len(code) :])
-            if plus and digits.startswith(code) and re.fullmatch(NUMBER_PLANS[code], rest):
-                return f"+{code}{rest}"
-        national = re.sub("^0", "", digits)
-        if not plus and re.fullmatch(NUMBER_PLANS["91"], national):
-            return "+91" + national
-        if not plus and digits.startswith("91") and re.fullmatch(NUMBER_PLANS["91"], digits[2:]):
-            return "+91" + digits[2:]
-        return None
-
+def e164(raw):
+    digits, plus = re.sub(r"\D", "", raw), raw.lstrip().startswith("+")
+    for code in sorted(NUMBER_PLANS, key=len, reverse=True):
+        rest = re.sub("^0", "", digits[len(code) :])
+        if plus and digits.startswith(code) and re.fullmatch(NUMBER_PLANS[code], rest):
+            return f"+{code}{rest}"
+    national = re.sub("^0", "", digits)
+    if not plus and re.fullmatch(NUMBER_PLANS["91"], national):
+        return "+91" + national
+    if not plus and digits.startswith("91") and re.fullmatch(NUMBER_PLANS["91"], digits[2:]):
+        return "+91" + digits[2:]
+    return None
+
+
+def numbers_in(text):
+    """(start, end) of numbers: spans, or else their longest runs of tokens, as a loop over both."""
+    out = []
+    for m in re.finditer(detect.PHONE, text):
+        if e164(m.group()):
+            out.append(m.span())
+            continue
+        tokens = [t.span() for t in re.finditer(r"\S+", m.group())][:12]
+        kept = []
+        for n in range(len(tokens), 0, -1):
+            for k in range(len(tokens) - n + 1):
+                a, b = tokens[k][0], tokens[k + n - 1][1]
+                if e164(m.group()[a:b]) and not any(max(a, c) < min(b, d) for c, d in kept):
+                    kept.append((a, b))
+        out += [(m.start() + a, m.start() + b) for a, b in kept]
+    return out
+
+
+def addresses_in(text):
+    """(start, end) of addresses: runs of their characters around an @, whose labels are looked at one by one."""
+    out = []
+    for at in (m.start() for m in re.finditer("@", text)):
+        local = re.search(r"[A-Za-z0-9._%+-]*$", text[:at]).group()
+        domain = re.match(r"[A-Za-z0-9._%+-]*", text[at + 1 :]).group()
+        labels = domain.split(".")
+        fine = all(x and re.fullmatch("[A-Za-z0-9-]+", x) and x[0] != "-" and x[-1] != "-" for x in labels)
+        if all(local.split(".")) and len(local) <= 64 and len(labels) > 1 and fine and labels[-1].isalpha() and len(labels[-1]) > 1 and len(local + domain) < 254:
+            out.append((at - len(local), at + 1 + len(domain)))
+    return out
+
+
+def checks(digits):
+    """The checksum as its definition has it: symmetries of a pentagon, as permutations of its corners."""
+    turn = lambda k: tuple((i + k) % 5 for i in range(5))
+    flip = lambda k: tuple((k - i) % 5 for i in range(5))
+    group = [turn(k) for k in range(5)] + [flip(k) for k in range(5)]
+    step = [1, 5, 7, 6, 2, 8, 3, 0, 9, 4]
+    c = group[0]
+    for i, d in enumerate(reversed(digits)):
+        x = int(d)
+        for _ in range(i % 8):
+            x = step[x]
+        c = tuple(c[k] for k in group[x])
+    return c == group[0]
+
+
+def spans_in(text):
+    """(type, start, end, confidence) of all detectors, the surest first, then the longest, without overlaps."""
+    found = [("EMAIL", a, b, 0.95) for a, b in addresses_in(text)]
+    found += [("PHONE", a, b, 0.80 if re.fullmatch(r"91\d{10}", text[a:b].strip()) else 0.95) for a, b in numbers_in(text)]
+    for m in re.finditer(r"(?<!\d)[2-9]\d{3}[ -]?\d{4}[ -]?\d{4}(?!\d)", text):
+        digits = re.sub(r"\D", "", m.group())
+        if len(set(digits)) > 1:
+            found.append(("AADHAAR", *m.span(), 0.98 if checks(digits) else 0.40))
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Za-z]{5}\d{4}[A-Za-z](?![A-Za-z0-9])", text):
+        found.append(("PAN", *m.span(), 0.95 if m.group()[3].upper() in "PCHFATBLJG" else 0.60))
+    kept = []
+    for s in sorted(found, key=lambda s: (-s[3], s[1] - s[2], s[1], s[0])):
+        if not any(max(s[1], k[1]) < min(s[2], k[2]) for k in kept):
+            kept.append(s)
+    return sorted(kept, key=lambda s: s[1])
+
+
+PIECES = ["+91 98765 43210", "098765-43210", "919876543210", "+1 (415) 555-2671", "+44 7911 123456", "+49 151 23456789", "+33 6 12 34 56 78", "+34 612345678", "12345", "9876543210", "8765432109", "1234 5678 9012 3456", "10.0.0.1", "2345 6789 0124", "2345-6789-0123", "999999999999", "abcpe1234f", "ABCZE1234F", "xABCPE1234F", "a.b@mail.example.com", "u@x", "m@n-.in", "é@a.co", "q@r.in.", "two@at@b.org", "word"]
+
+
+def texts_of_pieces(spark, tmp_path, n=200):
     rng = random.Random(17)
-    some = ["+91 98765 43210", "098765-43210", "919876543210", "+1 (415) 555-2671", "+44 7911 123456", "+49 151 23456789", "+33 6 12 34 56 78", "+34 612345678", "12345", "9876543210", "8765432109", "1234 5678 9012 3456", "10.0.0.1"]
-    texts = [(i, "s", "en", rng.choice([" ", ", ", " and ", "; "]).join(rng.choice(some) for _ in range(rng.randint(1, 4)))) for i in range(150)]
+    texts = [(i, "s", "en", rng.choice([" ", ", ", " and ", "; ", "😀"]).join(rng.choice(PIECES) for _ in range(rng.randint(1, 6)))) for i in range(n)] + [(n, "s", "en", ""), (n + 1, "s", "en", None)]
     spark.createDataFrame(texts, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    want = []
-    for i, _, _, text in texts:
-        for m in re.finditer(detect.PHONE, text):
-            if e164(m.group()):
-                want.append((i, m.group(), m.start(), e164(m.group())))
-                continue
-            tokens = [(t.start(), t.end()) for t in re.finditer(r"\S+", m.group())][:12]
-            kept = []
-            for n in range(len(tokens), 0, -1):
-                for k in range(len(tokens) - n + 1):
-                    a, b = tokens[k][0], tokens[k + n - 1][1]
-                    if e164(m.group()[a:b]) and not any(max(a, c) < min(b, d) for c, d in kept):
-                        kept.append((a, b))
-            want += [(i, m.group()[a:b], m.start() + a, e164(m.group()[a:b])) for a, b in kept]
+    return [(i, x or "") for i, _, _, x in texts]
+
+
+def test_numbers_of_all_plans_are_those_of_a_plain_loop(spark, tmp_path):
+    texts = texts_of_pieces(spark, tmp_path)
     got = catalog.queries()["pii_phones_all"](spark, str(tmp_path)).collect()
-    assert sorted((r["doc_id"], r["raw"], r["start"], r["e164"]) for r in got) == sorted(want)
+    want = sorted((i, x[a:b], a, e164(x[a:b])) for i, x in texts for a, b in numbers_in(x))
+    assert sorted((r["doc_id"], r["raw"], r["start"], r["e164"]) for r in got) == want
     assert len({w[3][:3] for w in want}) >= 6
 
 
+def test_all_detectors_and_redaction_are_those_of_a_plain_loop(spark, tmp_path):
+    texts = texts_of_pieces(spark, tmp_path)
+    got = catalog.queries()["detect_all_resolved"](spark, str(tmp_path)).collect()
+    want = sorted((i, t, x[a:b], a, b, c) for i, x in texts for t, a, b, c in spans_in(x))
+    assert sorted((r["doc_id"], r["type"], r["raw"], r["start"], r["end"], r["confidence"]) for r in got) == want
+    assert {w[1] for w in want} == {"EMAIL", "PHONE", "AADHAAR", "PAN"} and {w[5] for w in want} == {0.4, 0.6, 0.8, 0.95, 0.98}
+    redacted = {r["doc_id"]: (r["n"], r["redacted"]) for r in catalog.queries()["redact_documents"](spark, str(tmp_path)).collect()}
+    masks = {(r["kind"], r["raw"]): r["m"] for r in spark.createDataFrame({(w[1], w[2]) for w in want}, "kind string, raw string").withColumn("m", normalize.mask(F.col("kind"), F.col("raw"))).collect()}
+    for i, x in texts[:-1]:
+        out, at = "", 0
+        for t, a, b, _ in spans_in(x):
+            out, at = out + x[at:a] + masks[t, x[a:b]], b
+        assert redacted[i] == (len(spans_in(x)), out + x[at:])
+
+
 def test_golden_rules(spark):
     person = [("p", "Rahul Kumar", "r@x.in", "+91 98765 43210", "rk", "Org", "Pune, India", "Pune", "MH")]
     entries = [

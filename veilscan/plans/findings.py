@@ -284,7 +284,7 @@ def identifier_forms(spark, sf_dir):
     return c.select("id", N.identifier(F.col("kind"), F.col("said")).alias("identifier"), N.entity(F.col("kind"), F.col("said"), D.e164(F.col("said"))).alias("entity"))
 
 
-@query("""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain FROM pages""")
+@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\.', '') AS domain FROM pages""")
 def clean_domains(spark, sf_dir):
     """Domains out of loose text: here the pages' addresses, each in another form."""
     rest = F.regexp_replace("url", "^[A-Za-z]+://", "")
