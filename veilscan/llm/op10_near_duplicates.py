@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import fresh, mix, removed, shingles, slices, table, words, written
+from .common import fresh, mix, removed, shingles, slices, small_batches, table, words, written
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
@@ -218,7 +218,9 @@ def _classed(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
 
     ``t`` and ``h`` are hashes of the text and of the whole row."""
     signed = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("t"), row_hash(docs).alias("h"), signature(width, bands, rows, counted)(docs[text]).alias("s"))
-    signed = written(signed.select("doc_id", "t", "h", "s.key", "s.bands"))
+    spark = docs.sparkSession
+    with small_batches(spark):
+        signed = written(signed.select("doc_id", "t", "h", "s.key", "s.bands"))
     # a key's rows have the same bands; its text is that of its first row: the smallest doc_id, null last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
     reps = written(signed.filter("key is not null").groupBy("key").agg(first, F.count("*").alias("n"), F.first("bands").alias("bands")))
@@ -242,7 +244,8 @@ def _classed(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     apart = placed.join(main, "bucket").withColumn("inner", F.col("label") == F.col("main")).select("bucket", "inner", "key", "label")
     apart = written(apart.join(whole.select("key", "set"), "key"))
-    more = written(_compared(apart, similarity))
+    with small_batches(spark):
+        more = written(_compared(apart, similarity))
     removed(members, whole, apart)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
@@ -273,7 +276,8 @@ def _sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text:
     texts = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("t"))
     found = texts.join(named, (texts["t"] == named["t"]) & texts["id"].eqNullSafe(named["first_id"]))
     # equal hashes may be of other texts, of other keys; a repeated row is the same set
-    return written(found.select("key", shingle_set(width, counted)(texts["text"], F.col("key")).alias("set")).filter("set is not null").dropDuplicates(["key"]))
+    with small_batches(docs.sparkSession):
+        return written(found.select("key", shingle_set(width, counted)(texts["text"], F.col("key")).alias("set")).filter("set is not null").dropDuplicates(["key"]))
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
