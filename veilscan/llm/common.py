@@ -35,8 +35,6 @@ LOW_BYTE = BYTE[_LOW]
 _POWERS: dict[str, np.ndarray] = {}
 _HELD: dict[str, tuple] = {}
 _LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
-if _LIBC is not None:
-    _LIBC.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD stays as it is set: large arrays go back to the system when they are freed
 
 
 def held(owner: str) -> dict:
