@@ -13,6 +13,8 @@ from .op8_warc import op8_warc
 from .op9_chat_format import SQL as OP9
 from .op9_chat_format import op9_chat_format
 from .op10_near_duplicates import op10_near_duplicates
+from .op13_prefix_trie import SQL as OP13
+from .op13_prefix_trie import op13_prefix_trie
 
 
 def queries() -> dict:
@@ -27,8 +29,9 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_chat_format": op9_chat_format,
         "op10_near_duplicates": op10_near_duplicates,
+        "op13_prefix_trie": op13_prefix_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3, "op8_warc": OP8, "op9_chat_format": OP9}
+    return {"op3_decontamination": OP3, "op8_warc": OP8, "op9_chat_format": OP9, "op13_prefix_trie": OP13}
