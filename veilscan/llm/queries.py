@@ -13,6 +13,8 @@ from .op8_warc import op8_warc
 from .op9_chat_format import SQL as OP9
 from .op9_chat_format import op9_chat_format
 from .op10_near_duplicates import op10_near_duplicates
+from .op11_bpe import op11_bpe
+from .op12_whitening import op12_whitening
 from .op13_prefix_trie import SQL as OP13
 from .op13_prefix_trie import op13_prefix_trie
 
@@ -29,6 +31,8 @@ def queries() -> dict:
         "op8_warc": op8_warc,
         "op9_chat_format": op9_chat_format,
         "op10_near_duplicates": op10_near_duplicates,
+        "op11_bpe": op11_bpe,
+        "op12_whitening": op12_whitening,
         "op13_prefix_trie": op13_prefix_trie,
     }
 
