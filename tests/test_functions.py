@@ -227,7 +227,7 @@ def test_confidence_extremes(spark):
 def test_addresses(spark):
     ips = ["10.1.2.3", "100.63.0.1", "100.64.0.1", "169.254.169.254", "172.15.0.1", "172.31.0.1", "192.168.0.1", "8.8.8.8", "256.1.1.1", "x", "::1", "fe80::1", "fd00::1", "64:ff9b::1", "::ffff:8.8.8.8", "2001:4860::8888", None]
     got = {r["ip"]: r["blocked"] for r in web.screened(spark.createDataFrame([(i,) for i in ips], "ip string")).collect()}
-    assert [got[i] for i in ips] == [True, False, True, True, False, True, True, False, True, True, True, True, True, True, True, False, True]
+    assert [got[i] for i in ips] == [True, False, True, True, False, True, True, False, True, True, True, True, True, True, False, False, True]
     hosts = spark.createDataFrame([("a", ["8.8.8.8", "10.0.0.1"]), ("b", ["8.8.8.8"]), ("c", [])], "host string, addresses array<string>")
     assert {r["host"]: r["blocked"] for r in web.hosts_blocked(hosts).collect()} == {"a": True, "b": False, "c": True}
 

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.dims import COMMON_NAMES, HONORIFICS
+from ..sources.scratch import written
 from .arrays import let
 
 #: Letters with marks and the letters without, in equal places.
@@ -74,30 +75,56 @@ def is_common(t: Column) -> Column:
     return (F.size(long) > 0) & F.when(F.size(long) >= 2, common >= 2).otherwise(common == F.size(long))
 
 
-#: Parts of a key that many names have.
-SALTS = 16
+#: Names that share a key beyond which it is dealt over parts.
+HOT = 10_000
+
+
+def _keys(token: Column, full: Column | bool) -> Column:
+    """What a token is found by: itself, and a letter. Of a side that is looked up in (``full``) an initial stands under
+    ``i``, a longer token's first letter under ``f``; the side that looks asks an initial at ``f``, a longer token at ``i``."""
+    initial = F.length(token) == 1
+    mark = F.when(initial == F.lit(full), "i:").otherwise("f:")
+    return F.array(F.concat(F.lit("w:"), token), F.concat(mark, F.left(token, F.lit(1))))
+
+
+def _looked_up(asking: DataFrame, other: DataFrame, tokens_: str, other_tokens: str, asked: Column, more: Column) -> DataFrame:
+    """(tokens_, other_tokens) pairs that may match, found by the ``asked`` rarest tokens of each list of one side.
+
+    How rare a token is says the number of lists of the other side that its keys lead to."""
+    full = other.select(other_tokens, F.explode(F.array_distinct(F.flatten(F.transform(other_tokens, lambda t: _keys(t, True))))).alias("key"))
+    n_lists = full.groupBy("key").agg(F.count("*").alias("lists"))
+    each = asking.select(tokens_, F.explode(F.array_distinct(F.col(tokens_))).alias("token")).withColumn("key", F.explode(_keys(F.col("token"), False)))
+    cost = each.join(n_lists, "key").groupBy(tokens_, "token").agg(F.sum("lists").alias("cost"))
+    # a token that leads nowhere is the rarest: it can't be among the matched ones, so it takes a place
+    tried = each.select(tokens_, "token").distinct().join(cost, [tokens_, "token"], "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("cost", F.lit(0)).alias("cost"), "token")))
+    rare = tried.groupBy(tokens_).agg(order.alias("order")).select(tokens_, F.explode(F.slice("order", F.lit(1), asked)).alias("o")).filter("o.cost > 0")
+    asks = rare.select(tokens_, F.explode(_keys(F.col("o.token"), False)).alias("key"))
+    # keys of very many lists are dealt over parts on the side with many rows, and asked in every part
+    hot = F.broadcast(n_lists.filter(F.col("lists") > HOT).select("key", F.ceil(F.col("lists") / HOT).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    asks = asks.join(hot, "key", "left").select(tokens_, "key", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    full = full.join(hot, "key", "left").select(other_tokens, "key", F.pmod(F.xxhash64(other_tokens), parts).alias("part"))
+    return asks.join(full, ["key", "part"]).filter(more).select(tokens_, other_tokens)
 
 
 def matches(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:
-    """Pairs whose names match. Any match shares a whole token, or a token of one that begins with the other's initial.
-
-    Distinct token lists are compared, not rows; they are found by equal keys: each token is a key, and an initial meets the
-    first letters of longer tokens. Keys are dealt over SALTS parts, as few letters begin most names. Ids join back last."""
-
-    def keyed(df: DataFrame, id_: str, name: str, side: str) -> tuple[DataFrame, DataFrame]:
-        rows = df.select(df[id_].alias(f"{side}_id"), tokens(df[name]).alias(f"{side}_tokens"))
-        t = rows.select(f"{side}_tokens").distinct()
-        whole = F.transform(f"{side}_tokens", lambda x: F.concat(F.lit("w"), x))
-        # initials of one side meet first letters of the other: a marks which side has the initial
-        initial = F.transform(F.filter(f"{side}_tokens", lambda x: F.length(x) == 1), lambda x: F.concat(F.lit(f"{side}:"), x))
-        letters = F.transform(F.filter(f"{side}_tokens", lambda x: F.length(x) > 1), lambda x: F.concat(F.lit("right:" if side == "left" else "left:"), F.left(x, F.lit(1))))
-        t = t.withColumn("key", F.explode(F.array_distinct(F.concat(whole, initial, letters))))
-        salt = F.pmod(F.xxhash64(f"{side}_tokens"), F.lit(SALTS)) if side == "left" else F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
-        return rows, t.withColumn("salt", salt)
-
-    left_rows, left_keys = keyed(left, left_id, left_name, "left")
-    right_rows, right_keys = keyed(right, right_id, right_name, "right")
-    both = left_keys.join(right_keys, ["key", "salt"]).select("left_tokens", "right_tokens").distinct()
-    m = both.withColumn("m", compare(F.col("left_tokens"), F.col("right_tokens"))).filter("m.is_match")
+    """Pairs whose names match, found by their rarest tokens.
+
+    A match pairs all tokens of the shorter name, or at least 0.7 of the longer one's. So of n tokens of a name as long
+    as the other, or longer in the second case, at most n - ceil(0.7 n) have no partner: one of one more than that, the
+    rarest ones, leads to the other name, as itself or by an initial. If the other name is the shorter, its rarest token does.
+    A token that a third of all names have is asked for only where a name has no rarer one. Distinct token lists are
+    compared, not rows; ids join back last. Names without tokens match nothing."""
+    rows = {}
+    for side, df, id_, name in (("left", left, left_id, left_name), ("right", right, right_id, right_name)):
+        rows[side] = written(df.select(df[id_].alias(f"{side}_id"), tokens(df[name]).alias(f"{side}_tokens")).filter(F.size(f"{side}_tokens") > 0))
+    lists = {side: rows[side].select(f"{side}_tokens").distinct() for side in rows}
+    n = F.size("left_tokens")
+    spare = (n - F.floor((n * 7 + 9) / 10) + 1).cast("int")
+    longer = F.size("left_tokens") > F.size("right_tokens")
+    found = _looked_up(lists["left"], lists["right"], "left_tokens", "right_tokens", spare, F.lit(True))
+    found = found.unionByName(_looked_up(lists["right"], lists["left"], "right_tokens", "left_tokens", F.lit(1), longer)).distinct()
+    m = found.withColumn("m", compare(F.col("left_tokens"), F.col("right_tokens"))).filter("m.is_match")
     m = m.select("left_tokens", "right_tokens", "m.similarity", "m.match_type")
-    return left_rows.join(m, "left_tokens").join(right_rows, "right_tokens").select("left_id", "right_id", "similarity", "match_type")
+    return rows["left"].join(m, "left_tokens").join(rows["right"], "right_tokens").select("left_id", "right_id", "similarity", "match_type")

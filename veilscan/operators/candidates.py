@@ -4,43 +4,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..sources.dims import RULE_VERSION
 
 NONE = "array<string>"
+#: Fixed value: the threat of a listing at a data broker.
+LISTED = "PRIVACY_COMMERCIALIZATION"
 
 
 def evidence(result: dict[str, Column]) -> Column:
-    """What a finding rests on, of a discovery result: url, title, snippet, domain, tier, source, confidence. A document is surer than a snippet."""
+    """What a finding rests on, of a discovery result: where it was found (source, source_id, url, title, snippet, domain), when
+    (found_at), the hash of the page's content where it was read, its tier and confidence. A document is surer than a snippet."""
     tier = result.get("tier", F.lit("snippet"))
     text = lambda n: result.get(n, F.lit(None)).cast("string").alias(n)
-    return F.struct(text("url"), text("title"), text("snippet"), text("domain"), tier.alias("tier"), text("source"), F.when(tier == "document", 0.9).otherwise(0.5).cast("double").alias("confidence"))
+    when = result.get("found_at", F.lit(None)).cast("timestamp").alias("found_at")
+    return F.struct(text("url"), text("title"), text("snippet"), text("domain"), tier.alias("tier"), text("source"), text("source_id"), when, text("content_sha256"), F.when(tier == "document", 0.9).otherwise(0.5).cast("double").alias("confidence"))
 
 
 def breach_candidates(rows: DataFrame, credential: Column, **result: Column) -> DataFrame:
-    """Candidates of breach results: confirmed, since an exact address was looked up; 0.90 sure of the identity, and wholly of the record."""
+    """Candidates of breach results: confirmed, since an exact address was looked up; 0.90 sure of the identity, and wholly of
+    the record. The entity is the breach itself (``source_id``), which is public. Any breach is as grave as leaked
+    credentials, but only one that leaked them (``credential``) asks for new passwords."""
     kind = F.when(credential, "CREDENTIAL_EXPOSURE").otherwise("BREACH_RECORD")
-    return _candidates(rows, kind, F.array(F.lit("EMAIL")), F.lit("CONFIRMED"), F.lit(0.90), F.lit(1.00), F.lit(True), F.lit(None).cast("string"), result)
-
-
-def broker_candidates(rows: DataFrame, opt_out: Column, **result: Column) -> DataFrame:
-    """Candidates of listings at data brokers: potential until somebody has looked, with the broker's opt-out page."""
-    tier = result.get("tier", F.lit("snippet"))
+    label, types, yes, entity = F.lit("CONFIRMED"), F.array(F.lit("EMAIL")), F.lit(True), result.get("source_id", F.lit(None)).cast("string")
+    codes = rules.threats(kind, types, label, yes, F.lit(1))
+    todo = rules.actions(kind, types, label, F.array().cast(NONE), F.lit(None).cast("string"))
+    return _candidates(rows, kind, label, F.lit(0.90), F.lit(1.00), rules.severity(kind, types, label, yes, F.lit(0.90)), codes, todo, entity, entity, result)
+
+
+def broker_candidates(rows: DataFrame, opt_out: Column, broker: Column | None = None, matched: Column | None = None, **result: Column) -> DataFrame:
+    """Candidates of listings at data brokers: potential until somebody has looked, with the broker's opt-out page. The entity
+    is the ``matched`` domain of the catalog, else the page's; the ``broker``'s name stands for it where it is masked. Their
+    one threat is a code of its own, which the catalog of threats doesn't have."""
+    tier, domain = result.get("tier", F.lit("snippet")), result.get("domain", F.lit(None)).cast("string")
+    kind, label, no, none = F.lit("DATA_BROKER_LISTING"), F.lit("POTENTIAL"), F.lit(False), F.array().cast(NONE)
+    codes = F.array(F.lit(LISTED))
+    graver = rules.severity(kind, F.array(F.lit("EMAIL")), label, no, F.lit(0.50))
     sure = F.when(tier == "document", 0.9).otherwise(0.5)
-    return _candidates(rows, F.lit("DATA_BROKER_LISTING"), F.array().cast(NONE), F.lit("POTENTIAL"), F.lit(0.50), sure, F.lit(False), opt_out, result)
+    entity, masked = (domain if x is None else F.coalesce(x, domain) for x in (matched, broker))
+    return _candidates(rows, kind, label, F.lit(0.50), sure, graver, codes, rules.actions(kind, none, label, codes, opt_out), entity, masked, result)
 
 
-def _candidates(rows: DataFrame, kind: Column, types: Column, label: Column, identity: Column, found: Column, breach: Column, opt_out: Column, result: dict[str, Column]) -> DataFrame:
-    codes = rules.threats(kind, types, label, breach, F.lit(1))
-    judged = rules.severity(kind, types, label, breach, identity)
+def _candidates(rows: DataFrame, kind: Column, label: Column, identity: Column, found: Column, judged: Column, codes: Column, todo: Column, entity: Column, masked: Column, result: dict[str, Column]) -> DataFrame:
     return rows.select(
         "candidate_id",
+        result.get("source", F.lit(None)).cast("string").alias("source"),
         kind.alias("exposure_type"),
+        entity.alias("entity"),
+        masked.alias("entity_masked"),
         label.alias("match_label"),
         identity.cast("double").alias("identity_confidence"),
         found.cast("double").alias("evidence_confidence"),
         judged["severity"].alias("severity"),
         judged["rank"].alias("rank"),
         codes.alias("threats"),
-        rules.actions(kind, types, label, codes, opt_out).alias("actions"),
+        todo.alias("actions"),
+        F.lit(RULE_VERSION).alias("rule_version"),
         F.array(evidence(result)).alias("evidence"),
     )
 

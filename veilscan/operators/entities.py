@@ -9,6 +9,8 @@ from ..functions.detect import e164
 from ..functions.normalize import digits, email
 from ..functions.text import MOST, iou
 from ..sources.dims import NER_TYPES
+from ..sources.scratch import written
+from .spans import chosen, overlapping
 
 #: Least score of a recognized span; overlap from which two spans of a label are one.
 LEAST_SCORE, SAME = 0.40, 0.5
@@ -32,11 +34,9 @@ def reported(rows: DataFrame, docs: DataFrame, labels: list[str], threshold: flo
 
 def deduplicated(rows: DataFrame) -> DataFrame:
     """Of spans of one document and label that are the same or half the same, the best scored, found greedily."""
-    s = F.struct((-F.col("score")).alias("o"), F.col("start").alias("start"), F.col("end").alias("end"), F.col("text").alias("text"))
-    groups = rows.groupBy("doc_id", "label").agg(F.array_sort(F.collect_list(s)).alias("all"))
-    near = lambda k, x: ((k["start"] == x["start"]) & (k["end"] == x["end"])) | (iou(k["start"], k["end"], x["start"], x["end"]) >= SAME)
-    kept = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: near(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    return groups.select("doc_id", "label", F.explode(kept).alias("s")).select("doc_id", "label", "s.text", (-F.col("s.o")).alias("score"), "s.start", "s.end")
+    near = lambda l, r: iou(F.col(f"{l}start"), F.col(f"{l}end"), F.col(f"{r}start"), F.col(f"{r}end")) >= SAME  # noqa: E731, E741
+    ranked = rows.select("doc_id", "label", "text", "score", "start", "end", (-F.col("score")).alias("loss"))
+    return chosen(ranked, ["doc_id", "label"], ["loss"], near).select("doc_id", "label", "text", "score", "start", "end")
 
 
 def recognize(docs: DataFrame, predict, labels: list[str], threshold: float = LEAST_SCORE) -> DataFrame:
@@ -53,20 +53,20 @@ def recognize(docs: DataFrame, predict, labels: list[str], threshold: float = LE
 def fuse(found: DataFrame, ner: DataFrame) -> DataFrame:
     """Structured spans with the score of the best recognized span of their type that overlaps; recognized spans that are neither taken up nor inside a structured span of another type follow.
 
-    The interval join is equal on the document; both sides are spans of one document."""
+    Overlaps are found once, by position inside a document. Empty spans overlap nothing and lie in nothing."""
     made_by = F.col("provenance") if "provenance" in found.columns else F.array(F.lit("regex"))
     f = found.select("doc_id", "type", "raw", "normalized", "confidence", made_by.alias("provenance"), "start", "end")
     n = ner.select("doc_id", F.col("type").alias("n_type"), F.col("text").alias("n_raw"), "score", F.col("start").alias("n_start"), F.col("end").alias("n_end"))
-    touch = F.greatest("start", "n_start") < F.least("end", "n_end")
-    same = f.join(n, "doc_id").filter(touch & (F.col("type") == F.col("n_type")))
-    best = same.groupBy("doc_id", "type", "start", "end").agg(F.max("score").alias("ner_score"))
+    pairs = overlapping(f.select("doc_id", "type", "start", "end"), n.select("doc_id", F.col("n_type").alias("type"), "score", F.col("n_start").alias("start"), F.col("n_end").alias("end")), ["doc_id"])
+    pairs = written(pairs.withColumn("same", F.col("l_type") == F.col("r_type")))
+    named = lambda p, *cs: [F.col(f"{p}_{c}").alias(c) for c in cs]
+    best = pairs.filter("same").groupBy("doc_id", *named("l", "type", "start", "end")).agg(F.max("r_score").alias("ner_score"))
     taken = F.col("ner_score").isNotNull()
     made_by = F.when(taken, F.array_union("provenance", F.array(F.lit("ner")))).otherwise(F.col("provenance")).alias("provenance")
     structured = f.join(best, ["doc_id", "type", "start", "end"], "left").select("doc_id", "type", "raw", "normalized", "start", "end", F.when(taken, "fused").otherwise("regex").alias("detector"), F.col("confidence").cast("double").alias("confidence"), "ner_score", made_by)
-    spans = f.select("doc_id", "type", "start", "end").withColumnRenamed("doc_id", "d")
-    inside = (F.col("start") <= F.col("n_start")) & (F.col("n_end") <= F.col("end"))
-    gone = (F.col("d") == F.col("doc_id")) & (((F.col("type") == F.col("n_type")) & touch) | ((F.col("type") != F.col("n_type")) & inside))
-    rest = n.join(spans, gone, "left_anti").dropDuplicates(["doc_id", "n_type", "n_raw", "n_start", "n_end"])
+    inside = (F.col("l_start") <= F.col("r_start")) & (F.col("r_end") <= F.col("l_end"))
+    gone = pairs.filter(F.col("same") | inside).select("doc_id", *[F.col(f"r_{c}").alias(f"n_{c}") for c in ("type", "start", "end")]).distinct()
+    rest = n.join(gone, ["doc_id", "n_type", "n_start", "n_end"], "left_anti").dropDuplicates(["doc_id", "n_type", "n_raw", "n_start", "n_end"])
     rest = rest.select("doc_id", F.col("n_type").alias("type"), F.col("n_raw").alias("raw"), F.trim("n_raw").alias("normalized"), F.col("n_start").alias("start"), F.col("n_end").alias("end"), F.lit("ner").alias("detector"), F.col("score").alias("confidence"), F.col("score").alias("ner_score"), F.array(F.lit("ner")).alias("provenance"))
     return structured.unionByName(rest)
 
@@ -114,20 +114,27 @@ def gazetted(docs: DataFrame, values: DataFrame, most: int = 200_000) -> DataFra
 def signals(identities: DataFrame, entities: DataFrame) -> DataFrame:
     """One row for each (identity, document) that any key or name links, with its signals.
 
-    Each kind of match is an equal-key join; rows of all kinds meet in one aggregate. Organization and location only
+    Addresses, numbers and user names of all kinds are tagged keys of one join; names are matched by their rarest tokens.
+    Entities and identities are computed once. Organization and location only
     corroborate pairs that exist already; empty values match nothing."""
     pair = ["identity_id", "doc_id"]
-    e = entities.select("doc_id", "type", "normalized")
-    by_email = identities.select("identity_id", email(F.col("email")).alias("k")).filter("k <> ''").join(e.filter("type = 'EMAIL'").withColumn("k", email(F.col("normalized"))), "k").select(*pair, F.lit("email").alias("signal"))
+    # both are read several times: entities may come from a pass over all texts
+    e = written(entities.select("doc_id", "type", "normalized").distinct())
+    identities = written(identities)
     # both sides in international form where a numbering plan has them, so a local number meets its own
     number = lambda c: digits(F.coalesce(e164(c), c))
-    i = identities.select("identity_id", number(F.col("phone")).alias("k"), "is_phone_verified").filter("k <> ''")
-    by_phone = i.join(e.filter("type = 'PHONE'").withColumn("k", number(F.col("normalized"))), "k").select(*pair, F.when(F.col("is_phone_verified"), "phone").otherwise("attested").alias("signal"))
-    by_user = identities.select("identity_id", email(F.col("username")).alias("k")).filter("k <> ''").join(e.withColumn("k", email(F.col("normalized"))), "k").select(*pair, F.lit("username").alias("signal"))
+    key = lambda kind, k, signal: F.when(F.coalesce(k, F.lit("")) != "", F.struct(F.lit(kind).alias("kind"), k.alias("k"), signal.alias("signal")))
+    phone = F.when(F.col("is_phone_verified"), "phone").otherwise("attested")
+    own = F.array(key("e", email(F.col("email")), F.lit("email")), key("p", number(F.col("phone")), phone), key("u", email(F.col("username")), F.lit("username")))
+    own = identities.select("identity_id", F.explode(F.array_compact(own)).alias("key")).select("identity_id", "key.*")
+    value, none = email(F.col("normalized")), F.lit(None).cast("string")
+    said = F.array(F.when(F.col("type") == "EMAIL", key("e", value, none)), F.when(F.col("type") == "PHONE", key("p", number(F.col("normalized")), none)), key("u", value, none))
+    said = e.select("doc_id", F.explode(F.array_compact(said)).alias("key")).select("doc_id", "key.kind", "key.k").distinct()
+    by_key = own.join(said, ["kind", "k"]).select(*pair, "signal")
     people = e.filter("type = 'PERSON'").select("normalized").distinct()
     named = names.matches(identities, people, "identity_id", "name", "normalized", "normalized")
     by_name = named.join(e.filter("type = 'PERSON'"), named.right_id == e.normalized).select(F.col("left_id").alias("identity_id"), "doc_id", F.lit("name").alias("signal"))
-    linked = by_email.unionByName(by_phone).unionByName(by_user).unionByName(by_name)
+    linked = by_key.unionByName(by_name)
     base = linked.groupBy(*pair).agg(*[F.bool_or(F.col("signal") == s).alias(s) for s in ("email", "phone", "attested", "username", "name")])
     types = e.groupBy("doc_id").agg(F.array_sort(F.collect_set("type")).alias("pii_types"))
     near = base.select(*pair).join(identities.select("identity_id", F.lower(F.trim("organization")).alias("org"), F.lower(F.trim("location")).alias("loc")), "identity_id").join(e.filter("type in ('ORGANIZATION', 'LOCATION', 'ADDRESS')"), "doc_id")

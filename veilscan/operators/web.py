@@ -3,8 +3,10 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.normalize import canonical_url, domain, host
-from ..sources.dims import LOGIN_WALLED, ranges
+from ..sources.dims import BLOCKED_RANGES, BLOCKED_RANGES_V6, LOGIN_WALLED
+from .prefix import address, in_networks
 
 #: Bytes of a page that is read, pages a scan reads.
 PAGE_BYTES, PAGE_BUDGET = 524_288, 10
@@ -21,8 +23,8 @@ def broker_match(hosts: DataFrame, catalog: DataFrame, host_column: str = "host"
 
     A suffix match is an equal key once suffixes are exploded. The catalog is a stated dimension."""
     known = catalog.withColumn("domain_key", F.explode(F.array_append("domains", F.col("domain")) if aliases else F.array("domain")))
-    found = hosts.select(host_column).distinct().withColumn("suffix", F.explode(suffixes(F.col(host_column)))).join(known, F.col("suffix") == F.lower("domain_key"))
-    exact = (F.col("suffix") == F.col(host_column)).cast("int")
+    found = hosts.select(host_column).distinct().withColumn("suffix", F.explode(suffixes(F.lower(F.col(host_column))))).join(known, F.col("suffix") == F.lower("domain_key"))
+    exact = (F.col("suffix") == F.lower(F.col(host_column))).cast("int")
     order = F.struct("position") if aliases else F.struct((1 - exact).alias("inexact"), "position")
     best = found.groupBy(host_column).agg(F.min_by(F.struct("name", "domain", "opt_out_url"), order).alias("b"))
     return best.select(host_column, F.col("b.name").alias("broker"), F.col("b.domain").alias("broker_domain"), F.col("b.opt_out_url").alias("opt_out_url"))
@@ -39,24 +41,17 @@ def walled(hosts: Column) -> Column:
     return F.arrays_overlap(suffixes(hosts), F.array(*[F.lit(d) for d in LOGIN_WALLED]))
 
 
-def ipv4_number(ip: Column) -> Column:
-    """An IPv4 literal as a number; null if it is none."""
-    p = F.split(ip, r"\.")
-    parts = [F.get(p, i).cast("long") for i in range(4)]
-    n = parts[0] * 16777216 + parts[1] * 65536 + parts[2] * 256 + parts[3]
-    return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(F.greatest(*parts) <= 255, n))
+def blocked_range(ip: Column) -> Column:
+    """The network that keeps an address from being fetched, judged by the address itself, however it is spelled: a mapped
+    IPv4 address as that. ``malformed`` for what is no address; null if it may be fetched."""
+    found = lambda digits: F.when(digits.isNull(), F.lit("malformed")).otherwise(in_networks(digits, BLOCKED_RANGES + BLOCKED_RANGES_V6))
+    return let(address(ip), found)
 
 
 def screened(addresses: DataFrame, column: str = "ip") -> DataFrame:
-    """``addresses`` with ``cidr`` (the first blocked range that holds it) and ``blocked``; what is no address is blocked.
-
-    The nine ranges are a fixed dimension, so the range join is a broadcast."""
-    r = F.broadcast(ranges(addresses.sparkSession))
-    n = addresses.withColumn("__n", ipv4_number(F.col(column)))
-    found = n.join(r, F.col("__n").between(F.col("lo"), F.col("hi")), "left")
-    v6 = F.lower(F.col(column)).rlike(r"^(::1?$|fe[89ab]|f[cd]|ff|64:ff9b:|::ffff:)")
-    bad = F.col("cidr").isNotNull() | (F.col("__n").isNull() & (v6 | ~F.col(column).contains(":")))
-    return found.withColumn("blocked", F.coalesce(bad, F.lit(True))).drop("__n", "lo", "hi")
+    """``addresses`` with ``cidr`` (the blocked network that holds it, null if none does) and ``blocked``; what is no address is blocked."""
+    found = blocked_range(F.col(column))
+    return addresses.withColumn("cidr", F.when(found != "malformed", found)).withColumn("blocked", found.isNotNull())
 
 
 def hosts_blocked(resolved: DataFrame) -> DataFrame:
@@ -70,15 +65,16 @@ READ_TYPES = ["text/html", "application/xhtml+xml", "application/pdf"]
 
 
 def fetch_reason(url: Column, html: Column, content_type: Column | None = None) -> Column:
-    """Why a page isn't read; null if it is. A content type, where it is known, must be one that is read; parameters after it don't count."""
+    """Why a page isn't read; null if it is. A host that is an address (in brackets or not) is screened as one. A content type, where it is known, must be one that is read; parameters after it don't count."""
     kind = F.lower(F.trim(F.substring_index(F.lit("text/html") if content_type is None else F.coalesce(content_type, F.lit("")), ";", 1)))
     scheme = F.lower(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*):", 1))
     h = F.coalesce(host(url), F.lit(""))
-    local = h.isin("localhost", "") | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".internal")
+    local = h.isin("localhost", "") | h.endswith(".localhost") | h.endswith(".local") | h.endswith(".localdomain") | h.endswith(".internal")
+    literal = h.contains(":") | h.rlike(r"^\d+(\.\d+)*$")
     return (
         F.when(~scheme.isin("http", "https"), "blocked_protocol")
         .when(F.try_parse_url(url, F.lit("USERINFO")).isNotNull(), "blocked_protocol")
-        .when(local, "ssrf_private_address")
+        .when(local | (literal & blocked_range(h).isNotNull()), "ssrf_private_address")
         .when(walled(h), "denylisted_domain")
         .when(html.isNull(), "fetch_error")
         .when(~kind.isin(*READ_TYPES), "unsupported_content_type")

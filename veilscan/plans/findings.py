@@ -10,25 +10,33 @@ from ..functions import normalize as N
 from ..operators import candidates as C
 from ..operators import entities as E
 from ..operators import monitor as M
+from ..operators import prefix as P
 from ..sources import records
 from .identity import _ACT, _C, _S, _SEV, _TH, GRID, customers, grid, judged, suppliers
 from .pii import _MAILS, found
 from .registry import SQL, query, table
 
-_LOGIN = "CHANGE_PASSWORD,CHECK_PASSWORD_REUSE,ENABLE_MFA,REVOKE_SESSIONS,REQUEST_REMOVAL,REVIEW_VISIBILITY"
+_LOGIN_IF = "CASE WHEN o_orderkey % 3 = 0 THEN 'CHANGE_PASSWORD,CHECK_PASSWORD_REUSE,ENABLE_MFA,REVOKE_SESSIONS,' ELSE '' END || 'REQUEST_REMOVAL,REVIEW_VISIBILITY'"
+_PAGE_HOST = "regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '^www\\.', '')"
 
 
-@query(f"""SELECT 'b' || o_orderkey AS candidate_id, CASE WHEN o_orderkey % 3 = 0 THEN 'CREDENTIAL_EXPOSURE' ELSE 'BREACH_RECORD' END AS exposure_type, 'CONFIRMED' AS match_label, CAST(0.9 AS DOUBLE) AS identity_confidence, CAST(1 AS DOUBLE) AS evidence_confidence,
-  'CRITICAL' AS severity, 100 AS rank, 'CREDENTIAL_STUFFING,ACCOUNT_TAKEOVER,TARGETED_PHISHING' AS threats, '{_LOGIN}' AS actions, 'https://b.example/' || o_orderkey AS url, CASE WHEN o_orderkey % 4 = 0 THEN 'document' ELSE 'snippet' END AS tier, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS sure FROM orders
-UNION ALL SELECT 'p' || page_id, 'DATA_BROKER_LISTING', 'POTENTIAL', 0.5, CASE WHEN page_id % 3 = 0 THEN 0.9 ELSE 0.5 END, 'MEDIUM', 60, 'INFORMATIONAL', 'VERIFY_BEFORE_ACTION,OPT_OUT_BROKER', url, CASE WHEN page_id % 3 = 0 THEN 'document' ELSE 'snippet' END, CASE WHEN page_id % 3 = 0 THEN 0.9 ELSE 0.5 END FROM pages""")
+@query(f"""SELECT 'b' || o_orderkey AS candidate_id, 'breaches' AS source, CASE WHEN o_orderkey % 3 = 0 THEN 'CREDENTIAL_EXPOSURE' ELSE 'BREACH_RECORD' END AS exposure_type, 'B' || o_orderkey AS entity, 'B' || o_orderkey AS entity_masked, 'CONFIRMED' AS match_label,
+  CAST(0.9 AS DOUBLE) AS identity_confidence, CAST(1 AS DOUBLE) AS evidence_confidence, 'CRITICAL' AS severity, 100 AS rank, 'CREDENTIAL_STUFFING,ACCOUNT_TAKEOVER,TARGETED_PHISHING' AS threats, {_LOGIN_IF} AS actions, 'v1.0.0' AS rule_version,
+  'https://b.example/' || o_orderkey AS url, CASE WHEN o_orderkey % 4 = 0 THEN 'document' ELSE 'snippet' END AS tier, CAST(CASE WHEN o_orderkey % 4 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS sure, 'B' || o_orderkey AS source_id, strftime(o_orderdate, '%Y-%m-%d') AS found_at, NULL AS content_sha256 FROM orders
+UNION ALL SELECT 'p' || page_id, 'brokers', 'DATA_BROKER_LISTING', CASE WHEN page_id % 5 = 0 THEN 'catalog.example' ELSE {_PAGE_HOST} END, CASE WHEN page_id % 5 = 0 THEN 'The Catalog' ELSE {_PAGE_HOST} END, 'POTENTIAL', 0.5, CASE WHEN page_id % 3 = 0 THEN 0.9 ELSE 0.5 END, 'MEDIUM', 60, 'PRIVACY_COMMERCIALIZATION',
+  'VERIFY_BEFORE_ACTION,OPT_OUT_BROKER', 'v1.0.0', url, CASE WHEN page_id % 3 = 0 THEN 'document' ELSE 'snippet' END, CASE WHEN page_id % 3 = 0 THEN 0.9 ELSE 0.5 END, 'p' || page_id, NULL, CASE WHEN page_id % 3 = 0 THEN sha256(html) END FROM pages""")
 def exposure_candidates(spark, sf_dir):
     """Orders as breach results and pages as broker results, as one list of candidates."""
     k, p = F.col("o_orderkey"), F.col("page_id")
     tier = lambda c: F.when(c, "document").otherwise("snippet")
-    b = C.breach_candidates(table(spark, sf_dir, "orders").withColumn("candidate_id", F.concat(F.lit("b"), k.cast("string"))), k % 3 == 0, url=F.concat(F.lit("https://b.example/"), k.cast("string")), tier=tier(k % 4 == 0))
-    s = C.broker_candidates(table(spark, sf_dir, "pages").withColumn("candidate_id", F.concat(F.lit("p"), p.cast("string"))), F.when(p % 2 == 0, F.lit("https://x")), url=F.col("url"), tier=tier(p % 3 == 0))
+    name = F.concat(F.lit("B"), k.cast("string"))
+    b = C.breach_candidates(table(spark, sf_dir, "orders").withColumn("candidate_id", F.concat(F.lit("b"), k.cast("string"))), k % 3 == 0, source=F.lit("breaches"), source_id=name, url=F.concat(F.lit("https://b.example/"), k.cast("string")), tier=tier(k % 4 == 0), found_at=F.col("o_orderdate"))
+    pages = table(spark, sf_dir, "pages").withColumn("candidate_id", F.concat(F.lit("p"), p.cast("string")))
+    listed = p % 5 == 0
+    s = C.broker_candidates(pages, F.when(p % 2 == 0, F.lit("https://x")), F.when(listed, F.lit("The Catalog")), F.when(listed, F.lit("catalog.example")), source=F.lit("brokers"), source_id=F.col("candidate_id"), url=F.col("url"), domain=N.domain(F.col("url")), tier=tier(p % 3 == 0), content_sha256=F.when(p % 3 == 0, F.sha2("html", 256)))
     e = F.get("evidence", 0)
-    return C.united(b, s).select("candidate_id", "exposure_type", "match_label", "identity_confidence", "evidence_confidence", "severity", "rank", F.array_join("threats", ",").alias("threats"), F.array_join("actions", ",").alias("actions"), e["url"].alias("url"), e["tier"].alias("tier"), e["confidence"].alias("sure"))
+    plain = [x for x in s.columns if x not in ("threats", "actions", "evidence")]
+    return C.united(b, s).select(*plain, F.array_join("threats", ",").alias("threats"), F.array_join("actions", ",").alias("actions"), e["url"].alias("url"), e["tier"].alias("tier"), e["confidence"].alias("sure"), e["source_id"].alias("source_id"), F.date_format(e["found_at"], "yyyy-MM-dd").alias("found_at"), e["content_sha256"].alias("content_sha256"))
 
 
 @query(f"""WITH {GRID} SELECT id, concat_ws(',', CASE WHEN email THEN 'EMAIL' WHEN phone THEN 'PHONE' WHEN username THEN 'USERNAME' WHEN attested THEN 'ATTESTED_PHONE' WHEN name THEN 'NAME' END, CASE WHEN org THEN 'ORGANIZATION+0.05' END, CASE WHEN location THEN 'LOCATION+0.03' END,
@@ -239,19 +247,57 @@ SELECT id, CASE WHEN contains(kind, 'CREDENTIAL') OR list_contains(codes, 'CREDE
   || ': ' || {_SAID.format("array_to_string(codes, ' and ')")} || '.' || CASE WHEN level NOT IN ('CRITICAL', 'HIGH') AND conf < 0.6 THEN ' Confidence is low; verify ownership first.' ELSE '' END || ' Next: ' || {_SAID.format("replace(todo, ',', ', ')")} || '.' AS summary FROM x"""
 
 
-_V6 = ["::1", "fe80::7", "fd12::", "ff02::1", "64:ff9b::a", "::ffff:8.8.8.8", "2001:4860::", "2a00:1450::", "nonsense", "300.1.1.1"]
+#: Spellings of addresses, and whether they are blocked: loopback, link-local, private, multicast and translated ones, mapped
+#: ones by what they map, whatever way they are spelled; what is no address.
+_V6 = {
+    "::1": True, "0:0:0:0:0:0:0:1": True, "::": True, "fe80::7": True, "fd12::2": True, "ff02::1": True, "64:ff9b::a": True, "::ffff:8.8.8.8": False,
+    "::ffff:808:808": False, "::ffff:10.0.0.1": True, "0:0:0:0:0:FFFF:7f00:1": True, "2001:4860::": False, "2a00:1450::1:8": False, "fec0::1": False, "zz:1": True,
+    "1::2::3": True, "1:2:3:4:5:6:7": True, "::ffff:300.1.1.1": True, "nonsense": True, "300.1.1.1": True, "169.254.169.254": True, "8.8.4.4": False,
+}
+_V6_LIST = ", ".join(f"({i}, '{ip}', {str(b).upper()})" for i, (ip, b) in enumerate(_V6.items()))
 
 
-@query(f"""WITH a AS (SELECT {_V6}[CAST(o_orderkey % 10 AS INTEGER) + 1] || CASE WHEN o_orderkey % 10 IN (2, 6, 7) THEN CAST(o_orderkey % 9 AS VARCHAR) ELSE '' END AS ip, o_orderkey % 10 NOT IN (6, 7) AS blocked FROM orders) SELECT DISTINCT ip, blocked FROM a""")
+@query(f"""SELECT DISTINCT ip, blocked FROM orders JOIN (VALUES {_V6_LIST}) AS v(i, ip, blocked) ON o_orderkey % {len(_V6)} = i""")
 def ipv6_block(spark, sf_dir):
-    """Loopback, link-local, private, multicast and mapped addresses, two public ranges, and what is no address."""
+    """Orders as addresses to screen, in every spelling."""
     from ..operators import web
 
-    k = F.col("o_orderkey")
-    ip = F.concat(F.get(F.array(*[F.lit(x) for x in _V6]), (k % 10).cast("int")), F.when((k % 10).isin(2, 6, 7), (k % 9).cast("string")).otherwise(F.lit("")))
+    ip = F.get(F.array(*[F.lit(x) for x in _V6]), (F.col("o_orderkey") % len(_V6)).cast("int"))
     return web.screened(table(spark, sf_dir, "orders").select(ip.alias("ip")).distinct()).select("ip", "blocked")
 
 
+_ROUTE = "(p_partkey * 2654435761) % 4294967296"
+
+
+@query(f"""WITH a AS (SELECT o_orderkey, ({_ROUTE.replace('p_partkey', '(o_custkey % 200)')} + (o_orderkey % 64) * 40503) % 4294967296 AS v FROM orders), r AS (SELECT DISTINCT p_partkey, 8 + p_partkey % 23 AS n, ({_ROUTE}) >> (24 - p_partkey % 23) AS prefix FROM part),
+m AS (SELECT o_orderkey, n, min(p_partkey) AS route FROM a JOIN r ON a.v >> (32 - n) = prefix GROUP BY ALL)
+SELECT a.o_orderkey, arg_max(route, n) AS route, CAST(max(n) AS INTEGER) AS length FROM a LEFT JOIN m USING (o_orderkey) GROUP BY 1""")
+def route_longest_prefix(spark, sf_dir):
+    """Orders as addresses, parts as routes of 8 to 30 bits: the longest route that holds each address."""
+    v = lambda x: F.concat_ws(".", *[(F.shiftrightunsigned(x, s) % 256).cast("string") for s in (24, 16, 8, 0)])
+    of_key = F.expr("((o_custkey % 200) * 2654435761 + (o_orderkey % 64) * 40503) % 4294967296")
+    a = table(spark, sf_dir, "orders").select("o_orderkey", P.address(v(of_key)).alias("ip"))
+    net = P.address(v(F.expr(_ROUTE)))
+    n = (F.lit(104) + F.col("p_partkey") % 23).cast("int")
+    cut = F.coalesce(*[F.when(n == k, P.bits(net, k)) for k in range(104, 127)])
+    r = table(spark, sf_dir, "part").select(n.alias("length"), cut.alias("prefix"), F.col("p_partkey").alias("route"), (n - 96).alias("n"))
+    return P.longest(a, "ip", r).select("o_orderkey", "route", F.col("n").alias("length"))
+
+
+@query("""WITH c AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '1' WHEN 1 THEN '44' WHEN 2 THEN '91' ELSE '7' END || lpad(CAST((c_custkey * 7919) % 1000000000 AS VARCHAR), 9, '0') AS number FROM customer),
+p AS (SELECT prefix, min(area) AS area FROM (SELECT '1' AS prefix, 'NANP' AS area UNION ALL SELECT '44', 'UK' UNION ALL SELECT '91', 'IN' UNION ALL SELECT CASE s_suppkey % 3 WHEN 0 THEN '1' WHEN 1 THEN '44' ELSE '91' END || lpad(CAST((s_suppkey * 37) % 1000 AS VARCHAR), 3, '0'), 'area ' || s_suppkey FROM supplier) GROUP BY 1)
+SELECT c_custkey, arg_max(area, length(prefix)) AS area FROM c LEFT JOIN p ON starts_with(number, prefix) GROUP BY 1""")
+def numbering_areas(spark, sf_dir):
+    """Numbers of customers and the area of the numbering plan that the longest of its prefixes says."""
+    code = lambda k, n, *cs: F.get(F.array(*[F.lit(c) for c in cs]), (k % n).cast("int"))
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    number = F.concat(code(c, 4, "1", "44", "91", "7"), F.lpad(((c * 7919) % 1000000000).cast("string"), 9, "0"))
+    plans = spark.createDataFrame([("1", "NANP"), ("44", "UK"), ("91", "IN")], "prefix string, area string")
+    areas = table(spark, sf_dir, "supplier").select(F.concat(code(s, 3, "1", "44", "91"), F.lpad(((s * 37) % 1000).cast("string"), 3, "0")).alias("prefix"), F.concat(F.lit("area "), s.cast("string")).alias("area"))
+    t = plans.unionByName(areas).select(F.length("prefix").alias("length"), "prefix", "area")
+    return P.longest(table(spark, sf_dir, "customer").select("c_custkey", number.alias("number")), "number", t, P.leading).select("c_custkey", "area")
+
+
 @query("""WITH h AS (SELECT page_id % 50 AS h, CASE page_id % 3 WHEN 0 THEN '10.0.0.' || (page_id % 250) ELSE '8.8.8.' || (page_id % 250) END AS ip FROM pages WHERE page_id % 50 <> 49) SELECT 'h' || h AS host, bool_or(starts_with(ip, '10.')) AS blocked FROM h GROUP BY h UNION ALL SELECT 'nothing', TRUE""")
 def hosts_blocked(spark, sf_dir):
     """Hosts with the addresses that they resolve to; one has none."""

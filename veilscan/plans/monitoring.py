@@ -7,6 +7,7 @@ remediation, and a day with an error of the user is an outage of the source ``vi
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
+from ..operators import candidates as C
 from ..operators import monitor as M
 from ..sources import records
 from ..sources.scratch import new_path
@@ -245,21 +246,16 @@ def breach_cap(spark, sf_dir):
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'CREDENTIAL_EXPOSURE' ELSE 'BREACH_RECORD' END AS exposure_type, 'CRITICAL' AS severity, 'CREDENTIAL_STUFFING,ACCOUNT_TAKEOVER,TARGETED_PHISHING' AS threats,
 CASE WHEN o_orderkey % 3 = 0 THEN 'CHANGE_PASSWORD,CHECK_PASSWORD_REUSE,ENABLE_MFA,REVOKE_SESSIONS,' ELSE '' END || 'REQUEST_REMOVAL,REVIEW_VISIBILITY' AS actions FROM orders""")
 def breach_candidates(spark, sf_dir):
-    from ..functions import rules as R
+    k = F.col("o_orderkey")
+    rows = C.breach_candidates(table(spark, sf_dir, "orders").withColumn("candidate_id", k), k % 3 == 0)
+    return rows.select(F.col("candidate_id").alias("id"), "exposure_type", "severity", F.array_join("threats", ",").alias("threats"), F.array_join("actions", ",").alias("actions"))
 
-    kind = F.when(F.col("o_orderkey") % 3 == 0, "CREDENTIAL_EXPOSURE").otherwise("BREACH_RECORD")
-    mail, sure, yes = F.array(F.lit("EMAIL")), F.lit("CONFIRMED"), F.lit(True)
-    none = F.array().cast("array<string>")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), kind.alias("exposure_type"), R.severity(kind, mail, sure, yes, F.lit(0.9))["severity"].alias("severity"), F.array_join(R.threats(kind, mail, sure, yes, F.lit(1)), ",").alias("threats"), F.array_join(R.actions(kind, mail, sure, none, F.lit(None).cast("string")), ",").alias("actions"))
 
-
-@query("""SELECT page_id AS id, 'MEDIUM' AS severity, 60 AS rank, 'VERIFY_BEFORE_ACTION,OPT_OUT_BROKER' AS actions, CAST(CASE WHEN page_id % 3 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS evidence_confidence FROM pages""")
+@query("""SELECT page_id AS id, 'MEDIUM' AS severity, 60 AS rank, 'VERIFY_BEFORE_ACTION,OPT_OUT_BROKER' AS actions, CAST(CASE WHEN page_id % 3 = 0 THEN 0.9 ELSE 0.5 END AS DOUBLE) AS evidence_confidence, 'PRIVACY_COMMERCIALIZATION' AS threats FROM pages""")
 def broker_candidates(spark, sf_dir):
-    from ..functions import rules as R
-
-    kind, label, none = F.lit("DATA_BROKER_LISTING"), F.lit("POTENTIAL"), F.array().cast("array<string>")
-    s = R.severity(kind, F.array(F.lit("EMAIL")), label, F.lit(False), F.lit(0.5))
-    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), s["severity"].alias("severity"), s["rank"].alias("rank"), F.array_join(R.actions(kind, none, label, F.array(F.lit("PRIVACY_COMMERCIALIZATION")), F.lit("https://x")), ",").alias("actions"), F.when(F.col("page_id") % 3 == 0, 0.9).otherwise(0.5).cast("double").alias("evidence_confidence"))
+    p = F.col("page_id")
+    rows = C.broker_candidates(table(spark, sf_dir, "pages").withColumn("candidate_id", p), F.lit("https://x"), tier=F.when(p % 3 == 0, "document").otherwise("snippet"))
+    return rows.select(F.col("candidate_id").alias("id"), "severity", "rank", F.array_join("actions", ",").alias("actions"), "evidence_confidence", F.array_join("threats", ",").alias("threats"))
 
 
 def _drained(stream, spark, mode: str = "append"):

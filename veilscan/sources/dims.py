@@ -13,6 +13,7 @@ TRACKING = ["fbclid", "gclid", "dclid", "msclkid", "twclid", "igshid", "mc_cid",
 #: Sites behind a login, and address ranges that are never fetched.
 LOGIN_WALLED = ["linkedin.com", "facebook.com", "instagram.com", "twitter.com", "x.com"]
 BLOCKED_RANGES = ["0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.168.0.0/16", "192.0.0.0/24", "198.18.0.0/15"]
+BLOCKED_RANGES_V6 = ["::/128", "::1/128", "fe80::/10", "fc00::/7", "ff00::/8", "64:ff9b::/32"]
 
 #: Titles dropped from names.
 HONORIFICS = ["mr", "mrs", "ms", "miss", "dr", "prof", "er", "eng", "shri", "shrimati", "smt", "sir", "madam"]
@@ -70,13 +71,3 @@ def brokers(spark: SparkSession) -> DataFrame:
 
 def threats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(THREATS.items()), "threat string, category string")
-
-
-def ranges(spark: SparkSession) -> DataFrame:
-    """cidr with its first and last address as numbers."""
-    out = []
-    for cidr in BLOCKED_RANGES:
-        network, bits = cidr.split("/")
-        lo = sum(int(p) << 8 * (3 - i) for i, p in enumerate(network.split(".")))
-        out.append((cidr, lo, lo + (1 << 32 - int(bits)) - 1))
-    return spark.createDataFrame(out, "cidr string, lo long, hi long")
