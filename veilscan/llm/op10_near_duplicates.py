@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import fresh, mix, removed, shingles, slices, small_batches, table, words, written
+from .common import fresh, mix, removed, shingles, slices, table, words, written
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 7
@@ -140,19 +140,20 @@ def set_keys(e: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shingle_set(width: int = WIDTH, counted: bool = False):
-    """A column function of a text and a key: the text's elements, or null if the text's key is another."""
+def shingle_sets(width: int = WIDTH, counted: bool = False):
+    """A function of batches (key, text): (key, elements of the text), a bounded run of texts at a time; texts whose key is another go."""
 
-    @arrow_udf("array<bigint>")
-    def sets(texts: pa.Array, keys: pa.Array) -> pa.Array:
-        out, lo = [], 0
-        for part in slices(texts, BYTES):
-            e, d = elements(part, width, counted)
-            own = set_keys(e, d, len(part))
-            ends = np.searchsorted(d, np.arange(len(part) + 1))
-            out += [e[ends[i] : ends[i + 1]].view(np.int64) if own[i].tobytes() == keys[lo + i].as_py() else None for i in range(len(part))]
-            lo += len(part)
-        return pa.array(out, pa.list_(pa.int64()))
+    def sets(batches):
+        for batch in batches:
+            keys, lo = batch.column(0), 0
+            for part in slices(batch.column(1), BYTES):
+                e, d = elements(part, width, counted)
+                own, mine = set_keys(e, d, len(part)), keys.slice(lo, len(part))
+                ends = np.searchsorted(d, np.arange(len(part) + 1))
+                same = pa.array([own[i].tobytes() == k for i, k in enumerate(mine.to_pylist())], pa.bool_())
+                found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(e.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([mine.filter(same), found.filter(same)], ["key", "set"])
+                lo += len(part)
 
     return sets
 
@@ -218,9 +219,7 @@ def _classed(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
 
     ``t`` and ``h`` are hashes of the text and of the whole row."""
     signed = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(docs[text]).alias("t"), row_hash(docs).alias("h"), signature(width, bands, rows, counted)(docs[text]).alias("s"))
-    spark = docs.sparkSession
-    with small_batches(spark):
-        signed = written(signed.select("doc_id", "t", "h", "s.key", "s.bands"))
+    signed = written(signed.select("doc_id", "t", "h", "s.key", "s.bands"))
     # a key's rows have the same bands; its text is that of its first row: the smallest doc_id, null last
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
     reps = written(signed.filter("key is not null").groupBy("key").agg(first, F.count("*").alias("n"), F.first("bands").alias("bands")))
@@ -232,9 +231,7 @@ def _classed(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
     pairs = written(members.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     whole = _sets(wanted, sets, docs, doc_id, text, width, counted)
-    both = pairs.join(whole.withColumnsRenamed({"key": "a", "set": "x"}), "a").join(whole.withColumnsRenamed({"key": "b", "set": "y"}), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    links = written(both.filter(common >= F.lit(similarity) * (F.size("x") + F.size("y") - common) - F.lit(1e-6)).select("a", "b"))
+    links = written(_hub_links(pairs, whole, similarity))
     removed(pairs)
     labels = components(links)
 
@@ -244,8 +241,7 @@ def _classed(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
     main = parts.groupBy("bucket").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
     apart = placed.join(main, "bucket").withColumn("inner", F.col("label") == F.col("main")).select("bucket", "inner", "key", "label")
     apart = written(apart.join(whole.select("key", "set"), "key"))
-    with small_batches(spark):
-        more = written(_compared(apart, similarity))
+    more = written(_compared(apart, similarity))
     removed(members, whole, apart)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
@@ -256,6 +252,22 @@ def _classed(docs: DataFrame, doc_id: str, text: str, width: int, similarity: fl
     return signed.drop("bands"), grouped.select("key", "label").join(classes, "label")
 
 
+def _hub_links(pairs: DataFrame, whole: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of a hub and a member whose sets (key, set) are similar enough: members go to their hubs in blocks of bounded
+    size, and a hub's set is sent once for each block."""
+    sized = pairs.join(whole.select(F.col("key").alias("b"), F.size("set").alias("size")), "b")
+    blocks = sized.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / ELEMENTS)).alias("blocks"))
+    dealt = pairs.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).alias("block"))
+    block = dealt.join(whole.withColumnsRenamed({"key": "b", "set": "y"}), "b").groupBy("a", "block").agg(F.collect_list(F.struct("b", "y")).alias("members"))
+    hubs = whole.withColumnsRenamed({"key": "a", "set": "x"})
+
+    def close(m: Column) -> Column:
+        common = F.size(F.array_intersect(F.col("x"), m["y"]))
+        return common >= F.lit(similarity) * (F.size("x") + F.size(m["y"]) - common) - F.lit(1e-6)
+
+    return block.join(hubs, "a").select("a", F.explode(F.transform(F.filter("members", close), lambda m: m["b"])).alias("b"))
+
+
 def _compared(apart: DataFrame, similarity: float) -> DataFrame:
     """Links between members (bucket, inner, key, label, set) of a bucket of which one isn't of the main component; blocks are keyed by pair."""
     sizes = apart.groupBy("bucket", "inner").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(F.size("set")) / ELEMENTS)).alias("blocks"))
@@ -276,8 +288,7 @@ def _sets(keys: DataFrame, sets: DataFrame, docs: DataFrame, doc_id: str, text:
     texts = docs.select(docs[doc_id].alias("id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("t"))
     found = texts.join(named, (texts["t"] == named["t"]) & texts["id"].eqNullSafe(named["first_id"]))
     # equal hashes may be of other texts, of other keys; a repeated row is the same set
-    with small_batches(docs.sparkSession):
-        return written(found.select("key", shingle_set(width, counted)(texts["text"], F.col("key")).alias("set")).filter("set is not null").dropDuplicates(["key"]))
+    return written(found.select("key", texts["text"]).mapInArrow(shingle_sets(width, counted), "key binary, set array<bigint>").dropDuplicates(["key"]))
 
 
 def near_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
