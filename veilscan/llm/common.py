@@ -1,5 +1,6 @@
 """Helpers that the training-data operators share: words, shingles, hashes, what a worker remembers."""
 
+import contextlib
 import ctypes
 import gc
 
@@ -51,6 +52,22 @@ def held(owner: str) -> dict:
     return kept
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20):
+    """Arrow batches of bounded rows and bytes for what is written inside, unless the session says otherwise; then as before.
+
+    Queries of other threads of the session get such batches meanwhile too; no result depends on them."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    own = [key for key in wanted if spark.conf.get(key, None) is None]
+    for key in own:
+        spark.conf.set(key, wanted[key])
+    try:
+        yield
+    finally:
+        for key in own:
+            spark.conf.unset(key)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64) over an array."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
