@@ -129,7 +129,7 @@ def test_recorded_search_source(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"searches": [{"query": "q", "results": [{"url": "u"}, {"title": "t", "url": "v", "position": 7}]}]}))
     spark.dataSource.register(records.RecordedSearch)
     got = spark.read.format("recorded_search").load(str(tmp_path)).collect()
-    assert sorted(map(tuple, got)) == [("q", "t", "v", 7), ("q", "u", "u", 1)]
+    assert sorted(map(tuple, got), key=str) == [(None, "q", "t", "v", "", 7), (None, "q", "u", "u", "", 1)]
 
 
 def test_breach_answers(spark):
@@ -166,15 +166,15 @@ def test_catalog_positions_follow_files(spark, tmp_path):
     assert [(r["name"], r["position"], r["instructions"]) for r in got] == [(n, i, f"ask {n}") for i, n in enumerate("ABCDE")]
 
 
-def test_report_is_one_object(spark, tmp_path):
+def test_report_is_written_where_its_rows_are(spark, tmp_path):
     rows = spark.createDataFrame([("a", "CONFIRMED"), ("b", "NO_MATCH")], "person_id string, classification string")
     people = evaluate.by_person(rows)
-    wrong = spark.createDataFrame([("e", "CONFIRMED", "NO_MATCH")], "entry_id string, expected string, actual string")
+    wrong = spark.range(1000).selectExpr("concat('e', id) as entry_id", "'CONFIRMED' as expected", "'NO_MATCH' as actual").repartition(5)
     records.report(evaluate.decoys(rows), people, wrong, str(tmp_path / "r"))
-    lines = [line for f in (tmp_path / "r").glob("part-*.json") for line in f.read_text().splitlines()]
-    assert len(lines) == 1
-    made = json.loads(lines[0])
-    assert made["summary"]["verdict"] == "FAIL" and len(made["by_person"]) == 3 and made["mismatches"] == [{"entry_id": "e", "expected": "CONFIRMED", "actual": "NO_MATCH"}]
+    made = {kind: [json.loads(line) for f in (tmp_path / "r" / f"kind={kind}").glob("part-*") for line in f.read_text().splitlines()] for kind in ("summary", "person", "mismatch")}
+    assert made["summary"][0]["verdict"] == "FAIL" and len(made["person"]) == 3
+    assert len(made["mismatch"]) == 1000 and {"entry_id": "e7", "expected": "CONFIRMED", "actual": "NO_MATCH"} in made["mismatch"]
+    assert len(list((tmp_path / "r" / "kind=mismatch").glob("part-*"))) == 5
 
 
 def test_explanations_come_from_a_provider_or_the_template(spark):

@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import hmac_sha256, mask_identifier
+from ..sources.scratch import written
+from .contain import containing
 
 
 def query_key(x: Column) -> Column:
@@ -14,15 +16,16 @@ def query_key(x: Column) -> Column:
 def recorded_answers(planned: DataFrame, recorded: DataFrame) -> DataFrame:
     """Planned queries (``query``) with the recorded search (``recorded_id``) that answers each: an equal key, else one that contains the other, the first recorded wins.
 
-    Equal keys are an equi-join. Only planned queries without one are compared by containment, through shared tokens."""
+    Equal keys are an equi-join. Planned queries without one meet those that they contain, or lie in, by anchors, so parts of
+    words count and words that all queries have cost nothing."""
     p = planned.select("query", query_key(F.col("query")).alias("key")).distinct()
     r = recorded.select("recorded_id", query_key(F.col("query")).alias("r_key"))
     equal = p.join(r, p.key == r.r_key).groupBy("query").agg(F.min("recorded_id").alias("recorded_id"))
-    rest = p.join(equal, "query", "left_anti")
-    word = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
-    near = rest.select("query", "key", word("key")).join(r.select("recorded_id", "r_key", word("r_key")), "word")
-    near = near.filter((F.col("key") != "") & (F.col("r_key") != "") & (F.contains("key", "r_key") | F.contains("r_key", "key")))
-    return equal.unionByName(near.groupBy("query").agg(F.min("recorded_id").alias("recorded_id")))
+    rest = written(p.join(equal, "query", "left_anti"))
+    first = written(r.filter("r_key <> ''").groupBy("r_key").agg(F.min("recorded_id").alias("recorded_id")))
+    pairs = containing(rest, first, "key", "r_key").unionByName(containing(first, rest, "r_key", "key")).distinct()
+    near = rest.join(pairs, "key").join(first, "r_key").groupBy("query").agg(F.min("recorded_id").alias("recorded_id"))
+    return equal.unionByName(near)
 
 
 def first_identifiers(identifiers: DataFrame) -> DataFrame:

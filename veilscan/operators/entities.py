@@ -10,6 +10,7 @@ from ..functions.normalize import digits, email
 from ..functions.text import MOST, iou
 from ..sources.dims import NER_TYPES
 from ..sources.scratch import written
+from .contain import containing, gazetted  # noqa: F401  (queries take gazetted from here)
 from .spans import chosen, overlapping
 
 #: Least score of a recognized span; overlap from which two spans of a label are one.
@@ -95,22 +96,6 @@ def extracted(docs: DataFrame, found: DataFrame, ner: DataFrame | None = None, s
     return d.select("doc_id", "skipped", "truncated", incomplete.alias("partial"), F.when(F.col("skipped") | F.col("entities").isNull(), none).otherwise(F.col("entities")).alias("entities"))
 
 
-def gazetted(docs: DataFrame, values: DataFrame, most: int = 200_000) -> DataFrame:
-    """(doc_id, type, normalized) of the (type, value) rows whose words follow one another in a (doc_id, text) row, whatever the case.
-
-    Runs of as many words as some value has are looked up; at most ``most`` values go to every task, more are joined by a shuffle."""
-    words = lambda x: F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    v = values.filter("value is not null").select("type", F.trim("value").alias("normalized"), F.array_join(words(F.col("value")), " ").alias("gram"), F.size(words(F.col("value"))).alias("n")).filter("n > 0").distinct()
-    lengths = sorted(r["n"] for r in v.select("n").distinct().collect())
-    if not lengths:
-        return docs.select("doc_id", F.lit("").alias("type"), F.lit("").alias("normalized")).limit(0)
-    w = F.col("w")
-    run = lambda n: w if n == 1 else F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.slice(w, 1, 0))
-    grams = docs.filter("text is not null").select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(*[run(n) for n in lengths]))).alias("gram"))
-    v = v.drop("n")
-    return grams.join(F.broadcast(v) if v.limit(most + 1).count() <= most else v, "gram").select("doc_id", "type", "normalized").distinct()
-
-
 def signals(identities: DataFrame, entities: DataFrame) -> DataFrame:
     """One row for each (identity, document) that any key or name links, with its signals.
 
@@ -137,10 +122,12 @@ def signals(identities: DataFrame, entities: DataFrame) -> DataFrame:
     linked = by_key.unionByName(by_name)
     base = linked.groupBy(*pair).agg(*[F.bool_or(F.col("signal") == s).alias(s) for s in ("email", "phone", "attested", "username", "name")])
     types = e.groupBy("doc_id").agg(F.array_sort(F.collect_set("type")).alias("pii_types"))
-    near = base.select(*pair).join(identities.select("identity_id", F.lower(F.trim("organization")).alias("org"), F.lower(F.trim("location")).alias("loc")), "identity_id").join(e.filter("type in ('ORGANIZATION', 'LOCATION', 'ADDRESS')"), "doc_id")
-    within = lambda a, b: (a != "") & (b != "") & (a.contains(b) | b.contains(a))
-    value = F.lower(F.trim("normalized"))
-    near = near.groupBy(*pair).agg(F.bool_or((F.col("type") == "ORGANIZATION") & within(F.col("org"), value)).alias("org"), F.bool_or(F.col("type").isin("LOCATION", "ADDRESS") & within(F.col("loc"), value)).alias("location"))
+    # what an identity has lies in what a document says, or the other way round: distinct values meet by anchors
+    said = e.filter("type in ('ORGANIZATION', 'LOCATION', 'ADDRESS')").select("doc_id", F.when(F.col("type") == "ORGANIZATION", "org").otherwise("location").alias("kind"), F.lower(F.trim("normalized")).alias("said"))
+    own = identities.select("identity_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lower(F.trim(c)).alias("own")) for k, c in (("org", "organization"), ("location", "location"))])).alias("x")).select("identity_id", "x.*").filter("own <> ''")
+    alike = containing(own, said, "own", "said").unionByName(containing(said, own, "said", "own")).distinct()
+    near = base.select(*pair).join(own, "identity_id").join(alike, "own").join(said.distinct(), ["doc_id", "kind", "said"])
+    near = near.groupBy(*pair).agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in ("org", "location")])
     common = identities.select("identity_id", names.is_common(names.tokens(F.col("name"))).alias("common"))
     out = base.join(near, pair, "left").join(types, "doc_id").join(common, "identity_id")
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)

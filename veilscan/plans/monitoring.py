@@ -272,9 +272,33 @@ def _staged(rows, spark):
     return spark.readStream.schema(rows.schema).parquet(root)
 
 
+def _stateful(spark):
+    """A session beside this one, for streams whose state has timers or expires."""
+    own = spark.newSession()
+    for key, value in S.PROVIDER.items():
+        own.conf.set(key, value)
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(key, spark.conf.get(key))
+    return own
+
+
 @query(SQL["lifecycle_with_remediation"])
 def stream_lifecycle(spark, sf_dir):
-    return _drained(S.lifecycle_stream(_staged(ticks(spark, sf_dir), spark)), spark)
+    own = _stateful(spark)
+    return _drained(S.lifecycle_stream(_staged(ticks(own, sf_dir), own)), spark)
+
+
+@query("""WITH e AS (SELECT user_id * 100 + date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS scan_id, ts, event_type FROM events WHERE event_type IN ('signup', 'click', 'purchase')),
+b AS (SELECT scan_id, min(ts) FILTER (event_type = 'click') AS run, min(ts) FILTER (event_type = 'signup') AS queued, min(ts) FILTER (event_type = 'purchase') AS done FROM e GROUP BY 1),
+w AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM e)
+SELECT scan_id, CASE WHEN done IS NOT NULL THEN 'COMPLETED' ELSE 'PARTIAL' END AS status FROM b, w WHERE done IS NOT NULL OR coalesce(run, queued) + INTERVAL 10 MINUTE <= mark""")
+def stream_stale_scans(spark, sf_dir):
+    """A user's day as a scan: queued, running and completed by its events; timers close those that don't end."""
+    own = _stateful(spark)
+    e = events(own, sf_dir).filter("source in ('signup', 'click', 'purchase')")
+    status = F.when(F.col("source") == "signup", "QUEUED").when(F.col("source") == "click", "RUNNING").otherwise("COMPLETED")
+    rows = e.select((F.col("identity") * 100 + F.col("scan")).cast("long").alias("scan_id"), status.alias("status"), F.col("ts").cast("timestamp").alias("ts"))
+    return _drained(S.stale_stream(_staged(rows, own)), spark).select("scan_id", "status")
 
 
 @query("""SELECT user_id AS "user", event_type AS kind, count(*) AS n, count(*) > 2 AS exceeded FROM events WHERE ts < (SELECT time_bucket(INTERVAL 24 HOURS, max(ts) - INTERVAL 1 DAY, TIMESTAMP '1970-01-01') FROM events) GROUP BY user_id, event_type, time_bucket(INTERVAL 24 HOURS, ts, TIMESTAMP '1970-01-01')""")

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SEARCHES = "struct<searches:array<struct<person_id:string,query:string,results:array<struct<title:string,url:string,snippet:string,position:int>>>>>"
 BREACHES = "struct<breaches:array<struct<email:string,breach_name:string,severity:string,passwords_included:boolean,exposure_type:string,occurred_at:string,record_count:long>>>"
@@ -93,10 +93,10 @@ def ground_truth(raw: DataFrame, column: str = "json") -> DataFrame:
 
 
 def report(summary: DataFrame, by_person: DataFrame, mismatched: DataFrame, path: str) -> None:
-    """An evaluation report as one JSON object: totals, counts by person, the entries that differ. A report lists what people read; counts are not bounded by it."""
-    people = by_person.agg(F.array_sort(F.collect_list(F.struct(*by_person.columns))).alias("by_person"))
-    wrong = mismatched.agg(F.array_sort(F.collect_list(F.struct(*mismatched.columns))).alias("mismatches"))
-    summary.agg(*[F.first(c).alias(c) for c in summary.columns]).select(F.struct("*").alias("summary")).crossJoin(people).crossJoin(wrong).coalesce(1).write.mode("overwrite").json(path)
+    """An evaluation report as JSON lines: a ``summary`` row, a row for each person and one for each entry that differs, each
+    named by its ``kind``. Rows are written where they are, however many entries differ."""
+    parts = [df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("value")) for kind, df in (("summary", summary), ("person", by_person), ("mismatch", mismatched))]
+    parts[0].unionByName(parts[1]).unionByName(parts[2]).write.mode("overwrite").partitionBy("kind").text(path)
 
 
 def corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -126,34 +126,72 @@ def publish(rows: DataFrame, root: str, version: int) -> str:
 
 
 class RecordedSearch(DataSource):
-    """Folders of recorded search answers as a source: ``spark.read.format("recorded_search").load(folder)``."""
+    """Folders of recorded search answers as a source: ``spark.read.format("recorded_search").load(folder)``, or ``readStream``.
+
+    A row for each result with a link: person_id, query, title (the link where there is none), url, snippet, position. A
+    stream takes files in order of their time of change, then name; its offset is the last file taken, so it goes on after a
+    stop without loss or repeat. Files are written once."""
 
     @classmethod
     def name(cls) -> str:
         return "recorded_search"
 
     def schema(self) -> str:
-        return "query string, title string, url string, position int"
+        return "person_id string, query string, title string, url string, snippet string, position int"
 
     def reader(self, schema) -> DataSourceReader:
         return _Files(self.options["path"])
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _NewFiles(self.options["path"])
+
+
+def _listed(path: str) -> list[tuple[int, str]]:
+    """(time of change, path) of the JSON files of a folder, in order."""
+    from pyarrow import fs
+
+    where, top = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    return sorted((f.mtime_ns, f.path) for f in where.get_file_info(fs.FileSelector(top)) if f.path.endswith(".json"))
+
+
+def _results(root: str, path: str):
+    from pyarrow import fs
+
+    where, _ = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    with where.open_input_stream(path) as f:
+        for s in json.loads(f.read()).get("searches") or []:
+            for i, r in enumerate(s.get("results") or [], 1):
+                if r.get("url"):
+                    yield s.get("person_id"), s.get("query"), r.get("title") or r["url"], r["url"], r.get("snippet") or "", r.get("position") or i
+
 
 class _Files(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow import fs
-
-        where, path = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-        return [InputPartition(f.path) for f in where.get_file_info(fs.FileSelector(path)) if f.path.endswith(".json")]
+        return [InputPartition(f) for _, f in _listed(self.path)]
 
     def read(self, partition: InputPartition):
-        from pyarrow import fs
+        return _results(self.path, partition.value)
 
-        where, _ = fs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
-        with where.open_input_stream(partition.value) as f:
-            for s in json.loads(f.read())["searches"]:
-                for i, r in enumerate(s["results"], 1):
-                    yield s["query"], r.get("title") or r["url"], r["url"], r.get("position") or i
+
+class _NewFiles(DataSourceStreamReader):
+    """Offsets are {"time", "file"} of the last file taken."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def initialOffset(self) -> dict:
+        return {"time": -1, "file": ""}
+
+    def latestOffset(self) -> dict:
+        files = _listed(self.path)
+        return {"time": files[-1][0], "file": files[-1][1]} if files else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        lo, hi = (start["time"], start["file"]), (end["time"], end["file"])
+        return [InputPartition(f[1]) for f in _listed(self.path) if lo < f <= hi] or [InputPartition(None)]
+
+    def read(self, partition: InputPartition):
+        return _results(self.path, partition.value) if partition.value else iter(())

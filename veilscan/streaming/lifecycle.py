@@ -5,7 +5,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 CLOSES = 3
 
@@ -24,26 +24,135 @@ def advance(state: str | None, absences: int, seen: bool, marked: bool) -> tuple
     return ("CLOSED" if absences + 1 >= CLOSES else "NOT_FOUND"), absences + 1, False
 
 
-def lifecycle_stream(ticks: DataFrame) -> DataFrame:
-    """States of findings from a stream of (identity, source, entity, scan, seen, marked) rows, one for each scan that evaluated the finding's source.
+#: The state store that typed state, timers and expiry need; a session that runs these streams must name it.
+PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Minutes after which a scan is stale; hours for which an answer is kept.
+STALE_MINUTES, CACHE_HOURS = 10, 6
+
+
+class Lifecycle(StatefulProcessor):
+    """State, absences and last scan of one finding; stored findings may be given as initial state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.finding = handle.getValueState("finding", "state string, absences int, last int")
 
-    Rows of one batch are applied by scan; a row not after the last applied scan is dropped."""
+    def handleInitialState(self, key, initial, timerValues) -> None:
+        for r in initial.itertuples():
+            self.finding.update((r.state, int(r.absences), int(r.last)))
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, absences, last = state.get if state.exists else (None, 0, -1)
-        rows = pd.concat(list(batches)).sort_values(["scan", "seen"])
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, absences, last = self.finding.get() or (None, 0, -1)
+        got = pd.concat(list(rows)).sort_values(["scan", "seen"])
         out = []
-        for scan, seen, marked in zip(rows["scan"], rows["seen"], rows["marked"]):
+        for scan, seen, marked in zip(got["scan"], got["seen"], got["marked"]):
             if scan <= last or (now is None and not seen):
                 continue
             now, absences, _ = advance(now, absences, bool(seen), bool(marked))
             last = int(scan)
             out.append((*key, last, now, absences))
         if now is not None:
-            state.update((now, int(absences), last))
+            self.finding.update((now, int(absences), int(last)))
         yield pd.DataFrame(out, columns=["identity", "source", "entity", "scan", "state", "absences"])
 
-    return ticks.groupBy("identity", "source", "entity").applyInPandasWithState(update, "identity long, source string, entity string, scan int, state string, absences int", "state string, absences int, last int", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def lifecycle_stream(ticks: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """States of findings from a stream of (identity, source, entity, scan, seen, marked) rows, one for each scan that evaluated the finding's source.
+
+    Rows of one batch are applied by scan; a row not after the last applied scan is dropped. ``stored``: findings (identity,
+    source, entity, state, absences, last) to begin with, a batch table. The session must name ``PROVIDER``."""
+    keys = ["identity", "source", "entity"]
+    begin = stored.select(*keys, "state", "absences", "last").groupBy(*keys) if stored is not None else None
+    return ticks.groupBy(*keys).transformWithStateInPandas(Lifecycle(), "identity long, source string, entity string, scan int, state string, absences int", "append", "none", begin)
+
+
+class StaleScans(StatefulProcessor):
+    """A timer for each scan under way: what has not ended when it fires is closed as PARTIAL."""
+
+    def __init__(self, minutes: int):
+        self.minutes = minutes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.since = handle.getValueState("since", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows))
+        ended = got[~got["status"].isin(["QUEUED", "RUNNING"])]
+        out = []
+        if len(ended):
+            self._forget()
+            first = ended.sort_values(["ts", "status"]).iloc[0]
+            out.append((*key, first["status"], first["ts"]))
+        else:
+            # a scan counts from when it started to run, else from when it was queued
+            running = got[got["status"] == "RUNNING"]
+            at = int((running if len(running) else got)["ts"].min().timestamp() * 1000)
+            if not self.since.exists() or len(running):
+                self._forget()
+                self.since.update((at,))
+                self.handle.registerTimer(at + self.minutes * 60_000)
+        yield pd.DataFrame(out, columns=["scan_id", "status", "ts"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        self.since.clear()
+        yield pd.DataFrame([(*key, "PARTIAL", pd.Timestamp(at, unit="ms"))], columns=["scan_id", "status", "ts"])
+
+    def _forget(self) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.since.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def stale_stream(scans: DataFrame, late: str = "1 day", minutes: int = STALE_MINUTES) -> DataFrame:
+    """How scans end, from a stream of (scan_id, status, ts): as they say, or as PARTIAL once the watermark passes ``minutes``
+    after they began. The session must name ``PROVIDER``."""
+    marked = scans.withWatermark("ts", late)
+    return marked.groupBy("scan_id").transformWithStateInPandas(StaleScans(minutes), "scan_id long, status string, ts timestamp", "append", "EventTime")
+
+
+class Cached(StatefulProcessor):
+    """The time of the answer that is kept for one key, until a timer drops it."""
+
+    def __init__(self, hours: int):
+        self.kept = hours * 3_600_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.answer = handle.getValueState("answer", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        out = []
+        at = self.answer.get()[0] if self.answer.exists() else None
+        for ts in pd.concat(list(rows))["ts"].sort_values():
+            now = int(ts.timestamp() * 1000)
+            hit = at is not None and now - at < self.kept
+            at = at if hit else now
+            out.append((*key, ts, hit))
+        self.answer.update((at,))
+        self.handle.registerTimer(at + self.kept)
+        yield pd.DataFrame(out, columns=["key", "ts", "hit"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.answer.exists() and self.answer.get()[0] + self.kept <= expiredTimerInfo.getExpiryTimeInMs():
+            self.answer.clear()
+        yield pd.DataFrame([], columns=["key", "ts", "hit"])
+
+    def close(self) -> None:
+        pass
+
+
+def cache_stream(lookups: DataFrame, late: str = "1 day", hours: int = CACHE_HOURS) -> DataFrame:
+    """Lookups (key string, ts) with ``hit``: whether an answer to the key is kept that is younger than ``hours`` at that time. A
+    miss fetches one. Answers go from the store once the watermark passes their end. The session must name ``PROVIDER``."""
+    rows = lookups.withWatermark("ts", late).groupBy("key")
+    return rows.transformWithStateInPandas(Cached(hours), "key string, ts timestamp, hit boolean", "append", "EventTime")
 
 
 def quota_stream(calls: DataFrame, limit: int, late: str = "1 day", length: str = "24 hours") -> DataFrame:
