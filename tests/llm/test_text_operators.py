@@ -451,6 +451,15 @@ def test_license_texts_are_told_by_their_wording(spark):
     assert "mit" not in got["isc"] and "bsd" not in got["bsd-3-clause"]
 
 
+def test_license_identifiers_have_their_own_labels(spark):
+    ids = ["Apache-2.0", "MIT", "MIT-0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "ISC", "CC0-1.0", "Unlicense"]
+    ids += [f"{a}{b}" for a in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for b in ("", "-only", "-or-later")]
+    docs = spark.createDataFrame([(i, f"// SPDX-License-Identifier: {x}\nint main;") for i, x in enumerate(ids)], "doc_id long, text string")
+    got = {ids[r["doc_id"]]: (r["labels"], r["score"]) for r in op7_license_scan.scan(docs).collect()}
+    assert {x: label for x, (label, _) in got.items()} == {x: x.lower().removesuffix("-only") for x in ids}
+    assert all(0.9 < score <= 1 for _, score in got.values())
+
+
 def test_many_detections_take_linear_time(spark):
     import time
 

@@ -254,14 +254,20 @@ beerware | beerware | 66 | beerware(?: license)?
 beerware | buy me a beer | 90 | you can buy me a beer in return
 json | good not evil | 92 | the software shall be used for good not evil
 apache-2.0 | spdx license identifier apache | 100 | spdx license identifier apache 2 0
-mit | spdx license identifier mit | 100 | spdx license identifier mit(?: 0)?
+mit | spdx license identifier mit | 99 | spdx license identifier mit
+mit-0 | spdx license identifier mit | 100 | spdx license identifier mit 0
 bsd-3-clause | spdx license identifier bsd | 100 | spdx license identifier bsd 3 clause
 bsd-2-clause | spdx license identifier bsd | 100 | spdx license identifier bsd 2 clause
-gpl-2.0 | spdx license identifier gpl | 100 | spdx license identifier gpl 2 0(?: only| or later)?
-gpl-3.0 | spdx license identifier gpl | 100 | spdx license identifier gpl 3 0(?: only| or later)?
-lgpl-2.1 | spdx license identifier lgpl | 100 | spdx license identifier lgpl 2 1(?: only| or later)?
-lgpl-3.0 | spdx license identifier lgpl | 100 | spdx license identifier lgpl 3 0(?: only| or later)?
-agpl-3.0 | spdx license identifier agpl | 100 | spdx license identifier agpl 3 0(?: only| or later)?
+gpl-2.0 | spdx license identifier gpl | 99 | spdx license identifier gpl 2 0(?: only)?
+gpl-2.0-or-later | spdx license identifier gpl | 100 | spdx license identifier gpl 2 0 or later
+gpl-3.0 | spdx license identifier gpl | 99 | spdx license identifier gpl 3 0(?: only)?
+gpl-3.0-or-later | spdx license identifier gpl | 100 | spdx license identifier gpl 3 0 or later
+lgpl-2.1 | spdx license identifier lgpl | 99 | spdx license identifier lgpl 2 1(?: only)?
+lgpl-2.1-or-later | spdx license identifier lgpl | 100 | spdx license identifier lgpl 2 1 or later
+lgpl-3.0 | spdx license identifier lgpl | 99 | spdx license identifier lgpl 3 0(?: only)?
+lgpl-3.0-or-later | spdx license identifier lgpl | 100 | spdx license identifier lgpl 3 0 or later
+agpl-3.0 | spdx license identifier agpl | 99 | spdx license identifier agpl 3 0(?: only)?
+agpl-3.0-or-later | spdx license identifier agpl | 100 | spdx license identifier agpl 3 0 or later
 mpl-2.0 | spdx license identifier mpl | 100 | spdx license identifier mpl 2 0
 isc | spdx license identifier isc | 100 | spdx license identifier isc
 cc0-1.0 | spdx license identifier cc0 | 100 | spdx license identifier cc0 1 0
