@@ -162,10 +162,10 @@ def test_chunks(spark):
 def test_chunks_of_whole_texts(spark):
     for n in (0, 1, 121, 1200, 1201, 21720, 21721, 128657):
         long = "".join(chr(97 + i * i % 25) for i in range(n))
-        whole = column(spark, [long], lambda c: text.chunks(c, None))[0]
+        whole = column(spark, [long], text.chunks)[0]
         assert "".join(c["text"] if i == 0 else c["text"][120:] for i, c in enumerate(whole)) == long
         assert not any(c["partial"] for c in whole)
-        cut = column(spark, [long], text.chunks)[0]
+        cut = column(spark, [long], lambda c: text.chunks(c, text.WINDOWS))[0]
         assert [c["text"] for c in cut] == [c["text"] for c in whole[:20]]
         assert {c["partial"] for c in cut} == {n > 21720}
 

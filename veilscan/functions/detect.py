@@ -143,8 +143,9 @@ def aadhaars(text: Column) -> Column:
     fits = F.filter(spans(text, AADHAAR), lambda s: ~digits(s).rlike(r"^(\d)\1{11}$"))
 
     def made(s: Column) -> Column:
-        ok = checksum_ok(digits(s))
-        return _span("AADHAAR", s, digits(s), F.when(ok, 0.98).otherwise(0.40), F.when(ok, F.array(F.lit("regex"), F.lit("checksum"))).otherwise(F.array(F.lit("regex"))))
+        # the check is computed once for each span, and its digits once for the check
+        known = lambda d, ok: _span("AADHAAR", s, d, F.when(ok, 0.98).otherwise(0.40), F.when(ok, F.array(F.lit("regex"), F.lit("checksum"))).otherwise(F.array(F.lit("regex"))))
+        return let(let(digits(s), lambda d: F.struct(d.alias("d"), checksum_ok(d).alias("ok"))), lambda x: known(x["d"], x["ok"]))
 
     return _gated(F.transform(fits, made), text.rlike(r"\d{4}[ -]?\d{4}[ -]?\d{4}"))
 

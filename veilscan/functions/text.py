@@ -38,8 +38,8 @@ def html_to_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"[\s ]+", " "))
 
 
-def chunks(text: Column, windows: int | None = WINDOWS) -> Column:
-    """Overlapping windows of a text: number, start, text, partial. None covers the whole text; of at most ``windows`` windows, a tail beyond them makes each of them partial."""
+def chunks(text: Column, windows: int | None = None) -> Column:
+    """Overlapping windows of a whole text: number, start, text, partial. With at most ``windows`` of them (a recognizer reads ``WINDOWS``), a tail beyond makes each of them partial."""
     n = F.length(text)
     starts = F.sequence(F.lit(0), F.greatest(n - OVERLAP - 1, F.lit(0)), F.lit(WIDTH - OVERLAP))
     partial = F.lit(False) if windows is None else F.size(starts) > windows

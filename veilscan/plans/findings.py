@@ -366,3 +366,53 @@ def stream_persisted(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("scan_id"), F.col("event_type").alias("source"), "event_id")
     S.apply_scans(_staged(rows, spark), lambda batch, number: records.publish(batch, out, number), new_path(spark, "log")).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(out).groupBy("source", "scan_id").agg(F.count("*").alias("n"))
+
+
+_LETTERS = "lower(left(p_name, 5))"
+
+
+@query(f"""WITH a AS (SELECT DISTINCT {_LETTERS} AS inner_text FROM part UNION SELECT DISTINCT 'd ' || left(split_part(p_name, ' ', 2), 3) FROM part), b AS (SELECT DISTINCT p_name || ' of ' || (p_partkey % 300) AS outer_text FROM part)
+SELECT inner_text, outer_text FROM a JOIN b ON contains(outer_text, inner_text)""")
+def contained_names(spark, sf_dir):
+    """Pieces of names, some of two words, and the names that they lie in."""
+    from ..operators.contain import containing
+
+    p = table(spark, sf_dir, "part")
+    inner = p.select(F.lower(F.left("p_name", F.lit(5))).alias("inner_text")).union(p.select(F.concat(F.lit("d "), F.left(F.split("p_name", " ")[1], F.lit(3)))))
+    outer = p.select(F.concat("p_name", F.lit(" of "), (F.col("p_partkey") % 300).cast("string")).alias("outer_text"))
+    return containing(inner, outer, "inner_text", "outer_text")
+
+
+@query(SQL["upsert_fingerprints"])
+def upsert_committed(spark, sf_dir):
+    """As ``upsert_fingerprints``, in a committed table: the first days as one version, later ones on top of the buckets that they touch."""
+    from ..sources import committed
+    from ..sources.scratch import new_path
+
+    where = new_path(spark, "committed")
+    e = table(spark, sf_dir, "events").select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("fingerprint"), F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("scan"), F.when(F.col("value") > 50, "HIGH").otherwise("LOW").alias("severity"), "user_id")
+    shape = "fingerprint string, severity string, first_scan int, last_scan int"
+    first = e.filter("scan < 12 and user_id % 3 > 0").groupBy("fingerprint").agg(F.max_by("severity", F.struct("scan", "severity")).alias("severity"), F.min("scan").cast("int").alias("first_scan"), F.max("scan").cast("int").alias("last_scan"))
+    committed.write(first, where, "fingerprint", 16, "first")
+    later = e.filter("scan >= 12 and user_id % 5 > 0").select("fingerprint", "severity", "scan")
+    stored = spark.createDataFrame([], shape).schema
+    committed.upsert(later, where, "fingerprint", lambda old, new: M.upserted(old, new).select(*stored.names), 16, "later", stored)
+    return committed.read(spark, where, stored)
+
+
+@query("""WITH p AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) AS position FROM pages)
+SELECT 'person' || (page_id // 50) AS person_id, 'search' AS query, url AS title, url, 's' || page_id AS snippet, CAST(position AS INTEGER) AS position FROM p""")
+def stream_recorded_searches(spark, sf_dir):
+    """Pages recorded as search answers in files of a shared folder, read as a stream of discovery rows."""
+    from ..sources.scratch import new_path
+    from .monitoring import _drained
+
+    where = new_path(spark, "searches")
+    p = table(spark, sf_dir, "pages").withColumn("g", F.floor(F.col("page_id") / 50))
+    result = F.struct("page_id", F.struct("url", F.concat(F.lit("s"), F.col("page_id").cast("string")).alias("snippet")).alias("r"))
+    answers = p.groupBy("g").agg(F.array_sort(F.collect_list(result)).alias("rs"))
+    search = F.struct(F.concat(F.lit("person"), F.col("g").cast("string")).alias("person_id"), F.lit("search").alias("query"), F.transform("rs", lambda x: x["r"]).alias("results"))
+    # a file for each answer
+    answers.select("g", F.array(search).alias("searches")).repartition(8, "g").write.partitionBy("g").option("maxRecordsPerFile", 1).json(where)
+    spark.dataSource.register(records.RecordedSearch)
+    return _drained(spark.readStream.format("recorded_search").load(where), spark)

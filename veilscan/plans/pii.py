@@ -102,7 +102,7 @@ def redact_documents(spark, sf_dir):
     return d.select("doc_id", F.size("found").alias("n"), F.when(F.size("found") > 0, N.redacted(F.col("text"), F.col("found"))).otherwise(F.col("text")).alias("redacted"))
 
 
-@query("""WITH s AS (SELECT doc_id, text, unnest(generate_series(0, least(greatest(length(text) - 121, 0), 19 * 1080), 1080)) AS start FROM documents)
+@query("""WITH s AS (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 121, 0), 1080)) AS start FROM documents)
 SELECT doc_id, CAST(start // 1080 AS INTEGER) AS number, CAST(start AS INTEGER) AS start, substr(text, CAST(start AS INTEGER) + 1, 1200) AS chunk FROM s""")
 def doc_chunks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c"))
@@ -112,11 +112,19 @@ def doc_chunks(spark, sf_dir):
 @query("""WITH s AS (SELECT doc_id, text, unnest(generate_series(0, greatest(length(text) - 121, 0), 1080)) AS start FROM documents)
 SELECT doc_id, CAST(start // 1080 AS INTEGER) AS number, CAST(start AS INTEGER) AS start, substr(text, CAST(start AS INTEGER) + 1, 1200) AS chunk, FALSE AS partial FROM s""")
 def doc_chunks_whole(spark, sf_dir):
-    """As ``doc_chunks``, whose SQL stops after 20 windows, over the whole text."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"), None)).alias("c"))
+    """As ``doc_chunks``, with the flag of a recognizer's limit, which is none here."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"))).alias("c"))
     return d.select("doc_id", F.col("c.number").cast("int").alias("number"), "c.start", F.col("c.text").alias("chunk"), "c.partial")
 
 
+@query("""WITH s AS (SELECT doc_id, length(text) AS n, unnest(generate_series(0, least(greatest(length(text) - 121, 0), 19 * 1080), 1080)) AS start FROM documents)
+SELECT doc_id, count(*) AS windows, max(n) - 121 >= 20 * 1080 AS partial FROM s GROUP BY doc_id""")
+def recognizer_windows(spark, sf_dir):
+    """Windows that a recognizer of at most 20 windows reads of each document, and whether a tail is left."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.chunks(F.col("text"), T.WINDOWS)).alias("c"))
+    return d.groupBy("doc_id").agg(F.count("*").alias("windows"), F.bool_or("c.partial").alias("partial"))
+
+
 @query("""SELECT doc_id, left(text, 2000) AS preview, length(text) > 20000 AS truncated, length(left(text, 20000)) AS n_read, sha256(text) AS sha FROM documents""")
 def doc_truncate_preview(spark, sf_dir):
     t = F.col("text")

@@ -137,13 +137,13 @@ def write(rows: DataFrame, path: str, key: str, buckets: int = 64, batch: str |
     out.hint("rebalance", BUCKET).write.format(NAME).options(**options).mode("append").save()
 
 
-def upsert(rows: DataFrame, path: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64, batch: str | None = None) -> None:
+def upsert(rows: DataFrame, path: str, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = 64, batch: str | None = None, schema: StructType | None = None) -> None:
     """Stored rows of the buckets that ``rows`` touch, merged with them by ``merge(stored, rows)``, as a new version. The other
-    buckets' files are neither read nor written. A batch that was committed before changes nothing."""
+    buckets' files are neither read nor written. ``schema`` is that of stored rows, where it isn't that of ``rows``. A batch that was committed before changes nothing."""
     spark = rows.sparkSession
     if batch is not None and batch in latest(path)["batches"]:
         return
     touched = sorted(r[BUCKET] for r in rows.select(bucket_of(F.col(key), buckets)).distinct().collect())  # at most ``buckets``
     if touched:
-        stored = read(spark, path, StructType([*rows.schema.fields]), touched)
+        stored = read(spark, path, schema or rows.schema, touched)
         write(merge(stored, rows), path, key, buckets, batch, ",".join(map(str, touched)))

@@ -151,7 +151,7 @@ def _listed(path: str) -> list[tuple[int, str]]:
     from pyarrow import fs
 
     where, top = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return sorted((f.mtime_ns, f.path) for f in where.get_file_info(fs.FileSelector(top)) if f.path.endswith(".json"))
+    return sorted((f.mtime_ns, f.path) for f in where.get_file_info(fs.FileSelector(top, recursive=True)) if f.path.endswith(".json"))
 
 
 def _results(root: str, path: str):
