@@ -96,6 +96,12 @@ def actions(kind: Column, types: Column, label: Column, codes: Column, opt_out:
     return F.when(F.size(ordered) == 0, F.array(F.lit("REVIEW_VISIBILITY"))).otherwise(ordered)
 
 
+def tasks(codes: Column, opt_out: Column, instructions: Column) -> Column:
+    """Action codes as what is to be done: array<struct<action, opt_out_url, instructions>>; the broker's page and how it wants to be asked belong to opting out alone."""
+    own = lambda a, x: F.when(a == "OPT_OUT_BROKER", x)
+    return F.transform(codes, lambda a: F.struct(a.alias("action"), own(a, opt_out).alias("opt_out_url"), own(a, instructions).alias("instructions")))
+
+
 def exposure_type(types: Column) -> Column:
     """The default type by the gravest kind of identifier."""
     has = lambda *n: F.arrays_overlap(types, F.array(*[F.lit(x) for x in n]))

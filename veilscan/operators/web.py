@@ -18,7 +18,7 @@ def suffixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
 
 
-def broker_match(hosts: DataFrame, catalog: DataFrame, host_column: str = "host", aliases: bool = False) -> DataFrame:
+def broker_match(hosts: DataFrame, catalog: DataFrame, host_column: str = "host", aliases: bool = False, more: tuple = ()) -> DataFrame:
     """``hosts`` (distinct) with the broker of each: an exact domain first, then suffixes, by catalog order; with ``aliases`` other domains count too and catalog order alone decides.
 
     A suffix match is an equal key once suffixes are exploded. The catalog is a stated dimension."""
@@ -26,8 +26,16 @@ def broker_match(hosts: DataFrame, catalog: DataFrame, host_column: str = "host"
     found = hosts.select(host_column).distinct().withColumn("suffix", F.explode(suffixes(F.lower(F.col(host_column))))).join(known, F.col("suffix") == F.lower("domain_key"))
     exact = (F.col("suffix") == F.lower(F.col(host_column))).cast("int")
     order = F.struct("position") if aliases else F.struct((1 - exact).alias("inexact"), "position")
-    best = found.groupBy(host_column).agg(F.min_by(F.struct("name", "domain", "opt_out_url"), order).alias("b"))
-    return best.select(host_column, F.col("b.name").alias("broker"), F.col("b.domain").alias("broker_domain"), F.col("b.opt_out_url").alias("opt_out_url"))
+    best = found.groupBy(host_column).agg(F.min_by(F.struct("name", "domain", "opt_out_url", *more), order).alias("b"))
+    return best.select(host_column, F.col("b.name").alias("broker"), F.col("b.domain").alias("broker_domain"), F.col("b.opt_out_url").alias("opt_out_url"), *[F.col(f"b.{c}").alias(c) for c in more])
+
+
+def opt_outs(findings: DataFrame, catalog: DataFrame, host_column: str = "host", stated: str = "opt_out_url") -> DataFrame:
+    """Findings with ``opt_out`` and ``instructions`` of their broker: a page stated with the finding wins over the catalog's;
+    instructions are the catalog's either way. Null where the host is of no broker. Columns keep their names."""
+    known = broker_match(findings.select(host_column), catalog, host_column, more=("instructions",)).select(F.col(host_column).alias("__host"), F.col("opt_out_url").alias("__url"), F.col("instructions").alias("__how"))
+    both = findings.join(known, F.col(host_column) == F.col("__host"), "left")
+    return both.select(*findings.columns, F.coalesce(F.col(stated), "__url").alias("opt_out"), F.col("__how").alias("instructions"))
 
 
 def best_evidence(findings: DataFrame, key: str = "broker", tier: str = "tier", position: str = "position") -> DataFrame:

@@ -75,7 +75,7 @@ def owners(found_):
 
 @query(f"WITH i AS ({_ID}), m AS (SELECT DISTINCT doc_id, lower(raw) AS mail FROM ({_MAILS})) SELECT DISTINCT identity_id, doc_id FROM i JOIN m USING (mail)")
 def match_email(spark, sf_dir):
-    f = found(spark, sf_dir, D.emails)
+    f = written(found(spark, sf_dir, D.emails))
     s = E.signals(owners(f), f)
     return s.filter("email").select("identity_id", "doc_id")
 
@@ -87,7 +87,7 @@ _PHONE_SQL = r"SELECT DISTINCT doc_id, regexp_replace(raw, '[^0-9]', '', 'g') AS
 SELECT DISTINCT identity_id, doc_id, identity_id % 2 = 0 AS phone, identity_id % 2 = 1 AS attested FROM i JOIN p USING (d)""")
 def match_phone(spark, sf_dir):
     """An identity for each number; every second is verified."""
-    f = found(spark, sf_dir, D.phones).filter("normalized like '+1%'")
+    f = written(found(spark, sf_dir, D.phones).filter("normalized like '+1%'"))
     i = owners(f).withColumn("phone", F.trim("email")).withColumn("email", F.lit(None).cast("string")).withColumn("is_phone_verified", F.col("identity_id") % 2 == 0)
     s = E.signals(i, f)
     return s.filter("phone or attested").select("identity_id", "doc_id", "phone", "attested").distinct()
@@ -113,7 +113,7 @@ def match_username(spark, sf_dir):
 SELECT DISTINCT identity_id, doc_id, 'PUBLIC_EMAIL' AS exposure_type, CAST(0.9 AS DOUBLE) AS confidence, 'CONFIRMED' AS match_label, 'MEDIUM' AS severity, 50 AS rank, 'TARGETED_PHISHING' AS threats, 'REQUEST_REMOVAL,REVIEW_VISIBILITY' AS actions FROM i JOIN m USING (mail)""")
 def correlate_flagship(spark, sf_dir):
     """Addresses in documents, resolved to identities and judged."""
-    f = found(spark, sf_dir, D.emails)
+    f = written(found(spark, sf_dir, D.emails))  # one pass over texts: identities are made of the same values
     o = E.outcomes(E.signals(owners(f), f).distinct())
     return o.select("identity_id", "doc_id", "exposure_type", "confidence", "match_label", "severity", "rank", F.array_join("threats", ",").alias("threats"), F.array_join("actions", ",").alias("actions"))
 
@@ -130,6 +130,23 @@ def monitored(spark, sf_dir):
     return i, written(e)
 
 
+@query("""WITH c AS (SELECT c_custkey AS k, '9' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS phone, c_custkey % 2 = 0 AS verified FROM customer), p AS (SELECT doc_id, k, doc_id % 3 <> 1 AS email, doc_id % 3 <> 0 AS said, verified FROM documents JOIN c ON k = doc_id % 100)
+SELECT k AS identity_id, doc_id, email, said AND verified AS phone, said AND NOT verified AS attested, CAST(CASE WHEN email OR verified THEN 0.9 ELSE 0.6 END AS DOUBLE) AS confidence, CASE WHEN email OR verified THEN 'CONFIRMED' ELSE 'POTENTIAL' END AS match_label FROM p""")
+def correlate_planted(spark, sf_dir):
+    """Customers, resolved to documents that name their address or phone: whole texts with a line added, read by the detectors."""
+    k = F.col("c_custkey")
+    phone = F.concat(F.lit("9"), F.lpad(k.cast("string"), 9, "0"))
+    i = table(spark, sf_dir, "customer").select(k.alias("identity_id"), F.concat(F.lit("u"), k.cast("string"), F.lit("@mail.example")).alias("email"), phone.alias("phone"), (k % 2 == 0).alias("is_phone_verified"), *[F.lit(None).cast("string").alias(n) for n in ("name", "username", "organization", "location")])
+    d = F.col("doc_id")
+    who = d % 100
+    mail = F.when(d % 3 != 1, F.concat(F.lit("\nWrite to U"), who.cast("string"), F.lit("@mail.example now.")))
+    call = F.when(d % 3 != 0, F.concat(F.lit("\nCall +91 9"), F.lpad(who.cast("string"), 9, "0"), F.lit(" now.")))
+    text = F.concat(F.coalesce("text", F.lit("")), F.coalesce(mail, F.lit("")), F.coalesce(call, F.lit("")))
+    e = table(spark, sf_dir, "documents").select("doc_id", F.explode(D.detect(text, (D.emails, D.phones))).alias("s")).select("doc_id", "s.type", "s.normalized")
+    m = written(E.signals(i, e))
+    return m.select("identity_id", "doc_id", "email", "phone", "attested").join(E.outcomes(m).select("identity_id", "doc_id", "confidence", "match_label"), ["identity_id", "doc_id"])
+
+
 @query()
 def correlate_identities(spark, sf_dir):
     """Customers, resolved to the documents that any of their signals link and judged; one without a document has a row without one. ``correlate_flagship`` is its part for addresses that documents hold."""

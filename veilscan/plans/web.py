@@ -82,6 +82,21 @@ def broker_optout(spark, sf_dir):
     return p.join(web.broker_match(p, brokers(spark)), "host", "left").select("page_id", F.coalesce("own", "opt_out_url").alias("opt_out"))
 
 
+@query(f"""WITH p AS (SELECT page_id, {_DOMAIN} AS host FROM pages), m AS (SELECT page_id, name, opt_out_url, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN host = domain THEN 0 ELSE 1 END, position) AS n FROM p, {_CATALOG} WHERE host = domain OR ends_with(host, '.' || domain))
+SELECT p.page_id, a.action, CASE WHEN a.action = 'OPT_OUT_BROKER' THEN coalesce(CASE WHEN p.page_id % 5 = 0 THEN 'https://own.example/out' END, opt_out_url) END AS opt_out_url, CASE WHEN a.action = 'OPT_OUT_BROKER' THEN 'Ask ' || name END AS instructions
+FROM p JOIN m ON p.page_id = m.page_id AND n = 1, (VALUES ('VERIFY_BEFORE_ACTION'), ('OPT_OUT_BROKER')) a(action)""")
+def broker_tasks(spark, sf_dir):
+    """What is to be done about pages of brokers, with the page to opt out at and how."""
+    from ..functions import rules
+
+    known = brokers(spark).withColumn("instructions", F.concat(F.lit("Ask "), "name"))
+    p = pages(spark, sf_dir).select("page_id", N.domain(F.col("url")).alias("host"), F.when(F.col("page_id") % 5 == 0, F.lit("https://own.example/out")).alias("opt_out_url"))
+    found = web.opt_outs(p, known).filter("instructions is not null")
+    kind, none = F.lit("DATA_BROKER_LISTING"), F.array().cast("array<string>")
+    codes = rules.actions(kind, none, F.lit("POTENTIAL"), none, F.col("opt_out"))
+    return found.select("page_id", F.explode(rules.tasks(codes, F.col("opt_out"), F.col("instructions"))).alias("t")).select("page_id", "t.*")
+
+
 @query(f"""SELECT page_id, regexp_matches({_HOST.replace('url', 'u')}, '(^|\\.)(linkedin|facebook|instagram|twitter|x)\\.com$') AS walled FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://in.linkedin.com/p' WHEN 1 THEN 'https://x.com/a' WHEN 2 THEN 'https://notx.com/' ELSE url END AS u FROM pages)""")
 def host_denylist(spark, sf_dir):
     k = F.col("page_id") % 4
