@@ -71,14 +71,10 @@ def mask_identifier(kind: Column, value: Column) -> Column:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """A text with each span (by start, without overlap) in its mask's place."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        before = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(s["end"].alias("at"), F.concat(acc["out"], before, mask(s["type"], s["raw"])).alias("out"))
-
-    return F.aggregate(found, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    """A text with each span (by start, without overlap) in its mask's place: what stands before each span with its mask, put together once."""
+    until = lambda i: F.coalesce(F.get(found, i - 1)["end"], F.lit(0))
+    parts = F.transform(found, lambda s, i: F.concat(F.substring(text, until(i) + 1, s["start"] - until(i)), mask(s["type"], s["raw"])))
+    return F.concat(F.array_join(parts, ""), F.substring(text, until(F.size(found)) + 1, F.length(text)))
 
 
 def host(url: Column) -> Column:

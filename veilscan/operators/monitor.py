@@ -223,6 +223,10 @@ def audit_safe(rows: DataFrame, metadata: str = "metadata", user: str = "user_id
     return rows.withColumn(metadata, safe).withColumn(user, F.sha2(F.col(user).cast("string"), 256))
 
 
+#: The words of the sentence that a list of findings shows.
+SENTENCE = (" was found on ", " as a ", " tied to one of your verified identifiers.")
+
+
 def finding_view(findings: DataFrame) -> DataFrame:
     """What a list of findings shows: defaults filled in, display status, sentence, primary evidence."""
     kind = F.lower(F.replace(F.col("exposure_type"), F.lit("_"), F.lit(" ")))
@@ -235,7 +239,7 @@ def finding_view(findings: DataFrame) -> DataFrame:
         F.when(F.coalesce(first["url"], F.lit("")) != "", "Document").otherwise("Snippet").alias("tier"),
         F.when(F.col("status").isin("REMEDIATED", "CLOSED"), "REMEDIATED").when(F.col("status") == "REAPPEARED", "REAPPEARED").otherwise("ACTIVE").alias("status"),
         F.date_format("created", "yyyy-MM-dd").alias("discovered"),
-        F.concat("entity_masked", F.lit(" was found on "), "source", F.lit(" as a "), kind, F.lit(" tied to one of your verified identifiers.")).alias("explanation"),
+        F.concat("entity_masked", F.lit(SENTENCE[0]), "source", F.lit(SENTENCE[1]), kind, F.lit(SENTENCE[2])).alias("explanation"),
     )
 
 
