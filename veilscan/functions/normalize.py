@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import let
 from ..sources.dims import TRACKING
 
 _DOTS = "••••"
@@ -72,9 +73,13 @@ def mask_identifier(kind: Column, value: Column) -> Column:
 
 def redacted(text: Column, found: Column) -> Column:
     """A text with each span (by start, without overlap) in its mask's place: what stands before each span with its mask, put together once."""
-    until = lambda i: F.coalesce(F.get(found, i - 1)["end"], F.lit(0))
-    parts = F.transform(found, lambda s, i: F.concat(F.substring(text, until(i) + 1, s["start"] - until(i)), mask(s["type"], s["raw"])))
-    return F.concat(F.array_join(parts, ""), F.substring(text, until(F.size(found)) + 1, F.length(text)))
+
+    def joined(spans: Column) -> Column:
+        until = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+        parts = F.transform(spans, lambda s, i: F.concat(F.substring(text, until(i) + 1, s["start"] - until(i)), mask(s["type"], s["raw"])))
+        return F.concat(F.array_join(parts, ""), F.substring(text, until(F.size(spans)) + 1, F.length(text)))
+
+    return let(found, joined)
 
 
 def host(url: Column) -> Column:
