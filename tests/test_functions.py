@@ -148,7 +148,7 @@ def test_page_text(spark):
 
 def test_chunks(spark):
     for n in (0, 1, 121, 1200, 1201, 2400, 30000):
-        got = column(spark, ["ab" * (n // 2) + "c" * (n % 2)], text.chunks)[0]
+        got = column(spark, ["ab" * (n // 2) + "c" * (n % 2)], lambda c: text.chunks(c, text.WINDOWS))[0]
         want, at = [], 0
         while len(want) < 20:
             want.append(at)
