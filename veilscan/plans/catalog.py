@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import discovery, findings, identity, monitoring, pii, web  # noqa: F401  (they register)
+from . import discovery, findings, identity, monitoring, pii, recorded, web  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 

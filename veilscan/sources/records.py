@@ -6,45 +6,67 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SEARCHES = "struct<searches:array<struct<person_id:string,query:string,results:array<struct<title:string,url:string,snippet:string,position:int>>>>>"
+from ..functions import variants as V
+
 BREACHES = "struct<breaches:array<struct<email:string,breach_name:string,severity:string,passwords_included:boolean,exposure_type:string,occurred_at:string,record_count:long>>>"
-METRICS = "struct<BreachMetrics:struct<get_details:array<struct<name:string,breach:string,xposed_date:string,xposed_data:array<string>>>,passwords_strength:map<string,int>>>"
 
 #: Fixed value: breaches that are reported of an email.
 MOST_BREACHES = 25
 
 
+#: The spellings that recorded and live answers use of a field.
+LINK, RESULTS = ("link", "url"), ("results", "organic")
+METRICS, BREACH_NAME = ("BreachMetrics", "breach_metrics"), ("name", "breach", "title")
+BREACH_DATE, BREACH_CLASSES = ("xposed_date", "breach_date", "date"), ("xposed_data", "data_classes", "dataClasses")
+
+
 def search_rows(raw: DataFrame, column: str = "json") -> DataFrame:
-    """Recorded searches as rows: results without a link go, titles default to it, positions count from 1."""
-    s = raw.select(F.explode(F.from_json(column, SEARCHES)["searches"]).alias("s"))
-    r = s.select("s.person_id", "s.query", F.posexplode("s.results").alias("i", "r")).filter(F.coalesce(F.col("r.url"), F.lit("")) != "")
-    return r.select("person_id", "query", F.coalesce("r.title", "r.url").alias("title"), "r.url", F.coalesce("r.snippet", F.lit("")).alias("snippet"), F.coalesce("r.position", F.col("i") + 1).alias("position"), F.when(F.col("r.url").rlike(r"(?i)[.]pdf([?#]|$)"), "pdf").otherwise("html").alias("content_type"))
+    """Search answers as rows, recorded (``searches`` of ``results``) or live (one list ``organic``): results without a link go,
+    titles default to it, positions count from 1. What else a result has is kept as JSON in ``other``. Answers that aren't JSON have no rows."""
+    v = raw.select(V.parsed(F.col(column)).alias("v"))
+    s = v.select(F.explode(F.coalesce(V.items(F.col("v"), "searches"), F.array("v"))).alias("s"))
+    r = s.select(V.any_text(F.col("s"), "person_id").alias("person_id"), V.any_text(F.col("s"), "query").alias("query"), F.posexplode(V.items(F.col("s"), *RESULTS)).alias("i", "r"))
+    r = r.withColumn("url", V.text(F.col("r"), *LINK)).filter("url is not null")
+    x = F.col("r")
+    return r.select("person_id", "query", F.coalesce(V.any_text(x, "title"), "url").alias("title"), "url", F.coalesce(V.any_text(x, "snippet"), F.lit("")).alias("snippet"), F.coalesce(V.number(x, "position").cast("int"), F.col("i") + 1).alias("position"),
+        F.when(F.col("url").rlike(r"(?i)[.]pdf([?#]|$)"), "pdf").otherwise("html").alias("content_type"), V.rest(x, *LINK, "title", "snippet", "position").alias("other"))
 
 
 def breach_names(raw: DataFrame, column: str = "json") -> DataFrame:
-    """Distinct names of a breach answer, nested lists flattened and blanks dropped; an error answer is a clean result."""
-    names = F.flatten(F.from_json(column, "struct<breaches:array<array<string>>>")["breaches"])
-    kept = F.array_distinct(F.filter(F.coalesce(names, F.array().cast("array<string>")), lambda x: F.trim(x) != ""))
-    return raw.select("email", F.slice(kept, 1, MOST_BREACHES).alias("names"), F.size(kept).alias("total"))
+    """Distinct names of a breach answer, nested lists flattened, blanks and what isn't text dropped; an error answer is a clean result."""
+    v = raw.select("email", V.parsed(F.col(column)).alias("v"))
+    listed = F.flatten(F.transform(V.items(F.col("v"), "breaches"), lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.array(b))))
+    names = F.when(V.text(F.col("v"), "Error").isNull(), V.only_texts(listed))
+    each = v.select("email", F.array_distinct(F.coalesce(names, F.array().cast("array<string>"))).alias("kept"))
+    return each.select("email", F.slice("kept", 1, MOST_BREACHES).alias("names"), F.size("kept").alias("total"))
 
 
 def breach_details(raw: DataFrame, column: str = "json") -> DataFrame:
-    """Details by lower-case name from either spelling of a metrics answer, and the aggregate password flag."""
-    m = raw.select("email", F.from_json(column, METRICS)["BreachMetrics"].alias("m"))
-    strength = lambda k: F.coalesce(F.try_element_at("m.passwords_strength", F.lit(k)), F.lit(0))
-    m = m.withColumn("weak", (strength("PlainText") > 0) | (strength("EasyToCrack") > 0))
-    d = m.select("email", "weak", F.explode_outer("m.get_details").alias("d"))
-    return d.select("email", "weak", F.lower(F.coalesce("d.name", "d.breach")).alias("key"), F.col("d.xposed_date").alias("date"), F.coalesce("d.xposed_data", F.array().cast("array<string>")).alias("classes"))
+    """Details by lower-case name from any spelling of a metrics answer, with the aggregate password flag and the first label of
+    risk; ``place`` is the detail's in its answer, ``other`` the JSON of fields that no column has. Details without a name have a null key."""
+    m = raw.select("email", V.part(V.parsed(F.col(column)), *METRICS).alias("m"))
+    strength = lambda k: F.coalesce(V.number(F.col("s"), k), F.lit(0.0)) > 0
+    m = m.select("email", V.part(F.col("m"), "passwords_strength").alias("s"), V.items(F.col("m"), "get_details").alias("ds"), V.any_text(F.get(V.items(F.col("m"), "risk"), F.lit(0)), "risk_label").alias("risk_label"))
+    d = m.select("email", (strength("PlainText") | strength("EasyToCrack")).alias("weak"), "risk_label", F.posexplode_outer("ds").alias("place", "d"))
+    x = F.col("d")
+    return d.select("email", "weak", "risk_label", "place", F.lower(V.text(x, *BREACH_NAME)).alias("key"), V.text(x, *BREACH_DATE).alias("date"), F.coalesce(V.texts(x, *BREACH_CLASSES), F.array().cast("array<string>")).alias("classes"), V.rest(x, *BREACH_NAME, *BREACH_DATE, *BREACH_CLASSES).alias("other"))
 
 
 def breach_rows(names: DataFrame, details: DataFrame) -> DataFrame:
-    """A discovery row for each breach of an email; its own data classes decide about credentials, the aggregate only where there are none."""
+    """A discovery row for each breach of an email; its own data classes decide about credentials, the aggregate only where there are none.
+
+    Of details of one name the last of the answer stands; of equal places the larger."""
     n = names.select("email", "total", F.explode("names").alias("name")).withColumn("key", F.lower("name"))
-    weak = details.groupBy("email").agg(F.bool_or("weak").alias("aggregate"))
-    both = n.join(details.filter("key is not null").drop("weak"), ["email", "key"], "left").join(weak, "email", "left")
+    whole = details.groupBy("email").agg(F.bool_or("weak").alias("aggregate"), F.max("risk_label").alias("risk_label"))
+    last = details.filter("key is not null").groupBy("email", "key").agg(F.max(F.struct("place", "date", "classes", "other")).alias("d"))
+    both = n.join(last, ["email", "key"], "left").join(whole, "email", "left").select("*", "d.date", "d.classes", "d.other")
     own = F.exists("classes", lambda c: c.rlike("(?i)passw"))
     classes = F.when(F.size("classes") > 0, F.concat(F.lit(" Exposed data: "), F.array_join("classes", ", "), F.lit("."))).otherwise(F.lit(""))
-    return both.select("email", "name", "total", "date", F.when(F.col("classes").isNotNull(), own).otherwise(F.coalesce("aggregate", F.lit(False))).alias("credential"), F.concat(F.lit('Email address appears in the "'), "name", F.lit('" breach record.'), classes).alias("snippet"))
+    credential = F.when(F.col("classes").isNotNull(), own).otherwise(F.coalesce("aggregate", F.lit(False)))
+    # fixed values: the wording of title and snippet
+    title = F.concat(F.lit("Breach record: "), "name")
+    snippet = F.concat(F.lit('Email address appears in the "'), "name", F.lit('" breach record.'), classes)
+    return both.select("email", "name", "total", "date", credential.alias("credential"), title.alias("title"), snippet.alias("snippet"), "risk_label", "other")
 
 
 def breach_summary(raw: DataFrame, column: str = "json") -> DataFrame:
@@ -99,9 +121,25 @@ def report(summary: DataFrame, by_person: DataFrame, mismatched: DataFrame, path
     parts[0].unionByName(parts[1]).unionByName(parts[2]).write.mode("overwrite").partitionBy("kind").text(path)
 
 
-def corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Sparse JSON files of a folder, with the name of each one's file."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.col("_metadata.file_name"))
+def corpus(spark: SparkSession, path: str, fields: dict[str, tuple[str, ...]], multi_line: bool = True) -> DataFrame:
+    """Sparse JSON of a folder, a file (or, without ``multi_line``, a line) an entry, with the name of its file: the texts of
+    ``fields``, each from the first of its spellings that there is, and all other fields as JSON in ``other``. What isn't
+    an object has no fields."""
+    raw = spark.read.option("singleVariantColumn", "value").option("multiLine", multi_line).json(path).select("value", F.col("_metadata.file_name").alias("file"))
+    v = F.col("value")
+    return raw.select(*[V.text(v, *names).alias(name) for name, names in fields.items()], V.rest(v, *[n for names in fields.values() for n in names]).alias("other"), "file")
+
+
+def expected_totals(raw: DataFrame, column: str = "json") -> DataFrame:
+    """How many results of each label ground truths expect: version, label, n.
+
+    Version 2 counts by person (``expected_results``), version 1 lists them: by kind what is confirmed, and what is potential."""
+    v = raw.select(V.parsed(F.col(column)).alias("v"))
+    counts, kinds = V.part(F.col("v"), "expected_results"), V.part(F.col("v"), "expected_confirmed")
+    people = v.select(F.explode(F.try_variant_get(counts, "$", "map<string,map<string,long>>")).alias("person", "c")).select(F.lit(2).alias("version"), F.explode("c").alias("label", "n"))
+    lists = v.select(F.explode(F.try_variant_get(kinds, "$", "map<string,array<variant>>")).alias("kind", "xs")).select(F.lit(1).alias("version"), F.concat(F.lit("confirmed_"), "kind").alias("label"), F.size("xs").cast("long").alias("n"))
+    rest = v.select(F.lit(1).alias("version"), F.lit("potential").alias("label"), F.size(V.items(F.col("v"), "expected_potential")).cast("long").alias("n")).filter("n >= 0")
+    return people.unionByName(lists).unionByName(rest).groupBy("version", "label").agg(F.sum("n").alias("n"))
 
 
 def integrity(tables: dict[str, tuple[DataFrame, int]]) -> DataFrame:
