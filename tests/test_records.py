@@ -14,7 +14,7 @@ def answers(spark, *values):
 
 def test_fields_by_kind_and_spelling(spark):
     rows = answers(spark, {"Name": "x", "TITLE": "t", "n": 5, "xs": ["a", 1, " ", None, "b"]}, {"name": 7, "title": "  ", "n": "5", "xs": "a"}, {"name": None, "TITLE": "u"}, "bad", None, [1], "3", '{"a":1,"a":2}', {"name": "y" * 3_000_000})
-    v = V.parsed(F.col("json"))
+    v = V.fields(V.parsed(F.col("json")))
     got = rows.select(V.text(v, "name", "title").alias("t"), V.any_text(v, "title").alias("any"), V.number(v, "n").alias("n"), V.texts(v, "xs").alias("xs"), F.size(V.items(v, "xs")).alias("size"), V.rest(v, "name", "title").alias("rest")).collect()
     assert [(r["t"], r["any"], r["n"], r["xs"], r["size"]) for r in got[:4]] == [("x", "t", 5.0, ["a", "b"], 5), (None, "  ", None, None, None), ("u", "u", None, None, None), (None,) * 5]
     assert json.loads(got[0]["rest"]) == {"n": 5, "xs": ["a", 1, " ", None, "b"]} and got[2]["rest"] is None
@@ -24,7 +24,7 @@ def test_fields_by_kind_and_spelling(spark):
 
 def test_first_named_spelling_counts(spark):
     rows = answers(spark, {"title": "c", "breach": "b", "name": "a"}, {"title": "c", "breach": "b", "name": " "}, {"title": "c", "breach": {"x": 1}})
-    assert [r[0] for r in rows.select(V.text(V.parsed(F.col("json")), *records.BREACH_NAME)).collect()] == ["a", "b", "c"]
+    assert [r[0] for r in rows.select(V.text(V.fields(V.parsed(F.col("json"))), *records.BREACH_NAME)).collect()] == ["a", "b", "c"]
 
 
 def test_breach_answers_of_every_shape(spark):

@@ -6,8 +6,6 @@ isn't JSON, an object that has a key twice and a null are null, and so is every
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import let
-
 _NUMBERS = r"^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"
 
 
@@ -15,41 +13,47 @@ def parsed(json: Column) -> Column:
     return F.try_parse_json(json)
 
 
+def fields(value: Column) -> Column:
+    """The fields of an object, for the functions below: computed once, whatever is asked for. Null for other values."""
+    return F.transform(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("key"), e["value"].alias("value")))
+
+
 def is_text(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
-def _field(value: Column, names: tuple[str, ...], kind: str, good) -> Column:
+def _field(fields: Column, names: tuple[str, ...], kind: str, good) -> Column:
     """The first field, in order of ``names``, whose value as ``kind`` is good."""
-    wanted = [n.lower() for n in names]
-    entries = F.filter(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda e: F.lower(e["key"]).isin(wanted) & good(e["value"]))
-    in_order = lambda es: F.flatten(F.array(*[F.filter(es, lambda e: F.lower(e["key"]) == n) for n in wanted])) if len(wanted) > 1 else es  # noqa: B023, E731
-    return F.try_variant_get(F.get(let(entries, in_order), F.lit(0))["value"], "$", kind)
+    found = []
+    for name in names:
+        met = F.filter(fields, lambda e: (e["name"] == name.lower()) & good(e["value"]))  # noqa: B023  (called at once)
+        found.append(F.get(met, F.lit(0))["value"])
+    return F.try_variant_get(F.coalesce(*found), "$", kind)
 
 
-def text(value: Column, *names: str) -> Column:
+def text(fields: Column, *names: str) -> Column:
     """The first text that isn't blank."""
-    return _field(value, names, "string", lambda v: is_text(v) & (F.trim(F.try_variant_get(v, "$", "string")) != ""))
+    return _field(fields, names, "string", lambda v: is_text(v) & (F.trim(F.try_variant_get(v, "$", "string")) != ""))
 
 
-def any_text(value: Column, *names: str) -> Column:
+def any_text(fields: Column, *names: str) -> Column:
     """The first text, a blank one too."""
-    return _field(value, names, "string", is_text)
+    return _field(fields, names, "string", is_text)
 
 
-def number(value: Column, *names: str) -> Column:
+def number(fields: Column, *names: str) -> Column:
     """The first number, as double."""
-    return _field(value, names, "double", lambda v: F.schema_of_variant(v).rlike(_NUMBERS))
+    return _field(fields, names, "double", lambda v: F.schema_of_variant(v).rlike(_NUMBERS))
 
 
-def items(value: Column, *names: str) -> Column:
+def items(fields: Column, *names: str) -> Column:
     """The first list, an empty one too, as an array of variants."""
-    return _field(value, names, "array<variant>", lambda v: F.try_variant_get(v, "$", "array<variant>").isNotNull())
+    return _field(fields, names, "array<variant>", lambda v: F.try_variant_get(v, "$", "array<variant>").isNotNull())
 
 
-def part(value: Column, *names: str) -> Column:
+def part(fields: Column, *names: str) -> Column:
     """The first object, as a variant."""
-    return _field(value, names, "variant", lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull())
+    return _field(fields, names, "variant", lambda v: F.try_variant_get(v, "$", "map<string,variant>").isNotNull())
 
 
 def only_texts(values: Column) -> Column:
@@ -57,13 +61,13 @@ def only_texts(values: Column) -> Column:
     return F.filter(F.transform(values, lambda v: F.when(is_text(v), F.try_variant_get(v, "$", "string"))), lambda s: F.trim(s) != "")
 
 
-def texts(value: Column, *names: str) -> Column:
+def texts(fields: Column, *names: str) -> Column:
     """The texts of the first list that has any."""
-    return only_texts(_field(value, names, "array<variant>", lambda v: F.size(only_texts(F.try_variant_get(v, "$", "array<variant>"))) > 0))
+    return only_texts(_field(fields, names, "array<variant>", lambda v: F.size(only_texts(F.try_variant_get(v, "$", "array<variant>"))) > 0))
 
 
-def rest(value: Column, *names: str) -> Column:
+def rest(fields: Column, *names: str) -> Column:
     """The fields of other names, as a JSON object; null where there are none."""
     known = [n.lower() for n in names]
-    others = F.map_filter(F.try_variant_get(value, "$", "map<string,variant>"), lambda k, _: ~F.lower(k).isin(known))
-    return F.when(F.size(others) > 0, F.to_json(others))
+    others = F.filter(fields, lambda e: ~e["name"].isin(known))
+    return F.when(F.size(others) > 0, F.to_json(F.map_from_entries(F.transform(others, lambda e: F.struct(e["key"], e["value"])))))

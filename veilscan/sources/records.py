@@ -23,20 +23,20 @@ BREACH_DATE, BREACH_CLASSES = ("xposed_date", "breach_date", "date"), ("xposed_d
 def search_rows(raw: DataFrame, column: str = "json") -> DataFrame:
     """Search answers as rows, recorded (``searches`` of ``results``) or live (one list ``organic``): results without a link go,
     titles default to it, positions count from 1. What else a result has is kept as JSON in ``other``. Answers that aren't JSON have no rows."""
-    v = raw.select(V.parsed(F.col(column)).alias("v"))
-    s = v.select(F.explode(F.coalesce(V.items(F.col("v"), "searches"), F.array("v"))).alias("s"))
+    v = raw.select(V.parsed(F.col(column)).alias("v")).withColumn("f", V.fields(F.col("v")))
+    s = v.select(F.explode(F.coalesce(V.items(F.col("f"), "searches"), F.array("v"))).alias("s")).select(V.fields(F.col("s")).alias("s"))
     r = s.select(V.any_text(F.col("s"), "person_id").alias("person_id"), V.any_text(F.col("s"), "query").alias("query"), F.posexplode(V.items(F.col("s"), *RESULTS)).alias("i", "r"))
-    r = r.withColumn("url", V.text(F.col("r"), *LINK)).filter("url is not null")
     x = F.col("r")
+    r = r.withColumn("r", V.fields(x)).withColumn("url", V.text(x, *LINK)).filter("url is not null")
     return r.select("person_id", "query", F.coalesce(V.any_text(x, "title"), "url").alias("title"), "url", F.coalesce(V.any_text(x, "snippet"), F.lit("")).alias("snippet"), F.coalesce(V.number(x, "position").cast("int"), F.col("i") + 1).alias("position"),
         F.when(F.col("url").rlike(r"(?i)[.]pdf([?#]|$)"), "pdf").otherwise("html").alias("content_type"), V.rest(x, *LINK, "title", "snippet", "position").alias("other"))
 
 
 def breach_names(raw: DataFrame, column: str = "json") -> DataFrame:
     """Distinct names of a breach answer, nested lists flattened, blanks and what isn't text dropped; an error answer is a clean result."""
-    v = raw.select("email", V.parsed(F.col(column)).alias("v"))
-    listed = F.flatten(F.transform(V.items(F.col("v"), "breaches"), lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.array(b))))
-    names = F.when(V.text(F.col("v"), "Error").isNull(), V.only_texts(listed))
+    v = raw.select("email", V.fields(V.parsed(F.col(column))).alias("f"))
+    listed = F.flatten(F.transform(V.items(F.col("f"), "breaches"), lambda b: F.coalesce(F.try_variant_get(b, "$", "array<variant>"), F.array(b))))
+    names = F.when(V.text(F.col("f"), "Error").isNull(), V.only_texts(listed))
     each = v.select("email", F.array_distinct(F.coalesce(names, F.array().cast("array<string>"))).alias("kept"))
     return each.select("email", F.slice("kept", 1, MOST_BREACHES).alias("names"), F.size("kept").alias("total"))
 
@@ -44,11 +44,12 @@ def breach_names(raw: DataFrame, column: str = "json") -> DataFrame:
 def breach_details(raw: DataFrame, column: str = "json") -> DataFrame:
     """Details by lower-case name from any spelling of a metrics answer, with the aggregate password flag and the first label of
     risk; ``place`` is the detail's in its answer, ``other`` the JSON of fields that no column has. Details without a name have a null key."""
-    m = raw.select("email", V.part(V.parsed(F.col(column)), *METRICS).alias("m"))
+    m = raw.select("email", V.fields(V.part(V.fields(V.parsed(F.col(column))), *METRICS)).alias("m"))
     strength = lambda k: F.coalesce(V.number(F.col("s"), k), F.lit(0.0)) > 0
-    m = m.select("email", V.part(F.col("m"), "passwords_strength").alias("s"), V.items(F.col("m"), "get_details").alias("ds"), V.any_text(F.get(V.items(F.col("m"), "risk"), F.lit(0)), "risk_label").alias("risk_label"))
+    m = m.select("email", V.fields(V.part(F.col("m"), "passwords_strength")).alias("s"), V.items(F.col("m"), "get_details").alias("ds"), V.any_text(V.fields(F.get(V.items(F.col("m"), "risk"), F.lit(0))), "risk_label").alias("risk_label"))
     d = m.select("email", (strength("PlainText") | strength("EasyToCrack")).alias("weak"), "risk_label", F.posexplode_outer("ds").alias("place", "d"))
     x = F.col("d")
+    d = d.withColumn("d", V.fields(x))
     return d.select("email", "weak", "risk_label", "place", F.lower(V.text(x, *BREACH_NAME)).alias("key"), V.text(x, *BREACH_DATE).alias("date"), F.coalesce(V.texts(x, *BREACH_CLASSES), F.array().cast("array<string>")).alias("classes"), V.rest(x, *BREACH_NAME, *BREACH_DATE, *BREACH_CLASSES).alias("other"))
 
 
@@ -125,8 +126,8 @@ def corpus(spark: SparkSession, path: str, fields: dict[str, tuple[str, ...]], m
     """Sparse JSON of a folder, a file (or, without ``multi_line``, a line) an entry, with the name of its file: the texts of
     ``fields``, each from the first of its spellings that there is, and all other fields as JSON in ``other``. What isn't
     an object has no fields."""
-    raw = spark.read.option("singleVariantColumn", "value").option("multiLine", multi_line).json(path).select("value", F.col("_metadata.file_name").alias("file"))
-    v = F.col("value")
+    raw = spark.read.option("singleVariantColumn", "value").option("multiLine", multi_line).json(path).select(V.fields(F.col("value")).alias("fields"), F.col("_metadata.file_name").alias("file"))
+    v = F.col("fields")
     return raw.select(*[V.text(v, *names).alias(name) for name, names in fields.items()], V.rest(v, *[n for names in fields.values() for n in names]).alias("other"), "file")
 
 
@@ -134,7 +135,7 @@ def expected_totals(raw: DataFrame, column: str = "json") -> DataFrame:
     """How many results of each label ground truths expect: version, label, n.
 
     Version 2 counts by person (``expected_results``), version 1 lists them: by kind what is confirmed, and what is potential."""
-    v = raw.select(V.parsed(F.col(column)).alias("v"))
+    v = raw.select(V.fields(V.parsed(F.col(column))).alias("v"))
     counts, kinds = V.part(F.col("v"), "expected_results"), V.part(F.col("v"), "expected_confirmed")
     people = v.select(F.explode(F.try_variant_get(counts, "$", "map<string,map<string,long>>")).alias("person", "c")).select(F.lit(2).alias("version"), F.explode("c").alias("label", "n"))
     lists = v.select(F.explode(F.try_variant_get(kinds, "$", "map<string,array<variant>>")).alias("kind", "xs")).select(F.lit(1).alias("version"), F.concat(F.lit("confirmed_"), "kind").alias("label"), F.size("xs").cast("long").alias("n"))
