@@ -9,7 +9,7 @@ import pytest
 
 from pyspark.sql import functions as F
 from veilscan.llm import op6_image_copies, op8_warc, op9_chat_format
-from veilscan.llm.common import written
+from veilscan.llm.common import with_groups, written
 
 PAGES = "page_id long, url string, html string, chunk int, digest string"
 
@@ -22,10 +22,10 @@ def pages(spark):
 
 
 @pytest.mark.parametrize("chunk", [7, 64, 1 << 16])
-@pytest.mark.parametrize("least", [0, 3])
-def test_warc_round_trip(spark, chunk, least):
+@pytest.mark.parametrize("least, most", [(0, 100), (3, 100), (0, 0)])
+def test_warc_round_trip(spark, chunk, least, most):
     p = pages(spark)
-    table = written(op8_warc.to_chunks(p, chunk=chunk, least_bytes=least))
+    table = written(op8_warc.to_chunks(p, chunk=chunk, least_bytes=least, most=most))
     assert max(r["n"] for r in table.select(F.octet_length("data").alias("n")).collect()) <= chunk + 600
     got = sorted(op8_warc.from_chunks(table).collect(), key=str)
     rows = [(r["page_id"], (r["html"] or "").encode()) for r in p.collect()]
@@ -39,6 +39,20 @@ def test_warc_round_trip(spark, chunk, least):
     assert op8_warc.from_chunks(written(op8_warc.to_chunks(p.limit(0)))).count() == 0
 
 
+def test_rows_of_a_common_key_are_dealt_over_tasks(spark):
+    rows = spark.range(4000, numPartitions=4).selectExpr("if(id % 3 = 0, 'hot', concat('k', id)) as digest", "'same' as url", "id as __part")
+    groups = written(spark.createDataFrame([("hot", 7), ("k1", 8)], "digest string, response_id int"))
+    split, plain = (with_groups(rows, groups, "digest", ["url", "__part"], most) for most in (1, 2))
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+    assert split.columns == plain.columns
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in with_groups(rows, groups, "digest", ["url", "__part"], 1).filter("digest = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) > 1 and sum(sizes) == 1334
+
+
 def test_warc_reader_notices_damage(spark):
     table = op8_warc.to_chunks(pages(spark), chunk=64).filter("octet_length(data) > 0").toPandas()
     long = table.groupby("record").filter(lambda g: len(g) > 3)

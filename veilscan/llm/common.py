@@ -177,6 +177,23 @@ def shingles(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray
     return total, doc[start]
 
 
+#: Groups that go to every task; more are joined by a shuffle, with each key's rows dealt over so many parts.
+BROADCAST, PARTS = 200_000, 32
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, by: list[str], most: int = BROADCAST) -> DataFrame:
+    """``rows`` with the columns of their group, null where there is none; ``groups`` is a written table with one short row a key.
+
+    Where groups are too many for a broadcast, rows of a very common key are dealt over PARTS tasks by the columns ``by``
+    and by the task that read them, so that rows that are alike don't meet either."""
+    if groups.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(groups), key, "left")
+    part = fresh(rows, fresh(groups, "__part"))
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*by, F.spark_partition_id()), F.lit(PARTS)))
+    everywhere = groups.withColumn(part, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))))
+    return dealt.join(everywhere, [key, part], "left").drop(part)
+
+
 def lowered(text: Column) -> Column:
     """A-Z in lower case; other letters as they are; null is empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

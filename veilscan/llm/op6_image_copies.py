@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import broadcast_if_small, slices, table, words, written
+from .common import slices, table, with_groups, words, written
 
 SIDE, CELLS = 80, 20
 SCALES = (1.0, 0.75, 0.5)
@@ -391,7 +391,7 @@ def page_copies(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     rows = pages.select(pages[page_id].alias("page_id"), F.coalesce(pages[html], F.lit("")).alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     asks = F.coalesce(F.col("page_id") % every == 0, F.lit(False))
     several = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max(asks).alias("asked"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    named = rows.join(broadcast_if_small(written(several)), "digest", "left").withColumn("class_id", F.coalesce("first_id", "page_id")).withColumn("ask", F.coalesce("asked", asks))
+    named = with_groups(rows, written(several), "digest", ["page_id"]).withColumn("class_id", F.coalesce("first_id", "page_id")).withColumn("ask", F.coalesce("asked", asks))
     reps = named.filter("page_id = class_id")
     images = reps.select(F.col("page_id").alias("id"), F.col("html").alias("image"))
     queries = reps.filter("ask").select(F.col("page_id").alias("id"), F.col("html").alias("image"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, table, written
+from .common import BROADCAST, table, with_groups, written
 
 CHUNK = 1 << 16
 #: Payloads shorter than this are always written whole.
@@ -26,15 +26,15 @@ CHUNKS = "archive string, record long, chunk long, data binary, payload_bytes lo
 _PAGE = "urn:page:"
 
 
-def named(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: int) -> DataFrame:
+def named(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: int, most: int = BROADCAST) -> DataFrame:
     """page_id, url, html, response_id: the page that has the payload's response, null where this row itself is a response.
 
-    Digests that stand once need no partner: only repeated ones are joined back."""
+    Digests that stand once need no partner: only repeated ones are joined back, up to ``most`` of them by a broadcast."""
     rows = pages.select(pages[page_id].alias("page_id"), pages[url].alias("url"), F.coalesce(pages[html], F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     long = F.octet_length("html") >= least_bytes
     groups = rows.filter(long).groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1 and response_id is not null").drop("n")
-    both = rows.join(broadcast_if_small(written(groups)), "digest", "left")
+    both = with_groups(rows, written(groups), "digest", ["page_id", "url"], most)
     own = F.col("page_id").eqNullSafe(F.col("response_id")) | ~long
     return both.select("page_id", "url", "html", "digest", F.when(own, F.lit(None)).otherwise(F.col("response_id")).alias("response_id"))
 
@@ -56,7 +56,7 @@ def _record(page_id, url, digest, response_id, size: int) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
 
-def to_chunks(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_BYTES, chunk: int = CHUNK) -> DataFrame:
+def to_chunks(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = LEAST_BYTES, chunk: int = CHUNK, most: int = BROADCAST) -> DataFrame:
     """The chunk table of the archives, one archive for each task.
 
     A null payload is empty, a null url an empty one, a null page_id an empty name; repeated rows are records of their
@@ -97,7 +97,7 @@ def to_chunks(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         if out:
             yield _batch(out)
 
-    return named(pages, page_id, url, html, least_bytes).select("page_id", "url", "html", "digest", "response_id").mapInArrow(write, CHUNKS)
+    return named(pages, page_id, url, html, least_bytes, most).select("page_id", "url", "html", "digest", "response_id").mapInArrow(write, CHUNKS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
