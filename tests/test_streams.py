@@ -152,3 +152,69 @@ def test_gazetteer_is_that_of_a_loop(spark, most):
 
     want = {(d, k, v.strip()) for d, t in texts if t for k, v in values if v and inside(v, t)}
     assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+
+
+class Store:
+    """A state store for one part that counts what it is asked."""
+
+    def __init__(self):
+        self.value, self.map, self.timers, self.calls = None, {}, set(), 0
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls += 1
+            if name in ("getValueState", "getMapState"):
+                return self
+            if name == "get":
+                return self.value
+            if name == "exists":
+                return bool(self.map)
+            if name == "getValue":
+                return self.map.get(args[0])
+            if name == "updateValue":
+                self.map[args[0]] = args[1]
+            if name in ("update", "clear"):
+                self.value = args[0] if args else None
+            if name == "registerTimer":
+                self.timers.add(args[0])
+            if name == "deleteTimer":
+                self.timers.remove(args[0])
+
+        return call
+
+
+class Times:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs
+
+
+def test_many_findings_of_a_part_cost_the_store_two_calls_an_owner():
+    import pandas as pd
+
+    rng, store, run = random.Random(5), Store(), S.Lifecycle()
+    run.init(store)
+    stored = [(i, "s", f"e{e}", "NOT_FOUND", 1, 2) for i in range(5) for e in range(0, 100, 2)]
+    now = {r[:3]: r[3:] for r in stored}
+    frame = pd.DataFrame(stored, columns=["identity", "source", "entity", "state", "absences", "last"])
+    for piece in (frame[:30], frame[30:]):
+        run.handleInitialState((0,), piece, Times(0))
+    got, want = [], []
+    for batch in range(4):
+        rows = [(i, s, f"e{e}", scan, rng.random() < 0.4, rng.random() < 0.1) for i in range(6) for s in "st" for e in range(100) for scan in range(batch * 3, batch * 3 + 4)]  # the first scan of a batch comes again
+        rng.shuffle(rows)
+        for row in sorted(rows, key=lambda r: r[3]):
+            state, absences, last = now.get(row[:3], (None, 0, -1))
+            if row[3] > last and (state is not None or row[4]):
+                state, absences, _ = S.advance(state, absences, row[4], row[5])
+                now[row[:3]] = (state, absences, row[3])
+                want.append((*row[:4], state, absences))
+        before = store.calls
+        frame = pd.DataFrame(rows, columns=["identity", "source", "entity", "scan", "seen", "marked"])
+        got += [tuple(x) for f in run.handleInputRows((0,), iter([frame[:999], frame[999:]]), Times(0)) for x in f.itertuples(index=False)]
+        assert store.calls - before <= 2 * 12 + 1
+    assert sorted(got) == sorted(want) and len(got) > 10_000

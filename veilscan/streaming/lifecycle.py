@@ -30,28 +30,54 @@ PROVIDER = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sq
 STALE_MINUTES, CACHE_HOURS = 10, 6
 
 
+#: Parts into which keys are dealt, one group of state each: what a group costs (calls of Python, batches, round trips to the
+#: state store) is paid by part, and rows and findings cost a loop over them.
+PARTS = 512
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
+
+
 class Lifecycle(StatefulProcessor):
-    """State, absences and last scan of one finding; stored findings may be given as initial state."""
+    """State, absences and last scan of the findings of one part, kept by identity and source, as a scan marks all of these; stored findings may be given as initial state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.finding = handle.getValueState("finding", "state string, absences int, last int")
+        self.findings = handle.getMapState("findings", "identity long, source string", "entities array<string>, states array<string>, absences array<int>, lasts array<int>")
+
+    def _known(self, owner: tuple) -> dict:
+        return {e: tuple(x) for e, *x in zip(*got)} if (got := self.findings.getValue(owner)) else {}
+
+    def _keep(self, owners: dict) -> None:
+        for owner, known in owners.items():
+            if known:
+                self.findings.updateValue(owner, (list(known), *(list(x) for x in zip(*known.values()))))
 
     def handleInitialState(self, key, initial, timerValues) -> None:
-        for r in initial.itertuples():
-            self.finding.update((r.state, int(r.absences), int(r.last)))
+        owners: dict[tuple, dict] = {}
+        for *owner, entity, state, absences, last in zip(*(initial[c].tolist() for c in ("identity", "source", "entity", "state", "absences", "last"))):
+            owner = tuple(owner)
+            if owner not in owners:
+                owners[owner] = self._known(owner)
+            owners[owner][entity] = (state, absences, last)
+        self._keep(owners)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        now, absences, last = self.finding.get() or (None, 0, -1)
         got = pd.concat(list(rows)).sort_values(["scan", "seen"])
+        any_kept = self.findings.exists()
+        owners: dict[tuple, dict] = {}
         out = []
-        for scan, seen, marked in zip(got["scan"], got["seen"], got["marked"]):
+        for identity, source, entity, scan, seen, marked in zip(*(got[c].tolist() for c in ("identity", "source", "entity", "scan", "seen", "marked"))):
+            owner = (identity, source)
+            if owner not in owners:
+                owners[owner] = self._known(owner) if any_kept else {}
+            now, absences, last = owners[owner].get(entity, (None, 0, -1))
             if scan <= last or (now is None and not seen):
                 continue
-            now, absences, _ = advance(now, absences, bool(seen), bool(marked))
-            last = int(scan)
-            out.append((*key, last, now, absences))
-        if now is not None:
-            self.finding.update((now, int(absences), int(last)))
+            now, absences, _ = advance(now, absences, seen, marked)
+            owners[owner][entity] = (now, absences, scan)
+            out.append((identity, source, entity, scan, now, absences))
+        self._keep(owners)
         yield pd.DataFrame(out, columns=["identity", "source", "entity", "scan", "state", "absences"])
 
     def close(self) -> None:
@@ -64,8 +90,9 @@ def lifecycle_stream(ticks: DataFrame, stored: DataFrame | None = None) -> DataF
     Rows of one batch are applied by scan; a row not after the last applied scan is dropped. ``stored``: findings (identity,
     source, entity, state, absences, last) to begin with, a batch table. The session must name ``PROVIDER``."""
     keys = ["identity", "source", "entity"]
-    begin = stored.select(*keys, "state", "absences", "last").groupBy(*keys) if stored is not None else None
-    return ticks.groupBy(*keys).transformWithStateInPandas(Lifecycle(), "identity long, source string, entity string, scan int, state string, absences int", "append", "none", begin)
+    owner = keys[:2]
+    begin = _dealt(stored.select(*keys, "state", "absences", "last"), *owner).groupBy("part") if stored is not None else None
+    return _dealt(ticks.select(*keys, "scan", "seen", "marked"), *owner).groupBy("part").transformWithStateInPandas(Lifecycle(), "identity long, source string, entity string, scan int, state string, absences int", "append", "none", begin)
 
 
 class StaleScans(StatefulProcessor):
