@@ -218,3 +218,35 @@ def test_many_findings_of_a_part_cost_the_store_two_calls_an_owner():
         got += [tuple(x) for f in run.handleInputRows((0,), iter([frame[:999], frame[999:]]), Times(0)) for x in f.itertuples(index=False)]
         assert store.calls - before <= 2 * 12 + 1
     assert sorted(got) == sorted(want) and len(got) > 10_000
+
+
+def test_many_scans_of_a_part_cost_the_store_a_few_calls():
+    import pandas as pd
+
+    rng, store, run = random.Random(4), Store(), S.StaleScans(10)
+    run.init(store)
+    since, got, want = {}, [], []
+    for batch in range(5):
+        rows = [(rng.randrange(1000), rng.choice(["QUEUED", "RUNNING", "COMPLETED", "FAILED"]), (batch * 600_000 + rng.randrange(600_000)) * 1000 + 7) for _ in range(800)]
+        for scan in {r[0] for r in rows}:  # one scan after another, as its rows say
+            own = [r for r in rows if r[0] == scan]
+            ended = sorted((r[2], r[1]) for r in own if r[1] in ("COMPLETED", "FAILED"))
+            if ended:
+                since.pop(scan, None)
+                want.append((scan, ended[0][1], ended[0][0]))
+            elif running := [r[2] for r in own if r[1] == "RUNNING"]:
+                since[scan] = min(running) // 1000
+            else:
+                since.setdefault(scan, min(r[2] for r in own) // 1000)
+        before = store.calls
+        frame = pd.DataFrame(rows, columns=["scan_id", "status", "micros"])
+        got += [tuple(x) for f in run.handleInputRows((0,), iter([frame[:300], frame[300:]]), Times(0)) for x in f.itertuples(index=False)]
+        mark = batch * 600_000 + 300_000
+        for timer in [t for t in store.timers if t <= mark]:
+            store.timers.remove(timer)
+            got += [tuple(x) for f in run.handleExpiredTimer((0,), Times(mark), Times(timer)) for x in f.itertuples(index=False)]
+        assert store.calls - before < 12 and len(store.timers) <= 1
+        want += [(s, "PARTIAL", (at + 600_000) * 1000) for s, at in since.items() if at + 600_000 <= mark]
+        since = {s: at for s, at in since.items() if at + 600_000 > mark}
+    assert sorted(got) == sorted(want) and sum(r[1] == "PARTIAL" for r in got) > 100
+    assert store.value[2] == min(store.timers) == min(since.values()) + 600_000

@@ -96,42 +96,51 @@ def lifecycle_stream(ticks: DataFrame, stored: DataFrame | None = None) -> DataF
 
 
 class StaleScans(StatefulProcessor):
-    """A timer for each scan under way: what has not ended when it fires is closed as PARTIAL."""
+    """The scans of one part that are under way, with one timer: when the first of them gets stale. What has not ended by then is closed as PARTIAL."""
 
     def __init__(self, minutes: int):
-        self.minutes = minutes
+        self.most = minutes * 60_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.since = handle.getValueState("since", "at long")
+        self.open = handle.getValueState("open", "ids array<long>, since array<long>, due long")
+
+    def _known(self) -> tuple[dict, int | None]:
+        ids, since, due = self.open.get() or ([], [], None)
+        return dict(zip(ids, since)), due
+
+    def _keep(self, known: dict, timer: int | None) -> None:
+        """Stores what is under way; ``timer`` is the one that is set."""
+        due = min(known.values()) + self.most if known else None
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
+        if due is not None and timer != due:
+            self.handle.registerTimer(due)
+        if known:
+            self.open.update((list(known), list(known.values()), due))
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         got = pd.concat(list(rows))
-        ended = got[~got["status"].isin(["QUEUED", "RUNNING"])]
-        out = []
-        if len(ended):
-            self._forget()
-            first = ended.sort_values(["ts", "status"]).iloc[0]
-            out.append((*key, first["status"], first["ts"]))
-        else:
-            # a scan counts from when it started to run, else from when it was queued
-            running = got[got["status"] == "RUNNING"]
-            at = int((running if len(running) else got)["ts"].min().timestamp() * 1000)
-            if not self.since.exists() or len(running):
-                self._forget()
-                self.since.update((at,))
-                self.handle.registerTimer(at + self.minutes * 60_000)
-        yield pd.DataFrame(out, columns=["scan_id", "status", "ts"])
+        ended = got[~got["status"].isin(["QUEUED", "RUNNING"])].sort_values(["micros", "status"]).drop_duplicates("scan_id")
+        under_way = got[~got["scan_id"].isin(ended["scan_id"])]
+        began = lambda x: dict(zip((g := x.groupby("scan_id")["micros"].min() // 1000).index.tolist(), g.tolist()))
+        known, timer = self._known()
+        for scan in ended["scan_id"].tolist():
+            known.pop(scan, None)
+        # a scan counts from when it started to run, else from when it was queued
+        known = began(under_way) | known | began(under_way[under_way["status"] == "RUNNING"])
+        self._keep(known, timer)
+        yield ended[["scan_id", "status", "micros"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        self.since.clear()
-        yield pd.DataFrame([(*key, "PARTIAL", pd.Timestamp(at, unit="ms"))], columns=["scan_id", "status", "ts"])
-
-    def _forget(self) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.since.clear()
+        known, _ = self._known()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        stale = [(scan, "PARTIAL", (at + self.most) * 1000) for scan, at in known.items() if at + self.most <= now]
+        # the timer that fired goes by itself
+        self._keep({scan: at for scan, at in known.items() if at + self.most > now}, None)
+        yield pd.DataFrame(stale, columns=["scan_id", "status", "micros"])
 
     def close(self) -> None:
         pass
@@ -140,8 +149,9 @@ class StaleScans(StatefulProcessor):
 def stale_stream(scans: DataFrame, late: str = "1 day", minutes: int = STALE_MINUTES) -> DataFrame:
     """How scans end, from a stream of (scan_id, status, ts): as they say, or as PARTIAL once the watermark passes ``minutes``
     after they began. The session must name ``PROVIDER``."""
-    marked = scans.withWatermark("ts", late)
-    return marked.groupBy("scan_id").transformWithStateInPandas(StaleScans(minutes), "scan_id long, status string, ts timestamp", "append", "EventTime")
+    marked = _dealt(scans.select("scan_id", "status", "ts").withWatermark("ts", late), "scan_id").withColumn("micros", F.unix_micros("ts"))
+    ends = marked.groupBy("part").transformWithStateInPandas(StaleScans(minutes), "scan_id long, status string, micros long", "append", "EventTime")
+    return ends.select("scan_id", "status", F.timestamp_micros("micros").alias("ts"))
 
 
 class Cached(StatefulProcessor):
