@@ -135,3 +135,25 @@ def test_greedy_choice_is_that_of_a_loop(spark, kind):
     df = spark.createDataFrame(rows, SPAN).withColumn("text", F.lit("t"))
     got = deduplicated(df).select("doc_id", "label", "score", "start", "end").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pairs_of_one_name_are_spread_over_tasks(spark):
+    a = spark.range(1500).select("id", F.lit("Zora Quill").alias("name"))
+    b = spark.range(1500).select((F.col("id") + 5000).alias("id"), F.when(F.col("id") == 7, "Nobody Else").otherwise("Z. Quill").alias("name"))
+    got = names.matches(a, b, "id", "name", "id", "name").withColumn("task", F.spark_partition_id())
+    tasks = got.groupBy("task").agg(F.count("*").alias("n"), F.count_distinct("left_id", "right_id").alias("d"), F.min("right_id").alias("least"), F.max("right_id").alias("most")).collect()
+    assert sum(r["n"] for r in tasks) == sum(r["d"] for r in tasks) == 1500 * 1499
+    assert max(r["n"] for r in tasks) < 1500 * 1499 / 2
+
+
+
+def test_best_name_is_that_of_all_pairs(spark):
+    rng = random.Random(6)
+    first, last = ["zoe", "z", "max", "m", "mara"], ["quill", "q", "quist", "west"]
+    made = lambda n: [(rng.randrange(n // 2), " ".join([rng.choice(first), rng.choice(last)][: rng.choice([1, 2, 2, 2])])) for _ in range(n)]
+    a, b = (spark.createDataFrame(made(120), "id long, name string") for _ in "ab")
+    want = {}
+    for r in names.matches(a, b, "id", "name", "id", "name").collect():
+        want[r["left_id"]] = min(want.get(r["left_id"], (0.0, 0)), (-r["similarity"], r["right_id"]))
+    got = {r["left_id"]: (-r["similarity"], r["right_id"]) for r in names.best(a, b, "id", "name", "id", "name").collect()}
+    assert got == want and len(want) > 20

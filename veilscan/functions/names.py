@@ -108,14 +108,8 @@ def _looked_up(asking: DataFrame, other: DataFrame, tokens_: str, other_tokens:
     return asks.join(full, ["key", "part"]).filter(more).select(tokens_, other_tokens)
 
 
-def matches(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:
-    """Pairs whose names match, found by their rarest tokens.
-
-    A match pairs all tokens of the shorter name, or at least 0.7 of the longer one's. So of n tokens of a name as long
-    as the other, or longer in the second case, at most n - ceil(0.7 n) have no partner: one of one more than that, the
-    rarest ones, leads to the other name, as itself or by an initial. If the other name is the shorter, its rarest token does.
-    A token that a third of all names have is asked for only where a name has no rarer one. Distinct token lists are
-    compared, not rows; ids join back last. Names without tokens match nothing."""
+def _matched(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The rows of both sides with their token lists, and the pairs of distinct lists that match."""
     rows = {}
     for side, df, id_, name in (("left", left, left_id, left_name), ("right", right, right_id, right_name)):
         rows[side] = written(df.select(df[id_].alias(f"{side}_id"), tokens(df[name]).alias(f"{side}_tokens")).filter(F.size(f"{side}_tokens") > 0))
@@ -126,5 +120,50 @@ def matches(left: DataFrame, right: DataFrame, left_id: str, left_name: str, rig
     found = _looked_up(lists["left"], lists["right"], "left_tokens", "right_tokens", spare, F.lit(True))
     found = found.unionByName(_looked_up(lists["right"], lists["left"], "right_tokens", "left_tokens", F.lit(1), longer)).distinct()
     m = found.withColumn("m", compare(F.col("left_tokens"), F.col("right_tokens"))).filter("m.is_match")
-    m = m.select("left_tokens", "right_tokens", "m.similarity", "m.match_type")
-    return rows["left"].join(m, "left_tokens").join(rows["right"], "right_tokens").select("left_id", "right_id", "similarity", "match_type")
+    return rows, m.select("left_tokens", "right_tokens", "m.similarity", "m.match_type")
+
+
+#: Ids in a block of rows of one name; pairs of ids in a task, and most tasks that they are dealt over.
+BLOCK, TASK, TASKS = 1024, 500_000, 5_000
+
+
+def _blocks(rows: DataFrame, counted: DataFrame, side: str) -> DataFrame:
+    """The ids of each token list in blocks of about BLOCK."""
+    tokens_ = f"{side}_tokens"
+    hot = F.broadcast(counted.filter(F.col(f"{side}_n") > BLOCK).select(tokens_, F.ceil(F.col(f"{side}_n") / BLOCK).alias("parts")))
+    part = F.pmod(F.xxhash64(f"{side}_id"), F.coalesce("parts", F.lit(1))).alias("part")
+    return rows.join(hot, tokens_, "left").groupBy(tokens_, part).agg(F.collect_list(f"{side}_id").alias(f"{side}_ids")).drop("part")
+
+
+def matches(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:
+    """Pairs whose names match, found by their rarest tokens.
+
+    A match pairs all tokens of the shorter name, or at least 0.7 of the longer one's. So of n tokens of a name as long
+    as the other, or longer in the second case, at most n - ceil(0.7 n) have no partner: one of one more than that, the
+    rarest ones, leads to the other name, as itself or by an initial. If the other name is the shorter, its rarest token does.
+    A token that a third of all names have is asked for only where a name has no rarer one. Distinct token lists are
+    compared, not rows; ids join back last. Names without tokens match nothing.
+
+    Ids come back in blocks: pairs of names that very many rows have are spread over tasks by pairs of blocks, a number of
+    tasks in proportion to the pairs that there are."""
+    rows, m = _matched(left, right, left_id, left_name, right_id, right_name)
+    m = written(m)
+    counted = {side: rows[side].groupBy(f"{side}_tokens").agg(F.count("*").alias(f"{side}_n")) for side in rows}
+    n_pairs = m.join(counted["left"], "left_tokens").join(counted["right"], "right_tokens").agg(F.sum(F.col("left_n").cast("double") * F.col("right_n"))).first()[0] or 0
+    met = m.join(_blocks(rows["left"], counted["left"], "left"), "left_tokens").join(_blocks(rows["right"], counted["right"], "right"), "right_tokens")
+    met = met.select("left_ids", "right_ids", "similarity", "match_type")
+    if n_pairs > TASK:
+        met = met.repartition(min(int(n_pairs // TASK) + 1, TASKS))
+    met = met.select(F.explode("left_ids").alias("left_id"), "right_ids", "similarity", "match_type")
+    return met.select("left_id", F.explode("right_ids").alias("right_id"), "similarity", "match_type")
+
+
+def best(left: DataFrame, right: DataFrame, left_id: str, left_name: str, right_id: str, right_name: str) -> DataFrame:
+    """Of the ``matches`` of each left id the most similar one; ties go to the smaller right id. It is chosen by token
+    list, of each of which only the smallest id can win, so pairs of rows are never made."""
+    rows, m = _matched(left, right, left_id, left_name, right_id, right_name)
+    least = rows["right"].groupBy("right_tokens").agg(F.min("right_id").alias("right_id"))
+    first = F.min(F.struct((-F.col("similarity")).alias("loss"), "right_id", "match_type")).alias("b")
+    top = m.join(least, "right_tokens").groupBy("left_tokens").agg(first)
+    found = rows["left"].join(top, "left_tokens").groupBy("left_id").agg(F.min("b").alias("b"))
+    return found.select("left_id", "b.right_id", (-F.col("b.loss")).alias("similarity"), "b.match_type")
