@@ -112,21 +112,23 @@ def signals(identities: DataFrame, entities: DataFrame) -> DataFrame:
     phone = F.when(F.col("is_phone_verified"), "phone").otherwise("attested")
     own = F.array(key("e", email(F.col("email")), F.lit("email")), key("p", number(F.col("phone")), phone), key("u", email(F.col("username")), F.lit("username")))
     own = identities.select("identity_id", F.explode(F.array_compact(own)).alias("key")).select("identity_id", "key.*")
+    asked = {r["kind"] for r in own.select("kind").distinct().collect()}  # at most three: what no identity has isn't looked for
     value, none = email(F.col("normalized")), F.lit(None).cast("string")
-    said = F.array(F.when(F.col("type") == "EMAIL", key("e", value, none)), F.when(F.col("type") == "PHONE", key("p", number(F.col("normalized")), none)), key("u", value, none))
-    said = e.select("doc_id", F.explode(F.array_compact(said)).alias("key")).select("doc_id", "key.kind", "key.k").distinct()
+    keys = {"e": F.when(F.col("type") == "EMAIL", key("e", value, none)), "p": F.when(F.col("type") == "PHONE", key("p", number(F.col("normalized")), none)), "u": key("u", value, none)}
+    # repeated keys of a document fall together with its pairs
+    said = e.select("doc_id", F.explode(F.array_compact(F.array(*[keys[k] for k in sorted(asked or keys)]))).alias("key")).select("doc_id", "key.kind", "key.k")
     by_key = own.join(said, ["kind", "k"]).select(*pair, "signal")
     people = e.filter("type = 'PERSON'").select("normalized").distinct()
     named = names.matches(identities, people, "identity_id", "name", "normalized", "normalized")
     by_name = named.join(e.filter("type = 'PERSON'"), named.right_id == e.normalized).select(F.col("left_id").alias("identity_id"), "doc_id", F.lit("name").alias("signal"))
     linked = by_key.unionByName(by_name)
-    base = linked.groupBy(*pair).agg(*[F.bool_or(F.col("signal") == s).alias(s) for s in ("email", "phone", "attested", "username", "name")])
+    base = written(linked.groupBy(*pair).agg(*[F.bool_or(F.col("signal") == s).alias(s) for s in ("email", "phone", "attested", "username", "name")]))
     types = e.groupBy("doc_id").agg(F.array_sort(F.collect_set("type")).alias("pii_types"))
     # what an identity has lies in what a document says, or the other way round: distinct values meet by anchors
     said = e.filter("type in ('ORGANIZATION', 'LOCATION', 'ADDRESS')").select("doc_id", F.when(F.col("type") == "ORGANIZATION", "org").otherwise("location").alias("kind"), F.lower(F.trim("normalized")).alias("said"))
     own = identities.select("identity_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lower(F.trim(c)).alias("own")) for k, c in (("org", "organization"), ("location", "location"))])).alias("x")).select("identity_id", "x.*").filter("own <> ''")
     alike = containing(own, said, "own", "said").unionByName(containing(said, own, "said", "own")).distinct()
-    near = base.select(*pair).join(own, "identity_id").join(alike, "own").join(said.distinct(), ["doc_id", "kind", "said"])
+    near = base.select(*pair).join(own, "identity_id").join(alike, "own").join(said, ["doc_id", "kind", "said"])
     near = near.groupBy(*pair).agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in ("org", "location")])
     common = identities.select("identity_id", names.is_common(names.tokens(F.col("name"))).alias("common"))
     out = base.join(near, pair, "left").join(types, "doc_id").join(common, "identity_id")
